@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolith.llm import exact_dedup, mixing, near_dedup
+from cartolith.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from cartolith.llm.common import Scratch, table
+from cartolith.llm.queries import tokenizer_file
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models reject go; they are trained on `labels`."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +31,18 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.remix(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("exact_dedup", exact), ("near_dedup", near), ("source_mix", mixed)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of each document row, with its place in a sequence."""
+    return packing.pack(docs, tokenizer_file())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", clean),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("source_mix", mixed),
+    ("packing", packed),
+]
 
 #: SQL can't express a trained classifier, so the tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
