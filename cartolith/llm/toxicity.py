@@ -29,7 +29,7 @@ from .common import Scratch, text_or_empty
 
 ORDER = 6
 DISCOUNT = 0.75
-ROWS_PER_CLASS = 10_000
+ROWS_PER_CLASS = 3_000
 #: Of the sample, one part in this many calibrates and the others fit the models.
 FOLDS = 4
 GROUP_BYTES = 6 << 20
