@@ -2,23 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import clone_queries, event_queries, graph_queries, join_queries, metric_queries, search_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-FLAGSHIP = "complexity_histogram"
-
-
-def complexity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    band = F.when(F.col("p_size") <= 5, "low").when(F.col("p_size") <= 10, "medium").when(F.col("p_size") <= 25, "high").otherwise("extreme")
-    return part.groupBy(band.alias("band")).agg(F.count("*").alias("n"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"complexity_histogram": complexity_histogram}
-ORACLE_SQL: dict[str, str] = {
-    "complexity_histogram": """
-        SELECT CASE WHEN p_size <= 5 THEN 'low' WHEN p_size <= 10 THEN 'medium' WHEN p_size <= 25 THEN 'high' ELSE 'extreme' END AS band, count(*) AS n
-        FROM part GROUP BY 1""",
-}
+FLAGSHIP = "clone_islands"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
