@@ -17,7 +17,6 @@ an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,18 +31,18 @@ from .common import Scratch, text_or_empty
 
 WIDTH = 13
 BATCHES, BUCKETS, FAN = 4, 96, 4
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 _NO_ID = -(1 << 63)
 
 
 def _planes(a: np.ndarray) -> bytes:
     """Bytes of like rank side by side: the leading bytes of sorted differences are zeros and cost nothing."""
-    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
 
 
 def _unplane(raw: bytes, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype).ravel() if raw else np.zeros(0, dtype)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width).T).view(dtype).ravel() if raw else np.zeros(0, dtype)
 
 
 def squeeze(*columns: np.ndarray) -> bytes:
@@ -67,7 +66,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
     """Fingerprint, check, document and word position of every window of `width` words; no window crosses documents."""
     starts, ends, first = tc.word_spans(data, offsets)
     words = tc.slice_hashes(data, starts, ends)
-    prints, checks = tc.sequence_hashes(words, width), (tc.sequence_hashes(words, width, 1) >> np.uint64(32)).astype(np.uint32)
+    prints, checks = tc.sequence_hashes(words, width), (tc.sequence_hashes(words, width, 1) >> np.uint64(48)).astype(np.uint16)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     if not len(prints):
         none = np.zeros(0, np.int64)
@@ -108,14 +107,15 @@ def _chunked(width: int, buckets: int):
                 group = np.cumsum(head) - 1
                 least = np.minimum.reduceat(own[doc], np.flatnonzero(head))[group]
                 repeat = own[doc] > least
-                chunk = uuid.uuid4().hex
+                table = np.concatenate([own, hashes[i:j]]).astype("<i8").tobytes()
+                chunk = hashlib.blake2b(table, digest_size=16).hexdigest()  # the same if the task runs again
+                home = int(chunk[:8], 16) % buckets
                 places = (doc.astype(np.uint64) << np.uint64(32)) | pos.astype(np.uint64)
-                yield rows(2, [0], chunk, [np.concatenate([own, hashes[i:j]]).astype("<i8").tobytes()])
+                yield rows(2, [home], chunk, [table])
                 if repeat.any():
-                    yield rows(1, [0], chunk, [squeeze(np.sort(places[repeat]))])
+                    yield rows(1, [home], chunk, [squeeze(np.sort(places[repeat]))])
                 fp, check, doc, pos = fp[~repeat], check[~repeat], doc[~repeat], pos[~repeat]
                 used, local = np.unique(doc, return_inverse=True)
-                lookup = used.astype("<u4").tobytes(), own[used].astype("<i8").tobytes()
                 cut = np.searchsorted(fp, _edges(buckets))
                 cut = np.append(cut, len(fp))
                 blobs, at = [], []
@@ -127,7 +127,6 @@ def _chunked(width: int, buckets: int):
                         names = zstandard.ZstdCompressor(level=1).compress(_planes(used[mine].astype(np.uint32)) + _planes(own[used[mine]]))
                         blobs.append(len(mine).to_bytes(4, "little") + len(names).to_bytes(4, "little") + names + body)
                         at.append(k)
-                del lookup
                 yield rows(0, at, chunk, blobs)
 
     return run
@@ -153,7 +152,7 @@ def _entries(blob: bytes) -> tuple[np.ndarray, ...]:
     n, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
     names = zstandard.ZstdDecompressor().decompress(blob[8 : 8 + size])
     docs, ids = _unplane(names[: 4 * n], np.uint32), _unplane(names[4 * n :], np.int64)
-    fp, check, of, pos = unsqueeze(blob[8 + size :], np.uint32, np.uint32, np.uint32)
+    fp, check, of, pos = unsqueeze(blob[8 + size :], np.uint16, np.uint32, np.uint32)
     return fp, check, ids[of], (docs[of].astype(np.uint64) << np.uint64(32)) | pos.astype(np.uint64)
 
 
@@ -175,8 +174,11 @@ def _member(fp: np.ndarray, check: np.ndarray, run: tuple[np.ndarray, np.ndarray
 
 
 def _merge(new: pd.DataFrame, runs: pd.DataFrame) -> Iterator[tuple]:
-    """Rows (kind, bucket, chunk, blob) of one bucket: repeats by chunk (1) and the bucket's new run (3)."""
-    history = [tuple(unsqueeze(b, np.uint32)) for b in runs["blob"]]
+    """Rows (kind, bucket, chunk, blob) of one bucket: its entries (0) become repeats by chunk (1) and a new run (3)."""
+    for row in new[new["kind"] > 0].itertuples(index=False):
+        yield row.kind, row.bucket, row.chunk, row.blob
+    new = new[new["kind"] == 0]
+    history = [tuple(unsqueeze(b, np.uint16)) for b in runs["blob"]]
     if not len(new):
         return
     bucket = int(new["bucket"].iloc[0])
@@ -215,10 +217,10 @@ def _merge_group(new: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
 
 def _compact(runs: pd.DataFrame) -> pd.DataFrame:
     """One sorted run of a bucket's runs, which share nothing."""
-    parts = [unsqueeze(b, np.uint32) for b in runs["blob"]]
+    parts = [unsqueeze(b, np.uint16) for b in runs["blob"]]
     fp, check = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((check, fp))
-    return pd.DataFrame({"bucket": runs["bucket"].iloc[:1], "blob": [squeeze(fp[order], check[order])]})
+    return pd.DataFrame({"kind": [3], "bucket": runs["bucket"].iloc[:1].tolist(), "chunk": [""], "blob": [squeeze(fp[order], check[order])]})
 
 
 def _spans(repeats: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
@@ -253,21 +255,16 @@ class SubstringIndex:
     def add(self, docs: DataFrame) -> DataFrame:
         """Adds (doc_id, row_hash, text), whose ids are above those added before; returns the repeated windows as
         (doc_id, row_hash, spans), spans being pairs of uint32: first window, number of windows."""
-        chunked = self.scratch.write(docs.select("doc_id", "row_hash", "text").mapInArrow(_chunked(self.width, self.buckets), _ROWS), "chunks")
-        empty = self.spark.createDataFrame([], "bucket int, blob binary")
-        history = empty
-        for run in self.runs:
-            history = history.unionByName(run.select("bucket", "blob"))
-        entries = chunked.filter("kind = 0")
-        merged = self.scratch.write(entries.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInPandas(lambda a, b: _merge_group(a, b), _ROWS), "merged")
-        repeats = merged.filter("kind = 1").unionByName(chunked.filter("kind = 1")).select("chunk", "blob")
-        spans = self.scratch.write(repeats.groupBy("chunk").cogroup(chunked.filter("kind = 2").select("chunk", "blob").groupBy("chunk")).applyInPandas(lambda a, b: _spans(a, b), "doc_id long, row_hash long, spans binary"), "spans")
-        run = self.scratch.write(merged.filter("kind = 3").select("bucket", "blob"), "run")
-        self.scratch.drop(chunked)
-        self.scratch.drop(merged)
-        self.runs.append(run)
         if len(self.runs) >= self.fan:
             self.compact()
+        entries = docs.select("doc_id", "row_hash", "text").mapInArrow(_chunked(self.width, self.buckets), _ROWS)
+        history = self.spark.createDataFrame([], "bucket int, blob binary")
+        for run in self.runs:
+            history = history.unionByName(run.filter("kind = 3").select("bucket", "blob"))
+        merged = self.scratch.write(entries.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInPandas(lambda a, b: _merge_group(a, b), _ROWS), "run")
+        repeats, chunks = (merged.filter(f"kind = {k}").select("chunk", "blob").groupBy("chunk") for k in (1, 2))
+        spans = self.scratch.write(repeats.cogroup(chunks).applyInPandas(lambda a, b: _spans(a, b), "doc_id long, row_hash long, spans binary"), "spans")
+        self.runs.append(merged)
         return spans
 
     def compact(self) -> None:
@@ -275,10 +272,15 @@ class SubstringIndex:
         rows = old[0]
         for run in old[1:]:
             rows = rows.unionByName(run)
-        self.runs = [self.scratch.write(rows.groupBy("bucket").applyInPandas(_compact, "bucket int, blob binary"), "compacted")]
+        self.runs = [self.scratch.write(rows.filter("kind = 3").groupBy("bucket").applyInPandas(_compact, _ROWS), "compacted")]
         for run in old:
             self.scratch.drop(run)
 
+    def drop(self) -> None:
+        for run in self.runs:
+            self.scratch.drop(run)
+        self.runs = []
+
 
 def _removed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, spans list) to the digest columns and, last, the text that stays."""
@@ -322,6 +324,7 @@ def dedup(df: DataFrame, batches: int = BATCHES, width: int = WIDTH, text_col: s
         batch = batch if high is None else batch.filter(F.col("doc_id") <= high)
         spans = index.add(batch)
         found = spans if found is None else found.unionByName(spans)
+    index.drop()
     # A document has spans from a few chunks at most: one for each of its repeated rows.
     stretches = found.groupBy("doc_id", "row_hash").agg(F.first("spans").alias("spans")).withColumnRenamed("doc_id", "__id").withColumnRenamed("row_hash", "__hash")
     joined = rows.join(stretches.hint("shuffle_hash"), (key == F.col("__id")) & (F.col("row_hash") == F.col("__hash")), "left")
