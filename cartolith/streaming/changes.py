@@ -1,21 +1,18 @@
 """Streams of file changes and sessions: collapsing per micro-batch, keyed state, incremental index maintenance.
 
-State is kept per key with a time to live, so it does not grow with the stream; sinks go through foreachBatch, which makes
-each micro-batch's effect idempotent by its batch id.
+Sinks go through foreachBatch, and keyed state is a versioned table, so each micro-batch's effect is idempotent by its
+number and survives lost executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cartolith.operators import events
 
-STATE_TTL_MS = 6 * 3600 * 1000
 INTERVAL = "250 milliseconds"
 
 
@@ -50,66 +47,60 @@ def fan_out(handlers: list[Callable[[DataFrame, int], None]]) -> Callable[[DataF
     return run
 
 
-class LastContent(StatefulProcessor):
-    """Per path: emits created, modified with line deltas, and deleted; repeats of one content give nothing."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "digest string, lines int", ttlDurationMs=STATE_TTL_MS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        out = []
-        inputs = pd.concat(list(rows)).sort_values("seq")
-        for r in inputs.itertuples(index=False):
-            before = self.seen.get() if self.seen.exists() else None
-            if r.event_type == "deleted":
-                if before is not None:
-                    out.append((key[0], "deleted", 0, int(before[1])))
-                    self.seen.clear()
-                continue
-            if before is not None and before[0] == r.digest:
-                continue
-            lines = int(r.lines)
-            old = int(before[1]) if before is not None else 0
-            out.append((key[0], "created" if before is None else "modified", max(0, lines - old), max(0, old - lines)))
-            self.seen.update((r.digest, lines))
-        yield pd.DataFrame(out, columns=["path", "event_type", "added", "removed"])
-
-    def close(self) -> None:
-        pass
-
-
-def content_changes(stream: DataFrame) -> DataFrame:
-    """(path, event_type, added, removed) of a stream (seq, path, event_type, digest, lines)."""
-    return stream.groupBy("path").transformWithStateInPandas(LastContent(), "path string, event_type string, added int, removed int", "Update", "processingTime")
-
-
-class SessionState(StatefulProcessor):
-    """Per session: running counts, phase and the open command; emits the state after each micro-batch."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "events int, errors int, commands int, phase string, open boolean", ttlDurationMs=STATE_TTL_MS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        n, errors, commands, phase, open_ = self.state.get() if self.state.exists() else (0, 0, 0, "", False)
-        inputs = pd.concat(list(rows)).sort_values("seq")
-        for r in inputs.itertuples(index=False):
-            n += 1
-            errors += r.event_type == "error"
-            if r.event_type == "command_start":
-                commands, open_ = commands + 1, True
-            elif r.event_type == "command_end":
-                open_ = False
-            phase = r.phase or phase
-        self.state.update((int(n), int(errors), int(commands), phase or "", bool(open_)))
-        yield pd.DataFrame([(key[0], int(n), int(errors), int(commands), phase or "", bool(open_))], columns=["session", "events", "errors", "commands", "phase", "open"])
-
-    def close(self) -> None:
-        pass
-
-
-def session_states(stream: DataFrame) -> DataFrame:
-    """The state of each session that a micro-batch touched, of a stream (seq, session, event_type, phase)."""
-    return stream.groupBy("session").transformWithStateInPandas(SessionState(), "session string, events int, errors int, commands int, phase string, open boolean", "Update", "processingTime")
+def content_step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changes of content in a batch (seq, path, event_type, digest, lines), and the state (path, digest, lines) after it.
+
+    Per path: created, modified with line deltas, and deleted; repeats of one content give nothing.
+    """
+    rows = batch.select("seq", "path", *(F.when(F.col("event_type") != "deleted", F.col(c)).alias(c) for c in ("digest", "lines")))
+    rows = rows.unionByName(state.select(F.lit(-1).alias("seq"), "path", "digest", "lines"))
+    w = Window.partitionBy("path").orderBy("seq")
+    seen = rows.withColumns({"before": F.lag("digest").over(w), "old": F.coalesce(F.lag("lines").over(w), F.lit(0)), "new": F.coalesce("lines", F.lit(0))}).filter("seq >= 0")
+    kind = F.when(F.col("digest").isNull() & F.col("before").isNotNull(), "deleted").when(F.col("before").isNull() & F.col("digest").isNotNull(), "created").when(F.col("digest") != F.col("before"), "modified")
+    out = seen.withColumn("event_type", kind).filter("event_type is not null")
+    out = out.select("path", "event_type", F.greatest(F.lit(0), F.col("new") - F.col("old")).alias("added"), F.greatest(F.lit(0), F.col("old") - F.col("new")).alias("removed"))
+    last = rows.groupBy("path").agg(F.max_by(F.struct("digest", "lines"), "seq").alias("s")).select("path", "s.*").filter("digest is not null")
+    return out, last
+
+
+def session_step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sessions that a batch (seq, session, event_type, phase) touched, and all sessions' state after it.
+
+    State: events, errors and commands so far, the last phase, and whether a command is open.
+    """
+    is_command = F.col("event_type").isin("command_start", "command_end")
+    new = batch.groupBy("session").agg(
+        F.count("*").cast("int").alias("events"), F.count_if(F.col("event_type") == "error").cast("int").alias("errors"), F.count_if(F.col("event_type") == "command_start").cast("int").alias("commands"),
+        F.max_by("phase", F.when(F.col("phase").isNotNull(), F.col("seq"))).alias("phase"), F.max_by(F.col("event_type") == "command_start", F.when(is_command, F.col("seq"))).alias("open"),
+    )
+    order = ["session", "events", "errors", "commands", "phase", "open"]
+    both = new.select(*order, F.lit(1).alias("at")).unionByName(state.select(*order, F.lit(0).alias("at")))
+    total = both.groupBy("session").agg(
+        *(F.sum(c).cast("int").alias(c) for c in order[1:4]), F.max_by("phase", F.when(F.col("phase").isNotNull(), F.col("at"))).alias("phase"),
+        F.coalesce(F.max_by("open", F.when(F.col("open").isNotNull(), F.col("at"))), F.lit(False)).alias("open"), F.max("at").alias("at"),
+    )
+    return total.filter("at = 1").select(*order), total.select(*order)
+
+
+CONTENT_STATE = "path string, digest string, lines int"
+SESSION_STATE = "session string, events int, errors int, commands int, phase string, open boolean"
+
+
+def keyed_sink(path: str, schema: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink with keyed state in versioned tables of the shared folder.
+
+    Version n holds the state after batch n, so a batch that runs again after a failure reads the state before it and
+    writes the same version again; nothing lives in an executor.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        state = spark.read.schema(schema).parquet(f"{path}/v={number - 1}") if number else spark.createDataFrame([], schema)
+        out, after = step(batch, state)
+        after.write.mode("overwrite").parquet(f"{path}/v={number}")
+        sink(out, number)
+
+    return run
 
 
 def windowed_counts(stream: DataFrame, at: str, width: str = "6 hours", late: str = "1 hour") -> DataFrame:
