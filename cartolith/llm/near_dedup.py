@@ -5,13 +5,14 @@ its bucket's least hash the count of leading zeros and the next MANTISSA bits. E
 banding only. Documents that share a band are candidates; a collision-corrected estimate from the registers drops far
 pairs, and the full sets confirm the rest.
 
-Equal sets are one class with one representative. Buckets are never expanded into all pairs: in each round a few pivots
-are compared with the members of their bucket that are not yet in the pivot's component, then leave the bucket. Rounds go
-on until every bucket lies within one component or has no two members left, so each pair of a bucket is either compared
-or already connected, however large the bucket.
+Equal sets are one class with one representative. Buckets are never expanded into rows of all their pairs: first every
+member is compared with its bucket's smallest one, which settles most groups. Of the buckets that still span components,
+members are compared in blocks of BLOCK by their registers, in place, skipping pairs of one component; only pairs whose
+estimate allows the threshold come out, each at the first band it shares, and are confirmed on full sets. So each pair of
+a bucket is either compared or already connected, however large the bucket.
 
 A pair at the threshold of 0.75 shares no band with a chance of about (1 - 0.75 ** ROWS) ** BANDS = 1e-6; the estimate
-drops it with a chance below 1e-8. Sets are compared as 64-bit shingle hashes.
+drops it with a chance below 1e-6. Sets are compared as 64-bit shingle hashes.
 
 Defined cases: null, empty and wordless texts have size 0, are linked with nothing and are kept; rows with a null id are
 in no component (component_id null) and are kept; rows with one id are one node; an empty table gives an empty result;
@@ -29,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import Scratch, text_or_empty
+from .common import Scratch, partitions_for, text_or_empty
 from .components import components
 
 WIDTH, THRESHOLD = 5, 75
 REGISTERS, MANTISSA, BANDS, ROWS = 256, 10, 51, 5
 EMPTY = 0xFFFF
 #: The estimate must fall short of the threshold by this many standard deviations for a pair to be dropped.
-SIGMAS = 6.0
+SIGMAS = 5.0
+#: Members of a bucket that are compared at once, and below which buckets are compared together.
+BLOCK, SMALL = 512, 24
 #: Share of unequal least hashes whose registers collide, times 2 ** MANTISSA.
 COLLISION = 0.1699
 _ATTEMPTS = 512
@@ -92,14 +95,35 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Collision-corrected Jaccard estimates of pairs of sketches, and the registers they rest on."""
-    used = (a != EMPTY) | (b != EMPTY)
-    n = used.sum(axis=1)
-    equal = ((a == b) & used).sum(axis=1)
+def allowed(equal: np.ndarray, used: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether sizes and the collision-corrected estimate of pairs allow the threshold.
+
+    Of the union's elements, `used` registers hold some; what they leave out of a finite union sets the deviation.
+    """
+    t = THRESHOLD / 100
     chance = COLLISION / (1 << MANTISSA)
-    raw = equal / np.maximum(n, 1)
-    return np.clip((raw - chance) / (1 - chance), 0, 1), n
+    estimate = (equal / np.maximum(used, 1) - chance) / (1 - chance)
+    left_out = np.clip(1 - used * (1 + t) / np.maximum(na + nb, 1), 0.02, 1)
+    sigma = np.sqrt(t * (1 - t) * left_out / np.maximum(used, 1)) + 0.5 / np.maximum(used, 1)
+    return (estimate >= t - SIGMAS * sigma) & (100 * np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb))
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """`allowed` for row-wise pairs of sketches."""
+    used = (a != EMPTY) | (b != EMPTY)
+    return allowed(((a == b) & used).sum(axis=1), used.sum(axis=1), na, nb)
+
+
+def near_matrix(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """`allowed` for every row of a against every row of b."""
+    full_a, full_b = a != EMPTY, b != EMPTY
+    both = full_a.astype(np.float32) @ full_b.astype(np.float32).T
+    used = full_a.sum(axis=1)[:, None] + full_b.sum(axis=1)[None, :] - both
+    equal = np.zeros(both.shape, dtype=np.int16)
+    apart = np.where(full_b, b, EMPTY - 1)  # empty registers never agree
+    for r in range(a.shape[1]):
+        equal += a[:, r][:, None] == apart[:, r][None, :]
+    return allowed(equal, used, na[:, None], nb[None, :])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,16 +157,90 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0)[i : i + 1024].to_numpy(), BANDS))], names=["key", "doc_id"])
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, na, nb, sketch_a, sketch_b) whose sizes and estimate allow the threshold."""
+    """Pairs (a, b, n_a, n_b, sketch_a, sketch_b) that may reach the threshold."""
     for batch in batches:
         if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
-            j, n = estimate(a, b)
-            good = j >= THRESHOLD / 100 - SIGMAS * np.sqrt(0.1875 / np.maximum(n, 1))
+            good = near_pairs(_matrix(batch.column(4)), _matrix(batch.column(5)), batch.column(2).to_numpy(), batch.column(3).to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good)) for k in (0, 1)], names=["a", "b"])
 
 
+def _first_shared(key: np.ndarray, keys_a: np.ndarray, keys_b: np.ndarray) -> np.ndarray:
+    """Whether `key` is the first band key that the rows share."""
+    first = (keys_a == keys_b).argmax(axis=1)
+    return keys_a[np.arange(len(first)), first] == key
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, i, j, block, doc_id, comp, n, sketch) to pairs of different components that may reach the threshold.
+
+    Rows of one (key, i, j) are those of blocks i and j of a bucket, at most a few times BLOCK; pairs lie across the
+    blocks, or within if there is one.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def done(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, i, j, block, doc, comp, n = (rows.column(k).to_numpy() for k in range(7))
+        new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        bounds = np.concatenate([[0], new, [len(key)]])
+        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        sketch = _matrix(rows.column(7))
+        bands = np.concatenate([band_keys(sketch[x : x + 1024]) for x in range(0, len(sketch), 1024)])
+        left, right = [], []
+        small = np.diff(bounds)[group] <= SMALL
+        for step in range(1, SMALL):
+            a = np.flatnonzero((group[step:] == group[:-step]) & small[step:] & (comp[step:] != comp[:-step]) & ((i == j)[step:] | (block[step:] != block[:-step])))
+            if len(a):
+                b = a + step
+                good = _first_shared(key[a], bands[a], bands[b])
+                a, b = a[good], b[good]
+                for x in range(0, len(a), 4096):
+                    p, q = a[x : x + 4096], b[x : x + 4096]
+                    good = near_pairs(sketch[p], sketch[q], n[p], n[q])
+                    left.append(p[good])
+                    right.append(q[good])
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            if hi - lo <= SMALL:
+                continue
+            rows_of = np.arange(lo, hi)
+            most, count = np.unique(comp[lo:hi], return_counts=True)
+            main = comp[lo:hi] == most[count.argmax()]
+            # Pairs within the largest component are connected; all others have an end outside it.
+            for one, other in ((rows_of[~main], rows_of),):
+                for x in range(0, len(one), BLOCK):
+                    p = one[x : x + BLOCK]
+                    a, b = np.nonzero(near_matrix(sketch[p], sketch[other], n[p], n[other]))
+                    a, b = p[a], other[b]
+                    outside = ~main[b - lo]
+                    good = (comp[a] != comp[b]) & (~outside | (a < b)) & ((i[lo] == j[lo]) | (block[a] != block[b]))
+                    a, b = a[good], b[good]
+                    good = _first_shared(key[a], bands[a], bands[b])
+                    left.append(a[good])
+                    right.append(b[good])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[a], doc[b])), pa.array(np.maximum(doc[a], doc[b]))], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, i, j = (batch.column(k).to_numpy() for k in range(3))
+        new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        if held and all(held[-1].column(k)[-1].as_py() == batch.column(k)[0].as_py() for k in range(3)) and not len(new):
+            held.append(batch)
+            continue
+        cut = int(new[-1]) + 1 if len(new) else 0
+        ready = [*held, batch.slice(0, cut)] if cut else held
+        if ready:
+            yield from done(pa.Table.from_batches(ready).combine_chunks().to_batches()[0])
+        held = [batch.slice(cut)]
+    if held:
+        yield from done(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -192,32 +290,28 @@ def near_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 def _linked(members: DataFrame, candidates: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of representatives that are linked to a smaller one. members: (key, doc_id)."""
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    tested: DataFrame | None = None
-    salts = 1
-    while True:
-        placed = members.withColumn("comp", F.col("doc_id"))
-        if labels is not None:
-            placed = members.join(labels, members["doc_id"] == labels["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-        # Buckets that still span components.
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        placed = scratch.write(placed.join(mixed, "key", "left_semi"), "open")
-        if links is not None and placed.isEmpty():
-            return labels
-        pivots = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).groupBy("key", "salt").agg(F.min(F.struct("doc_id", "comp")).alias("p"))
-        pivots = pivots.select("key", F.col("p.doc_id").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
-        pairs = placed.join(pivots, "key").filter("comp <> pivot_comp").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
-        pairs = scratch.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        sized = _with(pairs, candidates, ["n", "sketch"]).filter(f"100 * least(n_a, n_b) >= {THRESHOLD} * greatest(n_a, n_b)")
-        near = scratch.write(sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long"), "near")
-        found = scratch.write(_with(near, sets, ["shingles"]).select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirmed, "a long, b long"), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = components(links, scratch)
-        gone = pivots.select("key", F.col("pivot").alias("doc_id"))
-        members = scratch.write(placed.select("key", "doc_id").join(gone, ["key", "doc_id"], "left_anti"), "members")
-        salts *= 4
+    n = partitions_for(members.sparkSession)
+    # Every member with the smallest of its bucket.
+    pivots = members.groupBy("key").agg(F.min("doc_id").alias("pivot"))
+    pairs = members.join(pivots, "key").filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    near = _with(pairs, candidates, ["n", "sketch"]).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long")
+    links = _links(scratch.write(near, "near"), sets, scratch)
+    labels = components(links, scratch)
+
+    # Buckets that still span components, in blocks.
+    placed = members.join(labels, members["doc_id"] == labels["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo < hi").select("key", "blocks")
+    placed = placed.join(mixed, "key").join(candidates.select("doc_id", "n", "sketch"), "doc_id")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "comp", "n", "sketch")
+    near = placed.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_in_blocks, "a long, b long")
+    more = _links(scratch.write(near, "blocks"), sets, scratch)
+    return components(links.unionByName(more), scratch)
+
+
+def _links(near: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs that the full sets confirm."""
+    return scratch.write(_with(near, sets, ["shingles"]).select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirmed, "a long, b long"), "links")
 
 
 def survivors(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
