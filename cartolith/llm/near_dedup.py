@@ -104,8 +104,8 @@ def allowed(equal: np.ndarray, used: np.ndarray, na: np.ndarray, nb: np.ndarray)
     chance = COLLISION / (1 << MANTISSA)
     estimate = (equal / np.maximum(used, 1) - chance) / (1 - chance)
     left_out = np.clip(1 - used * (1 + t) / np.maximum(na + nb, 1), 0.02, 1)
-    sigma = np.sqrt(t * (1 - t) * left_out / np.maximum(used, 1)) + 0.5 / np.maximum(used, 1)
-    return (estimate >= t - SIGMAS * sigma) & (100 * np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb))
+    sigma = np.sqrt(t * (1 - t) * left_out / np.maximum(used, 1))
+    return (estimate >= t - SIGMAS * sigma - 0.5 / np.maximum(used, 1)) & (100 * np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb))
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
