@@ -60,4 +60,46 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_secret_scan, op2_fingerprints, op3_source_mix, op4_exact_dedup, op5_token_counts, op6_toxicity, op7_substring_dedup, op8_near_dedup, op9_lm_scores, op10_packing)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {}
+_SCRAMBLE = "(({}) % 2147483647 * 48271 % 2147483647) * 16807 % 2147483647"
+_KEY = "(src * 7919 + slot // blocks * 104729)"
+_OTHER = f"((({_SCRAMBLE.format(_KEY + ' + r * 1299709')}) % blocks - x) % blocks + blocks) % blocks"
+_STEP = f"CASE WHEN ({_SCRAMBLE.format(f'greatest(x, {_OTHER}) + {_KEY} * 31 + r * 7919')}) % 1024 < 512 THEN {_OTHER} ELSE x END"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_source_mix": f"""
+        WITH sized AS (SELECT row_number() OVER () AS row_no, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+        total AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM sized GROUP BY 1),
+        w AS (SELECT *, 1.0::DOUBLE + src % 3 AS weight, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / (1 + src % 3) AS full_at FROM total),
+        l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - (sum(cap) OVER u - cap)) / (sum(weight) OVER () - (sum(weight) OVER u - weight)) AS level_here FROM w WINDOW u AS (ORDER BY full_at, src)),
+        s AS (SELECT source, src, source_size, least(cap, (SELECT arg_min(level_here, (full_at, src)) FROM l WHERE level_here <= full_at) * weight) AS target, ceil(source_size / {mixing.BLOCK}.0)::BIGINT AS blocks FROM l),
+        n AS (SELECT *, coalesce(round(target * blocks / nullif(source_size, 0)), 0)::BIGINT AS slots FROM s),
+        placed AS (SELECT z.row_no, z.doc_id, z.size, n.src, n.source_size, n.target, sum(z.size) OVER (PARTITION BY n.src ORDER BY z.doc_id NULLS FIRST, z.size, z.row_no) - z.size AS start
+            FROM sized z JOIN n ON z.source IS NOT DISTINCT FROM n.source),
+        slot AS (SELECT src, blocks, unnest(range(slots)) AS slot, greatest(1, ceil(sum(slots) OVER () / {mixing.SHARD_SLOTS}.0))::BIGINT AS shards FROM n),
+        used AS (SELECT src, block, count(*) AS times, min(shard) AS first_shard FROM (
+            SELECT src, ({_SCRAMBLE.format("src * 15485863 + slot * 32452843 + 1")}) % shards AS shard, list_reduce(list_prepend(slot % blocks, range({mixing.ROUNDS})), lambda x, r: {_STEP}) AS block FROM slot) GROUP BY 1, 2),
+        piece AS (SELECT *, unnest(range((start // {mixing.BLOCK})::BIGINT, ((start + size - 1) // {mixing.BLOCK})::BIGINT + 1)) AS block FROM placed WHERE size > 0),
+        taken AS (SELECT row_no, sum((least(start + size, (block + 1) * {mixing.BLOCK}) - greatest(start, block * {mixing.BLOCK})) * coalesce(times, 0)) AS taken, min(first_shard) AS first_shard
+            FROM piece LEFT JOIN used USING (src, block) GROUP BY 1)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_shard FROM placed LEFT JOIN taken USING (row_no)""",
+    "op4_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))""",
+    "op7_substring_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+        hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM win) WHERE first < doc_id),
+        gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM hit) GROUP BY 1),
+        kept AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, w, ps FROM d LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, n_words, n_removed, sha256(CASE WHEN ps IS NULL THEN array_to_string(w, ' ') ELSE
+            array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(ps, p)), lambda p: w[p]), ' ') END) AS kept_sha256 FROM kept""",
+    "op8_near_dedup": """
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+        link AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY 1, 2) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+            WHERE 100 * c >= 75 * (p.n + q.n - c)),
+        e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        r AS (SELECT doc_id AS s, doc_id AS t FROM d UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.t)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.t) AS component_id, d.doc_id = min(r.t) AS kept FROM d JOIN r ON r.s = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n""",
+}
