@@ -11,6 +11,16 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_set("target")), lambda x: x.cast("string")), ",").alias("targets"), F.countDistinct("target").alias("n_targets"))
 
 
+def _cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder; a local session without one gets a default."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir("/tmp/checkpoints")
+    return df.checkpoint()
+
+
 def reachable(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth): the nodes within `max_depth` steps of the starts and their least depth.
 
@@ -22,7 +32,7 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     for depth in range(1, max_depth + 1):
         following = frontier.join(steps, "node").select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
         if depth % 4 == 0:
-            following = following.checkpoint()
+            following = _cut_lineage(following)
         seen, frontier = seen.unionByName(following), following
     return seen
 

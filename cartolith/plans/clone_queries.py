@@ -26,7 +26,7 @@ def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.windows(token_table(spark, sf_dir))
+    return op.text_windows(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
 def region_table(spark: SparkSession, sf_dir: str, least: int = op.MIN_TOKENS) -> DataFrame:

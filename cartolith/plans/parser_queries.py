@@ -108,29 +108,27 @@ def commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alignment_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gap-tolerant similarity of each clone region's surroundings."""
     tokens = clones.tokens(table(spark, sf_dir, "documents"), "text", "doc_id")
-    regions = clones.islands(clones.pairs(clones.windows(tokens)), least=clones.MIN_TOKENS)
+    regions = clones.islands(clones.pairs(clones.text_windows(table(spark, sf_dir, "documents"), "text", "doc_id")), least=clones.MIN_TOKENS)
     return alignment.extend(regions, tokens)
 
 
 @query()
 def stream_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change stream run to its end in one micro-batch; equals change_collapse."""
-    import tempfile
+    import uuid
 
     from cartolith.streaming import changes as stream
 
     from .event_queries import changes
 
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(_folder(sf_dir, "events"))
-    out: list[DataFrame] = []
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    import uuid
-
+    base = spark.conf.get("spark.checkpoint.dir", None) or ("file:///tmp/checkpoints" if spark.sparkContext.master.startswith("local") else None)
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     where = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(_folder(sf_dir, "events"))
     q = stream.collapsed(changes(source), lambda batch, n: batch.write.mode("overwrite").parquet(f"{where}/out/{n}"), f"{where}/checkpoint", available_now=True)
     q.awaitTermination()
-    out.append(spark.read.option("recursiveFileLookup", "true").parquet(f"{where}/out"))
-    return out[0]
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{where}/out")
 
 
 def _folder(sf_dir: str, name: str) -> str:

@@ -127,6 +127,19 @@ def test_clones_find_merge_and_score(spark):
     assert same["1"] == same["8"]
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 10, 13])
+def test_text_windows_equal_higher_order_functions(spark, width):
+    rng = random.Random(width)
+    rows = [(i, " ".join(rng.choice(["a", "Bc", "déf", "x1y", "zz"]) for _ in range(rng.randrange(0, 40)))) for i in range(20)] + [(98, None), (99, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = rows_of_windows(clones.windows(clones.tokens(df.filter("text is not null"), "text", "id"), width))
+    assert rows_of_windows(clones.text_windows(df, "text", "id", width)) == want
+
+
+def rows_of_windows(df):
+    return rows(df, "file", "pos", "hash")
+
+
 def test_overlapping_windows_of_one_file_are_left_out(spark):
     df = spark.createDataFrame([(1, " ".join(["a"] * 25))], "id int, text string")
     got = rows(clones.pairs(clones.windows(clones.tokens(df, "text", "id"))), "pos_a", "pos_b")
