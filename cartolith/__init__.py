@@ -1 +1,28 @@
 """Code and document intelligence on Spark."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Send this package to the executors, unless their Python finds it: on PYTHONPATH or in the working directory."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    known = [os.path.abspath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p]
+    context = spark.sparkContext
+    if root in known or context.applicationId in _shipped:
+        return
+    where = os.path.join(tempfile.mkdtemp(), "cartolith.zip")
+    with zipfile.ZipFile(where, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(where)  # Spark serves the file to all executors
+    _shipped.add(context.applicationId)
