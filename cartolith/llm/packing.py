@@ -268,7 +268,7 @@ def local_search(packed: dict[Pattern, int], length: int, steps: int = SEARCH_ST
         for pattern, change in ((giver, -many), (taker, -many), (rest, many), (filled, many)):
             bins[pattern] = bins.get(pattern, 0) + change
         bins = {p: n for p, n in bins.items() if n and p}
-        resting.discard(filled)
+        resting.clear()
     return bins
 
 
