@@ -32,6 +32,8 @@ from .common import Scratch, text_or_empty
 WIDTH = 13
 BATCHES, BUCKETS, FAN = 4, 96, 4
 CHUNK_BYTES = 4 << 20
+#: Bytes of text for each bucket, so that what a task merges does not grow with the input.
+BUCKET_BYTES = 16 << 20
 _NO_ID = -(1 << 63)
 
 
@@ -313,10 +315,11 @@ def dedup(df: DataFrame, batches: int = BATCHES, width: int = WIDTH, text_col: s
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     key = F.coalesce("doc_id", F.lit(_NO_ID))
-    bounds = docs.agg(F.percentile_approx(key, [k / batches for k in range(1, batches)], 1000).alias("b")).first()["b"] if batches > 1 else []
-    bounds = sorted(set(bounds or []))
+    cuts = F.percentile_approx(key, [k / batches for k in range(1, batches)], 1000) if batches > 1 else F.lit(None)
+    about = docs.agg(cuts.alias("bounds"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    bounds = sorted(set(about["bounds"] or []))
     rows = docs.withColumn("row_hash", F.xxhash64("text"))
-    index = SubstringIndex(spark, width)
+    index = SubstringIndex(spark, width, max(BUCKETS, -(-(about["bytes"] or 0) // BUCKET_BYTES)))
     found = None
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
         batch = rows.withColumn("doc_id", key)
