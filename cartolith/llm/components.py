@@ -42,4 +42,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if after == before:
             break
         before = after
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out._cartolith_path = current._cartolith_path
+    return out

@@ -281,6 +281,8 @@ def near_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     sets = scratch.write(docs.join(wanted, "doc_id").select("doc_id", "text", "digest").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
 
     labels = _linked(members, candidates, sets, scratch)
+    for used in (reps, members, candidates, sets):
+        scratch.drop(used)
     classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), (F.col("component").isNotNull() | (F.col("copies") > 1)).alias("linked"))
     placed = chosen.join(classes.filter("linked"), "digest").select("doc_id", "component")
     out = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left")
@@ -295,7 +297,7 @@ def _linked(members: DataFrame, candidates: DataFrame, sets: DataFrame, scratch:
     pivots = members.groupBy("key").agg(F.min("doc_id").alias("pivot"))
     pairs = members.join(pivots, "key").filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     near = _with(pairs, candidates, ["n", "sketch"]).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long")
-    links = _links(scratch.write(near, "near"), sets, scratch)
+    links = _links(near, sets, scratch)
     labels = components(links, scratch)
 
     # Buckets that still span components, in blocks.
@@ -305,13 +307,19 @@ def _linked(members: DataFrame, candidates: DataFrame, sets: DataFrame, scratch:
     placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "comp", "n", "sketch")
     near = placed.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_in_blocks, "a long, b long")
-    more = _links(scratch.write(near, "blocks"), sets, scratch)
-    return components(links.unionByName(more), scratch)
+    more = _links(near, sets, scratch)
+    out = components(links.unionByName(more), scratch)
+    for used in (links, more, labels):
+        scratch.drop(used)
+    return out
 
 
 def _links(near: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs that the full sets confirm."""
-    return scratch.write(_with(near, sets, ["shingles"]).select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirmed, "a long, b long"), "links")
+    near = scratch.write(near, "near")
+    links = scratch.write(_with(near, sets, ["shingles"]).select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirmed, "a long, b long"), "links")
+    scratch.drop(near)
+    return links
 
 
 def survivors(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
