@@ -68,9 +68,9 @@ def clone_top_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region_table(spark, sf_dir).orderBy(F.desc("token_count"), "file_a", "file_b", "start_a", "start_b").limit(50)
 
 
-@query(f"WITH {_ISLANDS} SELECT * FROM region WHERE token_count >= 30 AND (file_a = 10 OR file_b = 10)")
+@query(f"WITH {_ISLANDS} SELECT * FROM region WHERE token_count >= 30 AND (file_a = 37 OR file_b = 37)")
 def clones_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return region_table(spark, sf_dir).filter("file_a = 10 or file_b = 10")
+    return region_table(spark, sf_dir).filter("file_a = 37 or file_b = 37")
 
 
 _SPOTS = f"""{_ISLANDS}, big AS (SELECT * FROM region WHERE token_count >= 30),
