@@ -24,16 +24,15 @@ def _cut_lineage(df: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth): the nodes within `max_depth` steps of the starts and their least depth.
 
-    A frontier moves one step a round and leaves out what was seen; rounds are as many as the depth, and checkpoints go
-    to the shared folder so that neither lineage nor lost executors accumulate.
+    A frontier moves one step a round and leaves out what was seen; rounds are as many as the depth. Edges and each
+    frontier are checkpointed to the shared folder, so a round reads what the last one wrote and plans stay small.
     """
     seen = start.select("node", F.lit(0).alias("depth")).distinct()
-    frontier, steps = seen, edges.select(F.col("source").alias("node"), "target").distinct()
+    frontier, steps = seen, _cut_lineage(edges.select(F.col("source").alias("node"), "target").distinct())
     for depth in range(1, max_depth + 1):
         following = frontier.join(steps, "node").select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
-        if depth % 4 == 0:
-            following = _cut_lineage(following)
-        seen, frontier = seen.unionByName(following), following
+        frontier = _cut_lineage(following)
+        seen = seen.unionByName(frontier)
     return seen
 
 
