@@ -1,8 +1,8 @@
 """Exact deduplication by content sort.
 
-Sampled splitters range-partition the rows by (normalised text, id), so one group of copies may span many
-partitions; each partition is sorted externally, equal texts stand side by side, and a scan compares neighbours in
-full. Only the first and last run of a partition can continue elsewhere; those (two per partition) are joined by text.
+Sampled splitters range-partition the rows by the first PREFIX characters of the normalised text, its digest and the id,
+so one group of copies may span many partitions, and the sample that the driver gets holds no whole texts. Each partition
+is sorted externally, equal texts stand side by side, and a scan compares neighbours in full. Only the first and last run of a partition can continue elsewhere; those (two per partition) are joined by text.
 
 Defined cases: null text counts as empty and all empty texts are equal; null ids come before all others, so a row
 with an id wins over one without; repeated rows (same id and text) form one group of which one row is kept; an empty
@@ -11,7 +11,6 @@ table gives an empty result; further columns are ignored by `decide` and carried
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +31,18 @@ NORMALISERS = {
 }
 
 
+#: Characters of a text that its splitters hold; texts that agree in them are ordered by digest.
+PREFIX = 32
+
+
 def _sorted(df: DataFrame, text: Column, id_col: str, keep: str) -> DataFrame:
     """Rows range-partitioned and sorted so that the row to keep is the last of its run."""
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is 'largest' or 'smallest'")
     id_order = (F.asc_nulls_first if keep == "largest" else F.desc_nulls_first)("__id")
-    rows = df.withColumns({"__norm": text, "__id": F.col(id_col).cast("long")})
+    rows = df.withColumns({"__norm": text, "__id": F.col(id_col).cast("long")}).withColumns({"__head": F.substring("__norm", 1, PREFIX), "__sha": F.unhex(F.sha2("__norm", 256))})
     n = partitions_for(df.sparkSession)
-    return rows.repartitionByRange(n, F.asc("__norm"), id_order).sortWithinPartitions(F.asc("__norm"), id_order)
+    return rows.repartitionByRange(n, "__head", "__sha", id_order).sortWithinPartitions("__head", "__sha", "__norm", id_order).drop("__head")
 
 
 def _same_as_before(texts: pa.Array, last: bytes | None) -> np.ndarray:
@@ -83,7 +86,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts, ids = _column(batch, "__norm"), _column(batch, "__id").cast(pa.int64())
+        texts, ids, shas_of = _column(batch, "__norm"), _column(batch, "__id").cast(pa.int64()), _column(batch, "__sha")
         starts = np.flatnonzero(~_same_as_before(texts, last))
         if not len(starts):
             waiting.append(ids)
@@ -93,7 +96,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if waiting:
             yield from emit_waiting(edge=number == 0)
             number += 1
-        shas = [hashlib.sha256(memoryview(texts[i].as_buffer())).hexdigest() for i in starts.tolist()]
+        shas = [x.hex() for x in shas_of.take(pa.array(starts)).to_pylist()]
         if len(starts) > 1:
             sizes = np.diff(starts)
             at = int(starts[0])
@@ -115,7 +118,7 @@ def decide(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", normal
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row, dropped ones too."""
     spark = df.sparkSession
     scratch = Scratch(spark, "exact")
-    rows = _sorted(df.select(id_col, text_col), NORMALISERS[normalise](text_or_empty(text_col)), id_col, keep).select("__norm", "__id")
+    rows = _sorted(df.select(id_col, text_col), NORMALISERS[normalise](text_or_empty(text_col)), id_col, keep).select("__norm", "__id", "__sha")
     scanned = scratch.write(rows.mapInArrow(_scan, _DECISIONS), "runs")
     # At most two edge runs a partition: those with one text are one group.
     edges = scanned.filter(F.col("edge_text").isNotNull())
@@ -133,7 +136,7 @@ def survivors(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", nor
     """The rows to keep, with all their columns: the last row of each run, one for each group."""
     spark = df.sparkSession
     scratch = Scratch(spark, "exact")
-    rows = _sorted(df, NORMALISERS[normalise](text_or_empty(text_col)), id_col, keep).drop("__id")
+    rows = _sorted(df, NORMALISERS[normalise](text_or_empty(text_col)), id_col, keep).drop("__id", "__sha")
     schema = rows.schema
 
     def last_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
