@@ -1,7 +1,7 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 The words of a source, documents in order of id, are packed into blocks of fixed length. A source with target t gets
-t / block slots. Every slot draws its output shard at random, so the source counts of the shards are multinomial draws
+t / size slots for each of its blocks. Every slot draws its output shard at random, so the source counts of the shards are multinomial draws
 given the sources' totals (drawing the totals too would leave small sources far from their targets). Slot i maps to
 block perm(i mod blocks), a swap-or-not permutation keyed by source and epoch, and blocks are joined by index.
 
@@ -73,7 +73,7 @@ def mix(df: DataFrame, block: int = BLOCK, seed: int = 0, text_col: str = "text"
     per_part = parts.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     per_part = per_part.withColumn("part_start", F.coalesce(F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sources = scratch.write(_targets(parts.groupBy("source").agg(F.sum("size").alias("source_size"))).select("source", "src", "source_size", "target"), "sources")
-    sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("slots", F.round(F.col("target") / block).cast("long"))
+    sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("slots", F.coalesce(F.round(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size"))), F.lit(0)).cast("long"))
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy(F.lit(1))) / SHARD_SLOTS)))
     within = Window.partitionBy("source", "part").orderBy(F.asc_nulls_first("doc_id"), "size", "row_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = _placed(parts, per_part, within)
@@ -89,7 +89,8 @@ def mix(df: DataFrame, block: int = BLOCK, seed: int = 0, text_col: str = "text"
     touched = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
     pieces = placed.select("*", F.explode_outer(touched).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    found = pieces.join(used, ["src", "block"], "left")
+    # Spark's estimate of exploded rows is far too low, so without a hint this grows into a broadcast.
+    found = pieces.join(used.hint("merge"), ["src", "block"], "left")
     documents = (
         found.groupBy("src", "part", "nth").agg(*(F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target", "row_key")), F.coalesce(F.sum(overlap * F.coalesce("times", F.lit(0))), F.lit(0)).alias("taken"), F.min("first_shard").alias("first_shard"))
         .select("doc_id", "size", "source_size", "target", "taken", "first_shard", "row_key")
