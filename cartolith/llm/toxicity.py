@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,6 +140,24 @@ def fit_ratios(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray) -> t
     return keys[keep], gram_ratio[keep].astype(np.float32), contexts, context_ratio.astype(np.float32)
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (word, toxic, ordinary) to the rows of both tables of log ratios."""
+    rows = list(batches)
+    words = [w for b in rows for w in b.column(0).to_pylist()]
+    counts = [np.concatenate([b.column(k).to_numpy().astype(np.float64) for b in rows]) if rows else np.zeros(0) for k in (1, 2)]
+    grams, gram_ratio, contexts, context_ratio = fit_ratios(words, *counts)
+    for is_context, keys, ratio in ((False, grams, gram_ratio), (True, contexts, context_ratio)):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), is_context)), pa.array(keys.astype(np.int64)), pa.array(ratio.astype(np.float32))], names=["context", "key", "ratio"])
+
+
+def _half(got: pa.Table, contexts: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and ratios of one of the tables."""
+    some = got.filter(pa.compute.equal(got["context"], contexts))
+    keys, ratio = some["key"].to_numpy().astype(np.uint64), some["ratio"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], ratio[order]
+
+
 def features(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(documents, FEATURES): ratio per word; high ratios summed, by the root of the words; the same as a logarithm."""
     data = tc.lower_ascii(data)
@@ -221,9 +240,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out_every: int = 5, rows_per_
     # At most 2 * rows_per_class ids of eight bytes.
     sample = scratch.write(docs.join(F.broadcast(picked), "doc_id"), "sample")
     counts = sample.filter("not calibrates").select("text", F.col("toxic") > 0).mapInArrow(_word_counts, "word binary, toxic long, ordinary long")
-    got = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).orderBy("word").toArrow()
-    fitted = fit_ratios(got["word"].to_pylist(), got["toxic"].to_numpy().astype(np.float64), got["ordinary"].to_numpy().astype(np.float64))
-    bare = Model(*fitted, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(0))
+    words = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    # The bounded sample's words are fitted in one task, which spares the driver the n-gram tables.
+    got = words.repartition(1).sortWithinPartitions("word").mapInArrow(_fitted, "context boolean, key long, ratio float").toArrow()
+    bare = Model(*_half(got, False), *_half(got, True), np.zeros(FEATURES), np.ones(FEATURES), np.zeros(0))
     shipped = spark.sparkContext.broadcast(bare)
     found = sample.filter("calibrates").select("doc_id", "text").mapInArrow(_scorer(shipped), _SCORED).join(F.broadcast(picked), "doc_id").orderBy("doc_id").toArrow()
     x = np.column_stack([found[f"f{k}"].to_numpy() for k in range(FEATURES)]) if len(found) else np.zeros((0, FEATURES))
