@@ -1,10 +1,14 @@
 """Cross-entropy difference: a target and a background bigram model over one vocabulary.
 
-The vocabulary is the WORDS most frequent words (A-Z lower-cased) of all documents, plus one entry for all others and one
-for a document's start. Both models are counted over all their documents, discount their bigram counts alike and back
-off to their smoothed unigrams. A document's score is its loss per token under the background model less that under the
-target model: above zero, it is more like the target. Tables of the models have (WORDS + 2) squared entries at every
-input size, which bounds what is broadcast.
+The vocabulary is all words (A-Z lower-cased) of all documents, plus one entry for words outside it and one for a
+document's start; `words` bounds it to the most frequent ones for callers that want a small model. Both models are
+counted over all their documents, discount their bigram counts alike and back off to their smoothed unigrams. A
+document's score is its loss per token under the background model less that under the target model: above zero, it is
+more like the target.
+
+Words are 64-bit hashes, and counts are tables in the shared folder that grow with the input; nothing of them goes to
+the driver. Bigrams are counted and joined with the documents' tokens in SLICES jobs, each over the bigrams of a share
+of the first words, so that the shuffle files of only one slice exist at a time.
 
 Defined cases: null, empty and wordless texts have no token, and losses and score 0; with an empty target all scores are
 0; repeated rows count as often as they appear and score alike; null ids are in the background only; an empty table gives
@@ -14,18 +18,22 @@ an empty result; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .common import Scratch, text_or_empty
 
-WORDS = 2046
 DISCOUNT = 0.75
 GROUP_BYTES = 8 << 20
+#: Jobs that the bigrams are split into; only disk depends on it.
+SLICES = 6
+#: The entries of a document's start and of words outside the vocabulary.
+START, OTHER = np.uint64(0x5CA1AB1E0DDBA11), np.uint64(0xB0A710AD0F0CA5E)
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,102 +52,142 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)], pa.binary()), pa.array(count)], names=["word", "n"])
 
 
-def vocabulary(docs: DataFrame, words: int = WORDS) -> list[bytes]:
+def vocabulary(docs: DataFrame, words: int) -> list[bytes]:
     """The most frequent words of all documents, ties by word."""
     counts = docs.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
 
 
-def _lookup(vocab: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the vocabulary and their ids."""
+def _lookup(vocab: list[bytes]) -> np.ndarray:
+    """Sorted hashes of the vocabulary."""
     raw = np.frombuffer(b"".join(vocab), dtype=np.uint8)
-    ends = np.cumsum([len(w) for w in vocab]).astype(np.int64)
-    hashes = tc.slice_hashes(raw, ends - np.array([len(w) for w in vocab], dtype=np.int64), ends)
-    order = np.argsort(hashes)
-    return hashes[order], order
+    sizes = np.array([len(w) for w in vocab], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    return np.sort(tc.slice_hashes(raw, ends - sizes, ends))
+
+
+def _token_groups(batch: pa.RecordBatch, column: int, keys: np.ndarray | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For groups of documents: their range, the index of each one's first word, and the words' hashes."""
+    data, offsets = tc.string_buffers(batch.column(column))
+    for i, j in tc.groups(offsets, GROUP_BYTES):
+        _, _, _, first, hashes = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        if keys is not None:
+            at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
+            hashes = np.where(keys[at] == hashes, hashes, OTHER) if len(keys) else np.full_like(hashes, OTHER)
+        yield i, j, first, hashes
+
+
+def _before(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[first[:-1][np.diff(first) > 0]] = START
+    return before
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _coded(hashes: np.ndarray, first: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Bigram code of every word: id of the word before (or the start) times the size of the table, plus its own."""
-    size = len(keys) + 2
-    own = np.full(len(hashes), size - 2, dtype=np.int64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        hit = keys[at] == hashes
-        own[hit] = ids[at[hit]]
-    before = np.empty_like(own)
-    before[1:] = own[:-1]
-    before[first[:-1][np.diff(first) > 0]] = size - 1
-    return before * size + own
+def _counted(rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of one of each distinct hash, how many there are, and how many of target documents."""
+    _, one, inverse, count = np.unique(rows, return_index=True, return_inverse=True, return_counts=True)
+    return one, count, np.bincount(inverse[target], minlength=len(one))
 
 
-def _bigrams(keys: np.ndarray, ids: np.ndarray):
-    """(target, text) to (code, background count, target count), summed over the partition."""
+def _unigrams(keys: np.ndarray | None):
+    """(target, text) to (word, background count, target count), summed over groups of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = (len(keys) + 2) ** 2
-        total = np.zeros((2, size), dtype=np.int64)
         for batch in batches:
-            data, offsets = tc.string_buffers(batch.column(1))
-            target = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in tc.groups(offsets, GROUP_BYTES):
-                _, _, _, first, hashes = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                codes = _coded(hashes, first, keys, ids)
-                total[0] += np.bincount(codes, minlength=size)
-                total[1] += np.bincount(codes[np.repeat(target[i:j], np.diff(first))], minlength=size)
-        at = np.flatnonzero(total[0])
-        for k in range(0, len(at), 1 << 18):
-            some = at[k : k + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0][some]), pa.array(total[1][some])], names=["code", "background", "target"])
+            marked = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            for i, j, first, hashes in _token_groups(batch, 1, keys):
+                one, count, of_target = _counted(hashes, np.repeat(marked[i:j], np.diff(first)))
+                yield pa.RecordBatch.from_arrays([_long(hashes[one]), pa.array(count), pa.array(of_target)], names=["word", "background", "target"])
 
     return run
 
 
-def loss_table(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """-log p(word | word before) for all pairs, flat float32."""
-    dense = np.zeros(size * size)
-    dense[codes] = counts
-    dense = dense.reshape(size, size)
-    words = dense.sum(axis=0)
-    unigram = (words + 0.5) / (words + 0.5).sum()
-    total, kinds = dense.sum(axis=1, keepdims=True), (dense > 0).sum(axis=1, keepdims=True)
-    backoff = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-    np.subtract(dense, DISCOUNT, out=dense)
-    np.maximum(dense, 0, out=dense)
-    dense /= np.maximum(total, 1)
-    dense += backoff * unigram
-    np.log(dense, out=dense)
-    return (-dense).astype(np.float32).ravel()
-
-
-def score(df: DataFrame, target_ids: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) for every row; target_ids: (doc_id) of the target documents."""
-    spark = df.sparkSession
-    scratch = Scratch(spark, "lm")
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    vocab = vocabulary(docs, words)
-    keys, ids = _lookup(vocab)
-    marks = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    marked = docs.join(marks.hint("shuffle_hash"), "doc_id", "left").select(F.coalesce("target", F.lit(False)).alias("target"), "text")
-    counted = scratch.write(marked.mapInArrow(_bigrams(keys, ids), "code long, background long, target long").groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "bigrams")
-    got = counted.toArrow()  # at most (words + 2) ** 2 rows
-    codes, size = got["code"].to_numpy(), len(vocab) + 2
-    background = loss_table(codes, got["background"].to_numpy(), size)
-    has_target = bool(len(codes)) and got["target"].to_numpy().sum() > 0
-    target = loss_table(codes, got["target"].to_numpy(), size) if has_target else background
-    shipped = spark.sparkContext.broadcast((keys, ids, background, target))
+def _bigrams(keys: np.ndarray | None, part: int):
+    """(target, text) to (before, word, background count, target count) of one slice, summed over groups of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marked = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            for i, j, first, hashes in _token_groups(batch, 1, keys):
+                before = _before(first, hashes)
+                some = np.flatnonzero(before % np.uint64(SLICES) == np.uint64(part))
+                before, own = before[some], hashes[some]
+                one, count, of_target = _counted(tc.mix(before * np.uint64(0x9E3779B97F4A7C15) + own), np.repeat(marked[i:j], np.diff(first))[some])
+                yield pa.RecordBatch.from_arrays([_long(before[one]), _long(own[one]), pa.array(count), pa.array(of_target)], names=["before", "word", "background", "target"])
+
+    return run
+
+
+def _tokens(keys: np.ndarray | None, part: int):
+    """(row, text) to (row, before, word) for each token of one slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, background, target = shipped.value
         for batch in batches:
-            data, offsets = tc.string_buffers(batch.column(1))
-            for i, j in tc.groups(offsets, GROUP_BYTES):
-                _, _, _, first, hashes = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                codes, n = _coded(hashes, first, keys, ids), np.diff(first)
-                mean = []
-                for losses in (target, background):
-                    upto = np.concatenate([[0.0], np.cumsum(losses[codes], dtype=np.float64)])
-                    mean.append(np.where(n > 0, (upto[first[1:]] - upto[first[:-1]]) / np.maximum(n, 1), 0.0))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(n), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[1] - mean[0])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+            row = batch.column(0).to_numpy()
+            for i, j, first, hashes in _token_groups(batch, 1, keys):
+                before = _before(first, hashes)
+                some = np.flatnonzero(before % np.uint64(SLICES) == np.uint64(part))
+                columns = pa.array(np.repeat(row[i:j], np.diff(first))[some]), _long(before[some]), _long(hashes[some])
+                for k in range(0, len(some), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([c.slice(k, 1 << 16) for c in columns], names=["row", "before", "word"])
+
+    return run
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j, first, _ in _token_groups(batch, 2, None):
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(np.diff(first))], names=["row", "doc_id", "n_tokens"])
+
+
+def _loss(count: str, of_word: str, total: str, kinds: str, tokens: int, entries: int) -> Column:
+    """-log p(word | word before); a first word without counts leaves all to the unigram."""
+    unigram = (F.col(of_word) + 0.5) / (tokens + 0.5 * entries)
+    seen = (F.greatest(F.col(count) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(kinds) * unigram) / F.col(total)
+    return (-F.log(F.when(F.col(total) > 0, seen).otherwise(unigram))).cast("float")
+
+
+def score(df: DataFrame, target_ids: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int | None = None) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) for every row; target_ids: (doc_id) of the target documents.
+
+    `words`: most words of the vocabulary, all by default.
+    """
+    scratch = Scratch(df.sparkSession, "lm")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    keys = None if words is None else _lookup(vocabulary(docs, words))
+    marks = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
+    marked = docs.join(marks.hint("shuffle_hash"), "doc_id", "left").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
+    marked = scratch.write(marked, "documents")
+
+    counts = [F.sum("background").alias("background"), F.sum("target").alias("target")]
+    unigrams = marked.select("target", "text").mapInArrow(_unigrams(keys), "word long, background long, target long").groupBy("word").agg(*counts)
+    unigrams = scratch.write(unigrams, "words")
+    n = unigrams.agg(F.sum("background").alias("background"), F.sum("target").alias("target"), F.count(F.when(F.col("word") != int(OTHER), 1)).alias("words")).first()
+    entries, has_target = n["words"] + 2, bool(n["target"])
+    of_word = unigrams.select("word", F.col("background").alias("word_background"), F.col("target").alias("word_target"))
+
+    sums = []
+    for part in range(SLICES):
+        bigrams = marked.select("target", "text").mapInArrow(_bigrams(keys, part), "before long, word long, background long, target long").groupBy("before", "word").agg(*counts)
+        bigrams = scratch.write(bigrams, "bigrams")
+        contexts = bigrams.groupBy("before").agg(
+            F.sum("background").alias("total_background"), F.count("*").alias("kinds_background"), F.sum("target").alias("total_target"), F.count_if(F.col("target") > 0).alias("kinds_target")
+        )
+        every = bigrams.join(contexts.hint("shuffle_hash"), "before").join(of_word.hint("shuffle_hash"), "word")
+        background = _loss("background", "word_background", "total_background", "kinds_background", n["background"] or 0, entries)
+        target = _loss("target", "word_target", "total_target", "kinds_target", n["target"] or 0, entries) if has_target else background
+        losses = every.select(F.xxhash64("before", "word").alias("bigram"), target.alias("target_loss"), background.alias("background_loss"))
+        tokens = marked.select("row", "text").mapInArrow(_tokens(keys, part), "row long, before long, word long").select("row", F.xxhash64("before", "word").alias("bigram"))
+        found = tokens.join(losses.hint("shuffle_hash"), "bigram").groupBy("row").agg(F.sum("target_loss").alias("target_loss"), F.sum("background_loss").alias("background_loss"))
+        sums.append(scratch.write(found, "losses"))
+        scratch.drop(bigrams)
+
+    total = reduce(DataFrame.unionByName, sums).groupBy("row").agg(F.sum("target_loss").alias("target_loss"), F.sum("background_loss").alias("background_loss"))
+    sized = marked.select("row", "doc_id", "text").mapInArrow(_sizes, "row long, doc_id long, n_tokens long")
+    mean = lambda c: F.coalesce(F.col(c) / F.col("n_tokens"), F.lit(0.0)).alias(c)
+    return sized.join(total, "row", "left").select("doc_id", "n_tokens", mean("target_loss"), mean("background_loss")).withColumn("score", F.col("background_loss") - F.col("target_loss"))

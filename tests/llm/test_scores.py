@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -246,6 +247,31 @@ def test_lm_difference_matches_plain_counts(spark):
     assert min(out[i]["score"] for i in range(0, 40, 2)) > max(out[i]["score"] for i in range(1, 40, 2))
 
 
+def test_lm_models_hold_every_word(spark):
+    """More distinct words than any fixed table would keep."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"W{min(rng.randrange(6000), rng.randrange(6000))}" for _ in range(200)), None, None) for i in range(40)]
+    good = set(range(0, 40, 3))
+    out = {r["doc_id"]: r for r in lm_scores.score(table(spark, rows), spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
+    texts = {i: t.lower().split() for i, t, *_ in rows}
+    entries = len({w for t in texts.values() for w in t}) + 2
+    assert entries > 2048 + 2
+
+    def model(docs):
+        pairs = Counter(p for t in docs for p in zip([None, *t[:-1]], t, strict=True))
+        total, kinds, words = Counter(), Counter(a for a, _ in pairs), Counter(w for t in docs for w in t)
+        for (a, _), n in pairs.items():
+            total[a] += n
+        unigram = lambda w: (words[w] + 0.5) / (words.total() + 0.5 * entries)
+        return lambda a, w: -np.log((max(pairs[a, w] - 0.75, 0) + 0.75 * kinds[a] * unigram(w)) / total[a] if total[a] else unigram(w))
+
+    models = model([texts[i] for i in good]), model(texts.values())
+    for i, t in texts.items():
+        want = [np.mean([m(a, w) for a, w in zip([None, *t[:-1]], t, strict=True)]) for m in models]
+        assert out[i]["n_tokens"] == len(t)
+        assert np.allclose([out[i]["target_loss"], out[i]["background_loss"], out[i]["score"]], [*want, want[1] - want[0]], atol=1e-4)
+
+
 @pytest.mark.parametrize(
     "operator",
     [
