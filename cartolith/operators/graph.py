@@ -37,17 +37,18 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
 
 
 def paths(spark, edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """All simple paths from the starts, and those steps that close a cycle (marked and not followed)."""
-    edges.select("source", "target").distinct().createOrReplaceTempView("__path_edges")
-    start.select("node").createOrReplaceTempView("__path_starts")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(source, target, depth, path, closes) AS (
-            SELECT CAST(NULL AS BIGINT), node, 0, array(node), false FROM __path_starts
-            UNION ALL
-            SELECT w.target, e.target, w.depth + 1, array_append(w.path, e.target), array_contains(w.path, e.target)
-            FROM walk w JOIN __path_edges e ON e.source = w.target
-            WHERE NOT w.closes AND w.depth < {int(max_depth)})
-        SELECT source, target, depth, path, closes FROM walk""")
+    """All simple paths from the starts, and those steps that close a cycle (marked and not followed).
+
+    Open paths are a frontier that moves one step a round, checkpointed like that of `reachable`, so no bound on rows applies.
+    """
+    steps = _cut_lineage(edges.select(F.col("source").alias("target"), F.col("target").alias("next")).distinct())
+    walked = start.select(F.lit(None).cast("bigint").alias("source"), F.col("node").alias("target"), F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(False).alias("closes"))
+    frontier = walked
+    for depth in range(1, max_depth + 1):
+        step = frontier.filter("not closes").join(steps, "target")
+        frontier = _cut_lineage(step.select(F.col("target").alias("source"), F.col("next").alias("target"), F.lit(depth).alias("depth"), F.array_append("path", F.col("next")).alias("path"), F.array_contains("path", F.col("next")).alias("closes")))
+        walked = walked.unionByName(frontier)
+    return walked
 
 
 def type_counts(edges: DataFrame) -> DataFrame:

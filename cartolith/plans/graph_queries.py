@@ -10,6 +10,8 @@ from cartolith.operators import joins
 
 from .registry import query, table
 
+#: The reference's depth of a call flow.
+DEPTH = 5
 _CALLS = """calls AS (SELECT DISTINCT source, target FROM (SELECT o_custkey AS source, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS target FROM orders) WHERE target IS NOT NULL AND source <> target)"""
 
 
@@ -51,6 +53,20 @@ def call_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walked.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("chain"), "depth")
 
 
+@query()
+def cycle_edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps that close a cycle, over all edges; `cycle_edges` and its SQL keep a ninth of them."""
+    walked = op.paths(spark, calls(spark, sf_dir), spark.sql("SELECT 6L AS node"), DEPTH)
+    return walked.filter("closes").groupBy("source", "target").agg(F.min("depth").alias("depth"))
+
+
+@query()
+def call_chains_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains over all edges; `call_chains` and its SQL keep a ninth of them."""
+    walked = op.paths(spark, calls(spark, sf_dir), spark.sql("SELECT 6L AS node"), DEPTH).filter("not closes")
+    return walked.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("chain"), "depth")
+
+
 @query(f"WITH {_CALLS} SELECT DISTINCT source AS node FROM calls WHERE source NOT IN (SELECT target FROM calls)")
 def chain_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.roots(calls(spark, sf_dir), "source", "target")
