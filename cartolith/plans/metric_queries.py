@@ -9,7 +9,7 @@ from cartolith.functions import text as tx
 from cartolith.operators import drift
 from cartolith.operators import metrics as op
 
-from .registry import query, table
+from .registry import ORACLE_SQL, query, table
 
 _BAND = "CASE WHEN p_size <= 5 THEN 'low' WHEN p_size <= 10 THEN 'medium' WHEN p_size <= 25 THEN 'high' ELSE 'extreme' END"
 
@@ -135,6 +135,13 @@ def contract_text_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.text_checks(table(spark, sf_dir, "documents").select("doc_id", "text").join(b, "doc_id"), "terms", "text", "doc_id")
 
 
+@query(ORACLE_SQL["contract_text_checks"].replace("[1:12]", ""))
+def contract_text_checks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms; `contract_text_checks` and its SQL keep the first 12 of each text."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.split(F.lower("text"), " ").alias("terms"))
+    return drift.text_checks(table(spark, sf_dir, "documents").select("doc_id", "text").join(b, "doc_id"), "terms", "text", "doc_id")
+
+
 @query("SELECT NOT bool_or(o_orderpriority = '9-NONE') AS can_proceed, count(*)::VARCHAR || ' items: 0 critical, ' || count(*) FILTER (o_orderstatus = 'F') || ' warning, ' || count(*) FILTER (o_orderstatus <> 'F') || ' info' AS summary FROM orders")
 def drift_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.can_proceed(table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", "warning").otherwise("info").alias("severity")))

@@ -1,5 +1,8 @@
 """Core queries over whole tables, against brute force on the smallest tables."""
 
+import re
+from collections import Counter
+
 import pandas as pd
 
 from cartolith.plans.catalogue import QUERIES
@@ -46,3 +49,29 @@ def test_cycles_and_chains_over_all_calls(spark):
     assert collected(spark, "cycle_edges_whole") == sorted((*k, d) for k, d in closing.items())
     assert any(n % 3 for path, _ in walks for n in path)
     assert collected(spark, "call_chains_whole") == sorted((">".join(map(str, path)), len(path) - 1) for path, closes in walks if not closes)
+
+
+def test_documents_of_every_length_are_compared(spark):
+    count = lambda t: Counter(re.findall("[a-z]+", (t or "").lower()))
+    documents = pandas_table("documents")
+    assert (documents["n_chars"] >= 1200).any()
+    items = [(i, count(t)) for i, t in zip(pandas_table("benchmark")["item_id"].tolist(), pandas_table("benchmark")["text"], strict=True)]
+    want = {}
+    for d, text in zip(documents["doc_id"].tolist(), documents["text"], strict=True):
+        a = count(text)
+        for i, b in items:
+            shared = sum(min(n, b[w]) for w, n in a.items() if w in b)
+            if shared:
+                want[d, i] = shared, shared / (a.total() + b.total() - shared)
+    got = {(r["doc_id"], r["item_id"]): (r["shared"], r["jaccard"]) for r in QUERIES["multiset_jaccard_whole"](spark, DIR).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == v[0] and abs(got[k][1] - v[1]) < 1e-9 for k, v in want.items())
+
+
+def test_terms_beyond_the_twelfth_are_checked(spark):
+    documents, items = pandas_table("documents"), pandas_table("benchmark")
+    text = dict(zip(documents["doc_id"].tolist(), documents["text"], strict=True))
+    terms = [(i, t.lower().split(" ")) for i, t in zip(items["item_id"].tolist(), items["text"], strict=True) if i in text]
+    want = sorted((i, term) for i, found in terms for term in found if term not in text[i])
+    assert any(len(found) > 12 for _, found in terms)
+    assert collected(spark, "contract_text_checks_whole") == want
