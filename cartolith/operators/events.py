@@ -62,13 +62,14 @@ def phase_blocks(rows: DataFrame, key: list[str], phase: str, at: str, order: li
     return out.withColumn("duration_ms", F.greatest(F.floor((F.col("end_at") - F.col("start_at")) / 1000), F.lit(1000)))
 
 
-def timeline_matrix(commits: DataFrame, files: DataFrame, commit: str, path: str) -> DataFrame:
+def timeline_matrix(commits: DataFrame, files: DataFrame, commit: str, path: str, order: list[str] | None = None) -> DataFrame:
     """(path, commits, mask): for each file the commits, in order, that touch it, as a string of 0 and 1.
 
     Only the commits of a page come in, so the mask is short; membership is aggregated and no cross product is made.
+    Commits are in the order of the columns `order`, or of their key.
     """
-    order = Window.orderBy(commit)
-    numbered = commits.select(commit).distinct().withColumn("__no", F.row_number().over(order))
+    by = order or [commit]
+    numbered = commits.select(*dict.fromkeys([commit, *by])).distinct().select(commit, F.row_number().over(Window.orderBy(*by)).alias("__no"))
     touched = files.join(F.broadcast(numbered), commit).groupBy(path).agg(F.collect_set("__no").alias("__hits"))
     total = numbered.agg(F.count("*")).scalar()
     mask = F.array_join(F.transform(F.sequence(F.lit(1), F.col("__n").cast("int")), lambda i: F.when(F.array_contains("__hits", i), "1").otherwise("0")), "")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartolith.operators import graph as op
 from cartolith.operators import joins
 
-from .registry import query, table
+from .registry import ORACLE_SQL, query, table
 
 #: The reference's depth of a call flow.
 DEPTH = 5
@@ -28,6 +28,11 @@ def adjacency_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.adjacency(edges)
 
 
+@query(ORACLE_SQL["adjacency_list"].replace(" WHERE l_quantity > 47", ""))
+def adjacency_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.adjacency(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")))
+
+
 @query(f"""
     WITH RECURSIVE {_CALLS}, walk AS (SELECT 5::BIGINT AS node, 0 AS depth UNION SELECT c.target, w.depth + 1 FROM walk w JOIN calls c ON c.source = w.node WHERE w.depth < 5)
     SELECT node, min(depth) AS depth FROM walk GROUP BY 1""")
@@ -98,3 +103,10 @@ def external_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
     rows = table(spark, sf_dir, "lineitem").filter("l_quantity > 48").join(inside, "l_suppkey", "left_semi")
     return rows.groupBy(F.col("l_partkey").alias("target")).agg(F.min("l_suppkey").alias("caller"), F.count("*").alias("calls"), (F.min("l_linenumber") + 1).alias("depth"))
+
+
+@query(ORACLE_SQL["external_leaves"].replace("l_quantity > 48 AND ", ""))
+def external_leaves_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inside = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    rows = table(spark, sf_dir, "lineitem").join(inside, "l_suppkey", "left_semi")
+    return rows.groupBy(F.col("l_partkey").alias("target")).agg(F.min("l_suppkey").alias("caller"), F.count("*").alias("calls"), (F.min("l_linenumber") + 1).alias("depth"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartolith.operators import drift
 from cartolith.operators import joins as op
 
-from .registry import query, table
+from .registry import ORACLE_SQL, query, table
 from .search_queries import micros
 
 
@@ -64,6 +64,14 @@ def edge_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.compare_snapshots(before, after, ["s", "t"], None)
 
 
+@query(ORACLE_SQL["edge_drift"].replace(" WHERE l_quantity > 40", ""))
+def edge_drift_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    old = F.col("l_shipdate") < F.expr("TIMESTAMP_NTZ'1996-01-01'")
+    before, after = (rows.filter(c).select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("t")).distinct() for c in (old, ~old))
+    return op.compare_snapshots(before, after, ["s", "t"], None)
+
+
 @query(_SNAPSHOTS + """
     , d AS (SELECT CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' ELSE 'changed' END AS change, b.id IS NULL AS info
         FROM b FULL JOIN a ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.kind <> b.kind)
@@ -147,3 +155,17 @@ def timeline_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = table(spark, sf_dir, "orders").filter("o_orderkey < 30").select("o_orderkey")
     files = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
     return matrix(commits, files, "o_orderkey", "l_partkey")
+
+
+#: The reference's page of commits.
+NEWEST = 50
+
+
+@query()
+def timeline_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest commits, oldest of them first; `timeline_matrix` and its SQL take a range of ids."""
+    from cartolith.operators.events import timeline_matrix as matrix
+
+    commits = table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(NEWEST).select("o_orderkey", "o_orderdate")
+    files = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    return matrix(commits, files, "o_orderkey", "l_partkey", ["o_orderdate", "o_orderkey"])

@@ -44,7 +44,16 @@ def project_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT p_brand, CASE WHEN s1 >= 3 THEN 1 WHEN s2 >= 3 THEN 2 ELSE 3 END AS stage,
         CASE WHEN s1 >= 3 THEN CASE s1 WHEN 4 THEN 'high' ELSE 'medium' END WHEN s2 >= 3 THEN CASE s2 WHEN 4 THEN 'high' ELSE 'medium' END ELSE 'high' END AS confidence FROM s""")
 def stage_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "part").filter("p_partkey % 4 = 0").groupBy("p_brand").agg(F.count("*").alias("files"), F.sum("p_size").alias("loc"), F.countDistinct("p_type").alias("patterns"), F.countDistinct("p_name").alias("layers"))
+    return _stages(table(spark, sf_dir, "part").filter("p_partkey % 4 = 0"))
+
+
+@query(ORACLE_SQL["stage_decision"].replace(" WHERE p_partkey % 4 = 0", ""))
+def stage_decision_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stages(table(spark, sf_dir, "part"))
+
+
+def _stages(files: DataFrame) -> DataFrame:
+    m = files.groupBy("p_brand").agg(F.count("*").alias("files"), F.sum("p_size").alias("loc"), F.countDistinct("p_type").alias("patterns"), F.countDistinct("p_name").alias("layers"))
     four = [F.col(c) for c in ("files", "loc", "patterns", "layers")]
     return m.withColumn("stage", op.stage_of(*four)).select("p_brand", "stage", op.stage_confidence(*four, F.col("stage")).alias("confidence"))
 

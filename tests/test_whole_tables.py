@@ -75,3 +75,38 @@ def test_terms_beyond_the_twelfth_are_checked(spark):
     want = sorted((i, term) for i, found in terms for term in found if term not in text[i])
     assert any(len(found) > 12 for _, found in terms)
     assert collected(spark, "contract_text_checks_whole") == want
+
+
+def test_edges_of_every_quantity(spark):
+    lines, suppliers = pandas_table("lineitem"), pandas_table("supplier")
+    lists, dates, callers = {}, {}, {}
+    inside = set(suppliers["s_suppkey"][suppliers["s_acctbal"] > 0].tolist())
+    for s, p, date, no in zip(lines["l_suppkey"].tolist(), lines["l_partkey"].tolist(), lines["l_shipdate"], lines["l_linenumber"].tolist(), strict=True):
+        lists.setdefault(s, set()).add(p)
+        dates.setdefault((s, p), set()).add(date < pd.Timestamp("1996-01-01"))
+        if s in inside:
+            callers.setdefault(p, []).append((s, no))
+    assert collected(spark, "adjacency_list_whole") == sorted((s, ",".join(map(str, sorted(ps))), len(ps)) for s, ps in lists.items())
+    want = sorted((*k, "removed" if True in v else "added") for k, v in dates.items() if len(v) == 1)
+    assert sorted((r["s"], r["t"], r["change"]) for r in QUERIES["edge_drift_whole"](spark, DIR).collect()) == want
+    assert collected(spark, "external_leaves_whole") == sorted((p, min(v)[0], len(v), min(no for _, no in v) + 1) for p, v in callers.items())
+
+
+def test_stages_count_every_file(spark):
+    def most(values, bounds):
+        return sum(v <= b for v, b in zip(values, bounds, strict=True))
+
+    want = []
+    for brand, g in pandas_table("part").groupby("p_brand"):
+        values = len(g), g["p_size"].sum(), g["p_type"].nunique(), g["p_name"].nunique()
+        want.append((brand, 1 if most(values, (3, 500, 0, 0)) >= 3 else 2 if most(values, (20, 3000, 3, 3)) >= 3 else 3))
+    assert sorted((r["p_brand"], r["stage"]) for r in QUERIES["stage_decision_whole"](spark, DIR).collect()) == sorted(want)
+
+
+def test_timeline_of_the_newest_commits(spark):
+    newest = pandas_table("orders").sort_values(["o_orderdate", "o_orderkey"])["o_orderkey"].tolist()[-50:]
+    touched = {}
+    for o, p in pandas_table("lineitem")[["l_orderkey", "l_partkey"]].itertuples(index=False):
+        if o in set(newest):
+            touched.setdefault(p, set()).add(o)
+    assert collected(spark, "timeline_newest") == sorted((p, len(v), "".join("01"[o in v] for o in newest)) for p, v in touched.items())
