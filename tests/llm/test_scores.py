@@ -61,6 +61,26 @@ def test_network_learns_and_keeps_recall():
     assert (p[y > 0] >= net.threshold).mean() > 0.9 and (p[y == 0] >= net.threshold).mean() < 0.05
 
 
+def network_of(letter):
+    """A network that takes a candidate if `letter` is anywhere in what it sees."""
+    embed = np.zeros((128, secrets_scan.EMBED), np.float32)
+    embed[ord(letter)] = 1
+    return secrets_scan.Network(embed, np.ones((secrets_scan.WIDTH * secrets_scan.EMBED, secrets_scan.CHANNELS), np.float32), np.zeros(secrets_scan.CHANNELS, np.float32), np.ones(secrets_scan.CHANNELS, np.float32), -0.5, threshold=0.5)
+
+
+def spans_by(spark, monkeypatch, letter, texts):
+    monkeypatch.setattr(secrets_scan, "fit", lambda docs: network_of(letter))
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    return {r["doc_id"]: r["spans"] for r in secrets_scan.scan(table(spark, rows).coalesce(1)).collect()}
+
+
+def test_neighbours_do_not_change_model_spans(spark, monkeypatch):
+    text = "abcdefgh12345678"
+    out = spans_by(spark, monkeypatch, "~", ["..", text, "..", text, "~~~~", text, "~~", text + " ~"])
+    assert [out[i] for i in (1, 3, 5)] == ["", "", ""]
+    assert out[7] == "model:0:16"
+
+
 def test_fingerprints_match_brute_force(spark):
     rows = documents(3)
     order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] or ""))
