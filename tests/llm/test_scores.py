@@ -81,6 +81,15 @@ def test_neighbours_do_not_change_model_spans(spark, monkeypatch):
     assert out[7] == "model:0:16"
 
 
+def test_whole_candidates_are_seen(spark, monkeypatch):
+    long = "k1" * 300
+    texts = [long + "Z", long + " Z", long, "Z" + long, f"{long} {',' * secrets_scan.AFTER}Z", "xx/Zpath/of/three/parts/token=abcdefghij", "ZabcdefghijklmnopQ"]
+    out = spans_by(spark, monkeypatch, "Z", texts)
+    assert [out[i] for i in range(5)] == ["model:0:601", "model:0:600", "", "model:0:601", ""]
+    assert out[5] == "model:0:24,assign:24:40"
+    assert out[6] == "model:0:18"
+
+
 def test_fingerprints_match_brute_force(spark):
     rows = documents(3)
     order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] or ""))
