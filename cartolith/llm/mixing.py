@@ -1,9 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 The words of a source, documents in order of id, are packed into blocks of fixed length. A source with target t gets
-t / size slots for each of its blocks. Every slot draws its output shard at random, so the source counts of the shards are multinomial draws
-given the sources' totals (drawing the totals too would leave small sources far from their targets). Slot i maps to
-block perm(i mod blocks), a swap-or-not permutation keyed by source and epoch, and blocks are joined by index.
+t / size slots for each of its blocks. A slot's output shard is a multiplicative generator's value for source and slot,
+linear in the slot, so a source's slots spread over the shards almost evenly: the counts vary far less than multinomial
+draws would. Slot i maps to block perm(i mod blocks), a swap-or-not permutation keyed by source and epoch, and blocks are joined by index.
 
 Defined cases: null or empty text has size 0 and nothing is taken of it; null sources are one source, ordered last;
 null ids come first in their source; repeated rows are separate rows; an empty table gives an empty result.
