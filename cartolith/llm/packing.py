@@ -31,7 +31,6 @@ from . import textcore as tc
 from .common import Scratch, text_or_empty
 
 LENGTH, CLOSING = 2048, 0
-SEARCH_STEPS = 60_000
 _LIMIT = 0x250
 _CACHE_MOST = 400_000
 GROUP_BYTES = 3 << 20
@@ -234,22 +233,25 @@ def _exchange(giver: Pattern, taker: Pattern, length: int) -> tuple[Pattern, Pat
     return tuple(sorted([*giver_left, *back], reverse=True)), tuple(sorted([*taker_left, *out], reverse=True))
 
 
-def local_search(packed: dict[Pattern, int], length: int, steps: int = SEARCH_STEPS) -> dict[Pattern, int]:
+def local_search(packed: dict[Pattern, int], length: int, steps: int | None = None) -> dict[Pattern, int]:
     """Empties bins: the least filled gives to fuller ones, and each exchange raises the sum of squared fills.
 
-    A bin that can give nothing rests until another bin has changed; `steps` bounds the exchanges that are tried.
+    A bin that can give nothing rests, and then tries only bins that have come up since: an exchange that failed fails
+    again. The search ends when all rest or the lower bound is met; `steps` bounds the exchanges that are tried, if given.
     """
     bins = dict(packed)
     fewest = -(-sum(sum(p) * n for p, n in bins.items()) // length)
-    spent, resting = 0, set()
-    while sum(bins.values()) > fewest and spent < steps:
+    # Numbers of changes: when a pattern came up last, and when a giver began to rest.
+    spent, now, born, rested = 0, 0, dict.fromkeys(bins, 0), {}
+    most = float("inf") if steps is None else steps
+    while sum(bins.values()) > fewest and spent < most:
         under = sorted((p for p in bins if sum(p) < length), key=lambda p: (sum(p), p))
-        giver = next((p for p in under if p not in resting), None)
+        giver = next((p for p in under if rested.get(p, -1) < now), None)
         if giver is None:
             break
         best = None
         for taker in reversed(under):
-            if taker == giver and bins[giver] < 2 or sum(taker) < sum(giver):
+            if taker == giver and bins[giver] < 2 or sum(taker) < sum(giver) or born[taker] <= rested.get(giver, -1):
                 continue
             spent += 1
             changed = _exchange(giver, taker, length)
@@ -258,21 +260,22 @@ def local_search(packed: dict[Pattern, int], length: int, steps: int = SEARCH_ST
                 best = (not changed[0], gain, taker, changed)
                 if not changed[0] or sum(changed[1]) == length:
                     break
-            if spent >= steps:
+            if spent >= most:
                 break
         if best is None:
-            resting.add(giver)
+            rested[giver] = now
             continue
         _, _, taker, (rest, filled) = best
         many = min(bins[giver], bins[taker]) if taker != giver else bins[giver] // 2
         for pattern, change in ((giver, -many), (taker, -many), (rest, many), (filled, many)):
             bins[pattern] = bins.get(pattern, 0) + change
         bins = {p: n for p, n in bins.items() if n and p}
-        resting.clear()
+        now += 1
+        born[rest] = born[filled] = now
     return bins
 
 
-def pack(df: DataFrame, tokenizer: str, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", steps: int = SEARCH_STEPS) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", steps: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece."""
     spark = df.sparkSession
     scratch = Scratch(spark, "pack")

@@ -131,3 +131,18 @@ def test_search_empties_a_bin():
 @pytest.mark.parametrize("operator", [lambda df: mixing.mix(df)["documents"], mixing.remix, lambda df: packing.pack(df, tokenizer_file())])
 def test_empty_table(spark, operator):
     assert operator(table(spark, [])).count() == 0
+
+
+def test_search_ends_when_no_exchange_is_left():
+    """Many underfull patterns: more exchanges than a fixed number of tries would reach."""
+    rng = random.Random(1)
+    histogram = Counter(rng.randrange(300, 1000) for _ in range(1000))
+    bins = packing.local_search(packing.best_fit(histogram, 2048), 2048)
+    assert sum(n * sum(p) for p, n in bins.items()) == sum(x * n for x, n in histogram.items())
+    under = [p for p in bins if sum(p) < 2048]
+    for giver in under if sum(bins.values()) > -(-sum(x * n for x, n in histogram.items()) // 2048) else []:
+        for taker in under:
+            if sum(taker) >= sum(giver) and (taker != giver or bins[giver] > 1):
+                changed = packing._exchange(giver, taker, 2048)
+                gain = 0 if changed is None else sum(changed[1]) - sum(taker)
+                assert not changed or changed[0] and gain * (sum(taker) - sum(giver) + gain) <= 0
