@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Shuffle files of a finished SQL execution go at once when this is on.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes that a batch of rows may have on its way to Python, which bounds a worker's memory whatever the texts.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,13 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of rows that go to Python in this session have at most BATCH_BYTES, unless it asks for less."""
+    now = spark.conf.get(_BATCH, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 class Scratch:
     """Written tables in the shared folder: they cut lineage and outlive lost executors."""
 
@@ -49,6 +58,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/cartolith-{label}-{uuid.uuid4().hex}"
         self._n = 0
+        small_batches(spark)
 
     def write(self, df: DataFrame, tag: str = "t") -> DataFrame:
         self._n += 1

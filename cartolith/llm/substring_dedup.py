@@ -68,7 +68,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
     """Fingerprint, check, document and word position of every window of `width` words; no window crosses documents."""
     starts, ends, first = tc.word_spans(data, offsets)
     words = tc.slice_hashes(data, starts, ends)
-    prints, checks = tc.sequence_hashes(words, width), (tc.sequence_hashes(words, width, 1) >> np.uint64(48)).astype(np.uint16)
+    prints, checks = tc.joined_hashes(words, width), (tc.joined_hashes(words, width, 1) >> np.uint64(48)).astype(np.uint16)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     if not len(prints):
         none = np.zeros(0, np.int64)

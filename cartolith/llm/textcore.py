@@ -6,6 +6,7 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, which for UTF-8 e
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,24 +14,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Slices longer than this many bytes are hashed one by one.
+_LONG = 256
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and grown."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << max(n - 1, 1).bit_length())
-        have = np.full(size, base, dtype=U64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _powers[base] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every output bit depends on every input bit."""
     x = x ^ (x >> U64(30))
@@ -84,26 +73,96 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each slice data[start:end]; equal slices have equal hashes wherever they stand."""
-    base = _BASE if not seed else (_BASE * (2 * seed + 1)) % (1 << 64) | 1
-    inverse = _INVERSE if not seed else pow(base, -1, 1 << 64)
-    sums = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum((data.astype(U64) + U64(1 + 2 * seed)) * powers(base, len(data)), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * powers(inverse, len(data) + 1)[starts]
-    return mix(value + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each byte, zeros beyond the end, as little-endian numbers; a view."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _head(eights: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first `size` bytes (at most eight) at each place."""
+    bits = np.clip(size, 0, 8).astype(U64) * U64(8)
+    return np.where(bits > 0, (eights[at] << (U64(64) - np.maximum(bits, U64(8)))) >> (U64(64) - np.maximum(bits, U64(8))), U64(0))
+
 
+def heads(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first `sizes` bytes (at most eight) at each place as a number, the first byte lowest."""
+    return _head(_eights(data), starts, sizes)
 
-def sequence_hashes(values: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """A hash of each run of `width` consecutive values (len(values)-width+1 of them)."""
+
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each slice data[start:end]; equal slices have equal hashes wherever they stand.
+
+    Eight bytes at a time enter a chain of mixing steps that starts from the length, so no pattern of letters cancels
+    out; slices of one length up to eight bytes never collide. Longer ones than _LONG bytes are hashed by BLAKE2.
+    """
+    if data.dtype != np.uint8:
+        starts, ends, data = starts * data.itemsize, ends * data.itemsize, np.ascontiguousarray(data).view(np.uint8)
+    eights, sizes = _eights(data), ends - starts
+    out = mix(sizes.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(0x9E3779B97F4A7C15) * U64(seed + 1))
+    live = np.flatnonzero((sizes > 0) & (sizes <= _LONG))
+    at, left = starts[live], sizes[live]
+    while len(live):
+        out[live] = mix(out[live] ^ _head(eights, at, left))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(sizes > _LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+def same_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each slice equals the other one byte for byte."""
+    eights = _eights(data)
+    same = ends - starts == other_ends - other_starts
+    live = np.flatnonzero(same & (starts != other_starts))
+    at, to, left = starts[live], other_starts[live], (ends - starts)[live]
+    while len(live):
+        equal = _head(eights, at, left) == _head(eights, to, left)
+        same[live[~equal]] = False
+        more = equal & (left > 8)
+        live, at, to, left = live[more], at[more] + 8, to[more] + 8, left[more] - 8
+    return same
+
+
+def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of one slice of each distinct content, and for every slice which of those it equals; compared in full."""
+    if data.dtype != np.uint8:
+        starts, ends, data = starts * data.itemsize, ends * data.itemsize, np.ascontiguousarray(data).view(np.uint8)
+    _, one, inverse = np.unique(slice_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    chosen = one[inverse]
+    unlike = np.flatnonzero(~same_slices(data, starts, ends, starts[chosen], ends[chosen]))
+    if len(unlike):  # slices of one hash that differ
+        raw, known, extra = data.tobytes(), {}, []
+        for k in unlike.tolist():
+            text = raw[starts[k] : ends[k]]
+            if text not in known:
+                known[text] = len(one) + len(extra)
+                extra.append(k)
+            inverse[k] = known[text]
+        one = np.concatenate([one, extra])
+    return one, inverse
+
+
+def joined_hashes(values: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """A hash of each run of `width` consecutive values (len(values)-width+1 of them).
+
+    Hashes of runs of 1, 2, 4, ... values are each mixed from two of half the length; a run is mixed from those that
+    the binary digits of its width name.
+    """
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=U64)
-    base = (0xC2B2AE3D27D4EB4F * (2 * seed + 1)) % (1 << 64) | 1
-    inverse = pow(base, -1, 1 << 64)
-    sums = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum(values * powers(base, len(values)), out=sums[1:])
-    return mix((sums[width:] - sums[:-width]) * powers(inverse, n) + U64(width * 0x9E3779B1 + seed))
+    first, second = U64(0x9E3779B97F4A7C15 + 2 * seed), U64(0xC2B2AE3D27D4EB4F)
+    out, at, size, piece = np.full(n, U64(width * 0x9E3779B1 + seed)), 0, 1, values
+    while size <= width:
+        if width & size:
+            out = mix(out * first + piece[at : at + n] + second)
+            at += size
+        if 2 * size <= width:
+            piece = mix(piece[:-size] * first + piece[size:] * second)
+        size *= 2
+    return out
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +174,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     starts, ends, first = word_spans(data, offsets)
     words = slice_hashes(data, starts, ends)
     count = np.diff(first)
-    full = sequence_hashes(words, width)
+    full = joined_hashes(words, width)
     sizes = np.where(count >= width, count - width + 1, np.minimum(count, 1))
     at = np.concatenate([[0], np.cumsum(sizes)])
     out = np.empty(at[-1], dtype=U64)
@@ -126,7 +185,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     for k in range(1, width):
         some = np.flatnonzero(count == k)
         if len(some):
-            short = sequence_hashes(words, k)
+            short = joined_hashes(words, k)
             out[at[some]] = short[first[some]]
     for a, b in zip(at[:-1], at[1:], strict=True):
         if b - a > 1:
