@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -227,78 +228,97 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(df, one).filter("predicted <> 0").count() == 0
 
 
-def test_shared_orders_are_a_distribution():
-    """For each context, probabilities of the letters that follow and of the backoff come to one."""
-    words = [b"abc", b"abd", b"bcd", b"ccc"]
-    grams, gram_ratio, contexts, ratio = toxicity.fit_ratios(words, np.array([5.0, 0, 1, 2]), np.array([0.0, 7, 1, 2]))
-    model = toxicity.Model(grams, gram_ratio, contexts, ratio, np.zeros(3), np.ones(3), np.zeros(0))
-    data = np.frombuffer(b"abcabdccc", np.uint8)
-    r = toxicity.word_ratios(model, data, np.array([0, 3, 6]), np.array([3, 6, 9]))
-    assert r[0] > 0.5 and r[1] < -0.5 and abs(r[2]) < 0.3
+def brute_kneser_ney(words, counts):
+    """p(letter | context) of a class by plain recursion: own discounted counts, then continuation counts that all words share."""
+    framed = [b"\x01" + w + b"\x02" for w in words]
+    events = [(w[max(0, i - toxicity.ORDER + 1) : i], w[i : i + 1], n) for w, n in zip(framed, counts, strict=True) for i in range(1, len(w))]
+    every = {(c[k:], x) for c, x, _ in events for k in range(len(c) + 1)}
 
+    def lower(context, x):
+        shorter = lower(context[1:], x) if context else 1 / 256
+        longer = Counter(y for c, y in every if len(c) == len(context) + 1 and c[1:] == context)
+        return (max(longer[x] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(longer) * shorter) / longer.total() if longer else shorter
 
-def test_lm_difference_matches_plain_counts(spark):
+    def chance(context, x):
+        own = Counter()
+        for c, y, n in events:
+            if c == context and n:
+                own[y] += n
+        backoff = lower(context[1:], x) if context else 1 / 256
+        return (max(own[x] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(own) * backoff) / own.total() if own else backoff
+
+    return chance
+
+
+def test_toxicity_ratios_match_brute_force():
     rng = random.Random(3)
-    rows = [(i, prose(rng, 30) if i % 2 else " ".join(rng.choice(["good", "fine", "alpha"]) for _ in range(30)), None, None) for i in range(40)] + [(100, None, None, None), (101, "", None, None)]
-    target = spark.createDataFrame([(i,) for i in range(0, 40, 2)] + [(None,)], "doc_id long")
-    size = 10
-    out = {r["doc_id"]: r for r in lm_scores.score(table(spark, rows), target, words=size).collect()}
-    texts = {d: (t or "").lower().split() for d, t, *_ in rows}
-    counts = {}
-    for w in texts.values():
-        for x in w:
-            counts[x] = counts.get(x, 0) + 1
-    vocab = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:size]]
-    ids = {w: i for i, w in enumerate(vocab)}
-
-    def table_of(docs):
-        c = np.zeros((size + 2, size + 2))
-        for w in docs:
-            before = size + 1
-            for x in w:
-                c[before, ids.get(x, size)] += 1
-                before = ids.get(x, size)
-        uni = (c.sum(0) + 0.5) / (c.sum(0) + 0.5).sum()
-        p = np.tile(uni, (size + 2, 1))
-        for v in range(size + 2):
-            if c[v].sum():
-                p[v] = np.maximum(c[v] - 0.75, 0) / c[v].sum() + 0.75 * (c[v] > 0).sum() / c[v].sum() * uni
-        assert np.allclose(p.sum(1), 1)
-        return -np.log(p)
-
-    background, good = table_of(texts.values()), table_of([texts[i] for i in range(0, 40, 2)])
-    for d, w in texts.items():
-        codes = [size + 1, *(ids.get(x, size) for x in w)]
-        loss = [np.mean([t[a, b] for a, b in zip(codes[:-1], codes[1:], strict=True)]) if w else 0.0 for t in (good, background)]
-        r = out[d]
-        assert r["n_tokens"] == len(w)
-        assert np.allclose([r["target_loss"], r["background_loss"], r["score"]], [loss[0], loss[1], loss[1] - loss[0]], atol=1e-4)
-    assert min(out[i]["score"] for i in range(0, 40, 2)) > max(out[i]["score"] for i in range(1, 40, 2))
-
-
-def test_lm_models_hold_every_word(spark):
-    """More distinct words than any fixed table would keep."""
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))).encode() for _ in range(30)})
+    toxic, ordinary = ([rng.randrange(0, 4) for _ in words] for _ in range(2))
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    starts, ends, _ = toxicity.tc.word_spans(data, np.array([0, len(data)]))
+    framed, at = toxicity._framed(data, starts, ends)
+    where, begin = toxicity._events(framed, at)
+    grams, of = np.unique(toxicity._packed(framed, begin, where + 1), return_inverse=True)
+    word = np.repeat(np.arange(len(words)), np.diff(at) - 1)
+    model = toxicity.Model(*toxicity.fit_ratios(grams, *(np.bincount(of, weights=np.array(c, float)[word]) for c in (toxic, ordinary))), np.array([0.0, 1.0]))
+    models = [brute_kneser_ney(words, c) for c in (toxic, ordinary)]
+
+    def ratio(w):
+        f = b"\x01" + w + b"\x02"
+        logs = [sum(np.log(m(f[max(0, i - toxicity.ORDER + 1) : i], f[i : i + 1])) for i in range(1, len(f))) for m in models]
+        return logs[0] - logs[1]
+
+    assert np.allclose(toxicity.word_ratios(model, data, starts, ends), [ratio(w) for w in words], atol=0.05)  # entries within 0.01 a letter of the backoff are left out
+    want = np.mean([np.log(1 - toxicity.STREWN + toxicity.STREWN * np.exp(ratio(w))) for w in words])
+    assert abs(toxicity.ratios(model, data, np.array([0, len(data)]))[0] - want) < 0.01
+
+
+def brute_lm(rows, good):
+    """(target loss, background loss) per row by counting everything anew for each document without it."""
+    texts = [(t or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)) for _, t, *_ in rows]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
+    side = [d in good for d, *_ in rows]
+    size = len({w for t in words for w in t})
+    totals = [sum(len(w) for w, s in zip(words, side, strict=True) if s == k) for k in (False, True)]
+    out = []
+    for me, mine in enumerate(words):
+        losses = []
+        for k in (True, False):
+            seen = [w for j, (w, s) in enumerate(zip(words, side, strict=True)) if w and (s == k or not all(totals)) and j != me]
+            inside = side[me] == k or not all(totals)
+            left = (totals[k] if all(totals) else sum(totals)) - (len(mine) if inside else 0)
+            scale = min(1.0, (min(totals) if all(totals) else sum(totals)) / max(left, 1))
+            one, pairs = Counter(w for t in seen for w in t), Counter(p for t in seen for p in zip([None, *t[:-1]], t, strict=True))
+            heads = Counter()
+            for (a, _), n in pairs.items():
+                heads[a] += n
+            p = lambda w: (scale * one[w] + lm_scores.ADD) / (scale * left + lm_scores.ADD * (size + 1))  # noqa: E731, B023
+            logs = [-np.log((scale * pairs[a, w] + lm_scores.WEIGHT * p(w)) / (scale * heads[a] + lm_scores.WEIGHT)) for a, w in zip([None, *mine[:-1]], mine, strict=False)]
+            losses.append(float(np.mean(logs)) if logs else 0.0)
+        out.append((len(mine), *losses))
+    return out
+
+
+@pytest.mark.parametrize("good", [lambda rows: {d for d, *_ in rows[::3] if d is not None}, lambda rows: set()])
+def test_lm_scores_match_brute_force(spark, good):
+    rows = [r for r in documents(8) if r[1] is None or len(r[1]) < 2000]
+    good = good(rows)
+    out = lm_scores.score(table(spark, rows).repartition(7), spark.createDataFrame([(i,) for i in good], "doc_id long"))
+    want = brute_lm(rows, good)
+    key = lambda r: (str(r[0]), r[1], round(r[2], 6), round(r[3], 6))
+    have = sorted(((r["doc_id"], r["n_tokens"], r["target_loss"], r["background_loss"]) for r in out.collect()), key=key)
+    need = sorted(((d, *w) for (d, *_), w in zip(rows, want, strict=True)), key=key)
+    assert [x[:2] for x in have] == [x[:2] for x in need]
+    assert np.allclose([x[2:] for x in have], [x[2:] for x in need], atol=1e-9)
+    assert all(abs(r["score"] - (r["background_loss"] - r["target_loss"])) < 1e-12 and (good or r["score"] == 0) for r in out.collect())
+
+
+def test_lm_prefers_the_target(spark):
+    """Documents of the target's kind that are not in it score above others, and more distinct words than any fixed table would keep."""
     rng = random.Random(5)
-    rows = [(i, " ".join(f"W{min(rng.randrange(6000), rng.randrange(6000))}" for _ in range(200)), None, None) for i in range(40)]
-    good = set(range(0, 40, 3))
-    out = {r["doc_id"]: r for r in lm_scores.score(table(spark, rows), spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
-    texts = {i: t.lower().split() for i, t, *_ in rows}
-    entries = len({w for t in texts.values() for w in t}) + 2
-    assert entries > 2048 + 2
-
-    def model(docs):
-        pairs = Counter(p for t in docs for p in zip([None, *t[:-1]], t, strict=True))
-        total, kinds, words = Counter(), Counter(a for a, _ in pairs), Counter(w for t in docs for w in t)
-        for (a, _), n in pairs.items():
-            total[a] += n
-        unigram = lambda w: (words[w] + 0.5) / (words.total() + 0.5 * entries)
-        return lambda a, w: -np.log((max(pairs[a, w] - 0.75, 0) + 0.75 * kinds[a] * unigram(w)) / total[a] if total[a] else unigram(w))
-
-    models = model([texts[i] for i in good]), model(texts.values())
-    for i, t in texts.items():
-        want = [np.mean([m(a, w) for a, w in zip([None, *t[:-1]], t, strict=True)]) for m in models]
-        assert out[i]["n_tokens"] == len(t)
-        assert np.allclose([out[i]["target_loss"], out[i]["background_loss"], out[i]["score"]], [*want, want[1] - want[0]], atol=1e-4)
+    rows = [(i, " ".join(f"W{3 * min(rng.randrange(9000), rng.randrange(9000)) + i % 2}" for _ in range(300)), None, None) for i in range(60)]
+    out = {r["doc_id"]: r["score"] for r in lm_scores.score(table(spark, rows), spark.createDataFrame([(i,) for i in range(0, 40, 2)], "doc_id long")).collect()}
+    assert min(out[i] for i in range(40, 60, 2)) > max(out[i] for i in range(41, 60, 2))
 
 
 @pytest.mark.parametrize(
