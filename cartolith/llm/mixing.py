@@ -1,9 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 The words of a source, documents in order of id, are packed into blocks of fixed length. A source with target t gets
-t / size slots for each of its blocks. A slot's output shard is a multiplicative generator's value for source and slot,
-linear in the slot, so a source's slots spread over the shards almost evenly: the counts vary far less than multinomial
-draws would. Slot i maps to block perm(i mod blocks), a swap-or-not permutation keyed by source and epoch, and blocks are joined by index.
+t / size slots for each of its blocks. Every slot draws its output shard by a non-linear hash of source and slot, so the
+counts of a source over the shards are multinomial, with the total held at the source's target. Slot i maps to block
+perm(i mod blocks), a swap-or-not permutation keyed by source and epoch, and blocks are joined by index.
 
 Defined cases: null or empty text has size 0 and nothing is taken of it; null sources are one source, ordered last;
 null ids come first in their source; repeated rows are separate rows; an empty table gives an empty result.
@@ -32,6 +32,12 @@ def _scramble(x: Column) -> Column:
     return ((x % _PRIME) * 48271 % _PRIME) * 16807 % _PRIME
 
 
+def drawn(x: Column) -> Column:
+    """A value that is not linear in x: a scrambled square between two scrambles."""
+    y = _scramble(x)
+    return _scramble(y * y % _PRIME + 1)
+
+
 def permuted(position: Column, n: Column, key: Column) -> Column:
     """Swap-or-not permutation of 0..n-1: in each round x and K - x change places if a bit of their larger one says so."""
 
@@ -83,7 +89,7 @@ def mix(df: DataFrame, block: int = BLOCK, seed: int = 0, text_col: str = "text"
     span = span.repartition(n, "src", "segment")
     slots = span.select("src", "blocks", "shards", F.explode(F.sequence(F.col("segment") * SEGMENT, F.least(F.col("slots"), (F.col("segment") + 1) * SEGMENT) - 1)).alias("slot"))
     key = F.col("src") * 7919 + F.floor(F.col("slot") / F.col("blocks")) * 104729 + seed
-    slots = slots.select("src", "slot", (_scramble(F.col("src") * 15485863 + F.col("slot") * 32452843 + seed + 1) % F.col("shards")).alias("shard"), permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), key).alias("block"))
+    slots = slots.select("src", "slot", (drawn(F.col("src") % _PRIME * 15485863 + F.col("slot") % _PRIME * 32452843 + seed + 1) % F.col("shards")).alias("shard"), permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), key).alias("block"))
 
     used = slots.groupBy("src", "block").agg(F.count("*").alias("times"), F.min("shard").alias("first_shard"))
     touched = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
@@ -106,10 +112,14 @@ def _placed(parts: DataFrame, per_part: DataFrame, within) -> DataFrame:
     return rows.withColumn("start", F.col("part_start") + F.col("upto") - F.col("size")).drop("ps", "pp", "part_start", "upto")
 
 
-def remix(df: DataFrame, **options) -> DataFrame:
-    """The rows of the mix: a row appears taken / size times, rounded up or down by a pseudorandom draw of its id."""
-    parts = mix(df, carry=True, **options)
-    draw = (_scramble(F.coalesce("doc_id", F.lit(0)) * 2 + 1) % 65536) / 65536.0
-    copies = parts["documents"].select("row_key", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(F.lit(1)).cast("int").alias("copies"))
-    rows = parts["rows"].join(copies.filter("copies > 0"), parts["rows"]["__row"] == copies["row_key"])
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*df.columns)
+def remix(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of the mix: a row appears taken / size times, rounded up or down by a draw from a hash of its id and text.
+
+    A row without words appears once. Any id will do: none, a negative one or one that other rows have too.
+    """
+    parts = mix(df, carry=True, text_col=text_col, id_col=id_col, **options)
+    share = parts["documents"].select("row_key", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1.0)).alias("__share"))
+    rows = parts["rows"].join(share.filter("__share > 0"), parts["rows"]["__row"] == share["row_key"])
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("long"), text_or_empty(text_col)), F.lit(1 << 20)) / float(1 << 20)
+    copies = F.floor(F.col("__share") + draw).cast("int")
+    return rows.withColumn("__copies", copies).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*df.columns)

@@ -61,6 +61,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (op1_secret_scan, op2_fingerprints, op3_source_mix, op4_exact_dedup, op5_token_counts, op6_toxicity, op7_substring_dedup, op8_near_dedup, op9_lm_scores, op10_packing)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 _SCRAMBLE = "(({}) % 2147483647 * 48271 % 2147483647) * 16807 % 2147483647"
+_Y = f"({_SCRAMBLE.format('src % 2147483647 * 15485863 + slot % 2147483647 * 32452843 + 1')})"
+_DRAWN = _SCRAMBLE.format(f"({_Y} * {_Y} % 2147483647 + 1)")
 _KEY = "(src * 7919 + slot // blocks * 104729)"
 _OTHER = f"((({_SCRAMBLE.format(_KEY + ' + r * 1299709')}) % blocks - x) % blocks + blocks) % blocks"
 _STEP = f"CASE WHEN ({_SCRAMBLE.format(f'greatest(x, {_OTHER}) + {_KEY} * 31 + r * 7919')}) % 1024 < 512 THEN {_OTHER} ELSE x END"
@@ -77,7 +79,7 @@ ORACLE_SQL: dict[str, str] = {
             FROM sized z JOIN n ON z.source IS NOT DISTINCT FROM n.source),
         slot AS (SELECT src, blocks, unnest(range(slots)) AS slot, greatest(1, ceil(sum(slots) OVER () / {mixing.SHARD_SLOTS}.0))::BIGINT AS shards FROM n),
         used AS (SELECT src, block, count(*) AS times, min(shard) AS first_shard FROM (
-            SELECT src, ({_SCRAMBLE.format("src * 15485863 + slot * 32452843 + 1")}) % shards AS shard, list_reduce(list_prepend(slot % blocks, range({mixing.ROUNDS})), lambda x, r: {_STEP}) AS block FROM slot) GROUP BY 1, 2),
+            SELECT src, ({_DRAWN}) % shards AS shard, list_reduce(list_prepend(slot % blocks, range({mixing.ROUNDS})), lambda x, r: {_STEP}) AS block FROM slot) GROUP BY 1, 2),
         piece AS (SELECT *, unnest(range((start // {mixing.BLOCK})::BIGINT, ((start + size - 1) // {mixing.BLOCK})::BIGINT + 1)) AS block FROM placed WHERE size > 0),
         taken AS (SELECT row_no, sum((least(start + size, (block + 1) * {mixing.BLOCK}) - greatest(start, block * {mixing.BLOCK})) * coalesce(times, 0)) AS taken, min(first_shard) AS first_shard
             FROM piece LEFT JOIN used USING (src, block) GROUP BY 1)

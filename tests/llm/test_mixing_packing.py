@@ -72,6 +72,29 @@ def test_remix_repeats_or_drops_rows(spark):
     assert all(n <= 3 * have[k] for k, n in count.items())
 
 
+@pytest.mark.parametrize("first", [-(10**6), 7, 2**62 + 5, -(2**63), None])
+def test_remix_takes_what_the_mix_takes(spark, first):
+    """Whatever the ids, the copies' words come near the words that the mix takes."""
+    rng = random.Random(9)
+    rows = [(None if first is None else first + i, prose(rng, rng.randrange(20, 60)) + f" n{i}", None, "one" if i % 5 else "two") for i in range(400)]
+    df = table(spark, rows)
+    size = {t: len(WORD.findall(t)) for _, t, *_ in rows}
+    taken = sum(r["taken"] for r in mixing.mix(df, block=16)["documents"].collect())
+    copies = Counter(r["text"] for r in mixing.remix(df, block=16).collect())
+    assert abs(sum(size[t] * n for t, n in copies.items()) - taken) < 0.1 * taken
+    assert max(copies.values()) <= 3
+
+
+def test_shards_are_drawn_as_multinomials(spark):
+    """Counts of a source's slots over the shards vary as multinomial ones do, not evenly."""
+    from pyspark.sql import functions as F
+
+    shards = 64
+    slots = spark.range(64_000).select((mixing.drawn(F.lit(3) * 15485863 + F.col("id") * 32452843 + 1) % shards).alias("shard"))
+    counts = np.array([r["count"] for r in slots.groupBy("shard").count().collect()])
+    assert len(counts) == shards and 0.5 < counts.var() / counts.mean() < 1.7
+
+
 def test_pieces_and_places(spark):
     from tokenizers import Tokenizer
 
