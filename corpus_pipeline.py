@@ -1,4 +1,13 @@
-"""A corpus pipeline over `documents`: toxicity, exact dedup, near dedup, source mixing, packing."""
+"""A corpus pipeline over `documents`: toxicity, exact dedup, near dedup, source mixing, packing.
+
+Each stage works on all rows that its predecessor kept, and its result is written and read again, so a lost executor
+costs one stage. A table is deleted once the next one is written.
+
+Defined cases: a null text counts as empty and is never rejected as toxic on its own; all empty texts are one group, of
+which one row stays; wordless texts are near nothing, and the mix keeps them once; rows with a null id are kept by near
+dedup; negative, repeated and extreme ids are ids like others; extra columns pass through all stages but packing; an
+empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -53,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        before, docs = docs, scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop(before)  # tables of the input stay
     return docs
