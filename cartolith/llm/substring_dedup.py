@@ -2,9 +2,11 @@
 
 Documents enter in batches of ascending id. A batch's windows are cut into hash ranges (buckets); in each bucket they are
 sorted and merge-joined with the index, which holds immutable sorted runs of the windows of all earlier batches, so what
-is found there starts in a document with a smaller id. Fingerprints are 64 bits; a second, independent hash of 32 bits
-must agree before a window counts as equal. What is new becomes a run; a compaction merges runs of a bucket when there
-are FAN of them. `SubstringIndex` keeps the runs as tables in the shared folder, and further batches may be added later.
+is found there starts in a document with a smaller id. A match is verified by a second hash of CHECK_BITS bits, made of
+the words' letters with another seed and so independent of the 64-bit fingerprint: only windows that agree in both count
+as equal. Runs are read one after another. What is new becomes a run; a compaction merges the runs of a bucket when there
+are FAN of them, and cuts buckets finer as the index grows. `SubstringIndex` keeps the runs as tables in the shared
+folder, and further batches may be added later.
 
 Within a chunk of a map task only the first document's use of a window is sent, since its other documents are repeats
 whatever else exists; so a passage that most documents share sends one entry per chunk.
@@ -34,6 +36,10 @@ BATCHES, BUCKETS, FAN = 4, 96, 4
 CHUNK_BYTES = 4 << 20
 #: Bytes of text for each bucket, so that what a task merges does not grow with the input.
 BUCKET_BYTES = 16 << 20
+#: Bits of the second hash. Of n windows about n ** 2 / 2 ** (65 + CHECK_BITS) are expected to be taken for another's.
+CHECK_BITS = 24
+#: Bytes of a bucket's runs above which a compaction cuts the buckets finer.
+RUN_BYTES = 32 << 20
 _NO_ID = -(1 << 63)
 
 
@@ -67,8 +73,8 @@ def unsqueeze(blob: bytes, *dtypes) -> list[np.ndarray]:
 def windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Fingerprint, check, document and word position of every window of `width` words; no window crosses documents."""
     starts, ends, first = tc.word_spans(data, offsets)
-    words = tc.slice_hashes(data, starts, ends)
-    prints, checks = tc.joined_hashes(words, width), (tc.joined_hashes(words, width, 1) >> np.uint64(48)).astype(np.uint16)
+    prints = tc.joined_hashes(tc.slice_hashes(data, starts, ends), width)
+    checks = (tc.joined_hashes(tc.slice_hashes(data, starts, ends, 1), width, 1) >> np.uint64(64 - CHECK_BITS)).astype(np.uint32)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     if not len(prints):
         none = np.zeros(0, np.int64)
@@ -154,7 +160,7 @@ def _entries(blob: bytes) -> tuple[np.ndarray, ...]:
     n, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
     names = zstandard.ZstdDecompressor().decompress(blob[8 : 8 + size])
     docs, ids = _unplane(names[: 4 * n], np.uint32), _unplane(names[4 * n :], np.int64)
-    fp, check, of, pos = unsqueeze(blob[8 + size :], np.uint16, np.uint32, np.uint32)
+    fp, check, of, pos = unsqueeze(blob[8 + size :], np.uint32, np.uint32, np.uint32)
     return fp, check, ids[of], (docs[of].astype(np.uint64) << np.uint64(32)) | pos.astype(np.uint64)
 
 
@@ -180,7 +186,6 @@ def _merge(new: pd.DataFrame, runs: pd.DataFrame) -> Iterator[tuple]:
     for row in new[new["kind"] > 0].itertuples(index=False):
         yield row.kind, row.bucket, row.chunk, row.blob
     new = new[new["kind"] == 0]
-    history = [tuple(unsqueeze(b, np.uint16)) for b in runs["blob"]]
     if not len(new):
         return
     bucket = int(new["bucket"].iloc[0])
@@ -199,8 +204,8 @@ def _merge(new: pd.DataFrame, runs: pd.DataFrame) -> Iterator[tuple]:
     firsts = np.flatnonzero(head)
     group = np.cumsum(head) - 1
     known = np.zeros(len(firsts), dtype=bool)
-    for run in history:
-        known |= _member(fp[firsts], check[firsts], run)
+    for blob in runs["blob"]:
+        known |= _member(fp[firsts], check[firsts], tuple(unsqueeze(blob, np.uint32)))
     repeat = known[group] | (ids > np.minimum.reduceat(ids, firsts)[group])
     hit = order[repeat]
     hit = hit[np.argsort(chunk[hit], kind="stable")]
@@ -217,12 +222,21 @@ def _merge_group(new: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(list(_merge(new, runs)), columns=["kind", "bucket", "chunk", "blob"])
 
 
-def _compact(runs: pd.DataFrame) -> pd.DataFrame:
-    """One sorted run of a bucket's runs, which share nothing."""
-    parts = [unsqueeze(b, np.uint16) for b in runs["blob"]]
-    fp, check = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((check, fp))
-    return pd.DataFrame({"kind": [3], "bucket": runs["bucket"].iloc[:1].tolist(), "chunk": [""], "blob": [squeeze(fp[order], check[order])]})
+def _compact(times: int):
+    """One sorted run of a bucket's runs, which share nothing, cut into `times` buckets."""
+
+    def run(runs: pd.DataFrame) -> pd.DataFrame:
+        fp, check = (np.concatenate(x) for x in zip(*(unsqueeze(b, np.uint32) for b in runs["blob"]), strict=True))
+        order = np.argsort(fp, kind="stable")
+        if (fp[order[1:]] == fp[order[:-1]]).any():
+            order = np.lexsort((check, fp))
+        fp, check = fp[order], check[order]
+        old, every = int(runs["bucket"].iloc[0]), int(runs["buckets"].iloc[0]) * times
+        cut = [*np.searchsorted(fp, _edges(every)[old * times : (old + 1) * times]).tolist(), len(fp)]
+        parts = [(old * times + k, squeeze(fp[a:b], check[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+        return pd.DataFrame([(3, k, "", blob) for k, blob in parts], columns=["kind", "bucket", "chunk", "blob"])
+
+    return run
 
 
 def _spans(repeats: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
@@ -270,11 +284,16 @@ class SubstringIndex:
         return spans
 
     def compact(self) -> None:
+        """Merges all runs into one, its buckets finer if they hold more than RUN_BYTES."""
         old = self.runs
         rows = old[0]
         for run in old[1:]:
             rows = rows.unionByName(run)
-        self.runs = [self.scratch.write(rows.filter("kind = 3").groupBy("bucket").applyInPandas(_compact, _ROWS), "compacted")]
+        rows = rows.filter("kind = 3").withColumn("buckets", F.lit(self.buckets))
+        most = rows.groupBy("bucket").agg(F.sum(F.octet_length("blob")).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+        times = -(-most // RUN_BYTES) or 1
+        self.runs = [self.scratch.write(rows.groupBy("bucket").applyInPandas(_compact(times), _ROWS), "compacted")]
+        self.buckets *= times
         for run in old:
             self.scratch.drop(run)
 

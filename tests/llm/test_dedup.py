@@ -160,10 +160,12 @@ def test_substring_matches_brute_force(spark, batches):
     assert rows_of(out, "doc_id", "n_words", "n_removed", "kept_sha256", "kept_text") == brute_substring(rows)
 
 
-def test_index_compacts_and_goes_on(spark):
+@pytest.mark.parametrize("run_bytes", [substring_dedup.RUN_BYTES, 300])
+def test_index_compacts_and_goes_on(spark, monkeypatch, run_bytes):
     from pyspark.sql import functions as F
 
     rows = sorted((r for r in documents(7) if r[0] is not None), key=lambda r: r[0])
+    monkeypatch.setattr(substring_dedup, "RUN_BYTES", run_bytes)
     index = substring_dedup.SubstringIndex(spark, buckets=8, fan=2)
     found = Counter()
     step = -(-len(rows) // 5)
@@ -176,7 +178,7 @@ def test_index_compacts_and_goes_on(spark):
         for r in index.add(part).collect():
             found[r["doc_id"]] += int(np.frombuffer(r["spans"], "<u4").reshape(-1, 2)[:, 1].sum())
         at = end
-    assert len(index.runs) <= 2
+    assert len(index.runs) <= 2 and (index.buckets > 8) == (run_bytes == 300)
     first, want = {}, Counter()
     for d, t, *_ in rows:
         w = SPACE.findall(t or "")
@@ -188,6 +190,34 @@ def test_index_compacts_and_goes_on(spark):
     assert +found == +want
 
 
+def thue_morse(n, a, b):
+    out = a
+    while len(out) < n:
+        out += "".join(b if c == a else a for c in out)
+    return out[:n]
+
+
+@pytest.mark.parametrize("size", [64, 128, 1024, 2048])
+def test_alike_built_long_words_stay_apart(spark, size):
+    """Words that polynomial hashes modulo a power of two confuse: a Thue-Morse word and its complement."""
+    one, other = thue_morse(size, "a", "b"), thue_morse(size, "b", "a")
+    tail = "t1 t2 t3 t4 t5 t6 t7 t8 t9 t10 t11 t12"
+    rows = [(1, f"{one} {tail}", None, None), (2, f"{other} {tail}", None, None), (3, " ".join([one] * 5), None, None), (4, " ".join([other] * 5), None, None)]
+    assert rows_of(substring_dedup.dedup(table(spark, rows)), "doc_id", "n_removed") == [(1, 0), (2, 0), (3, 0), (4, 0)]
+    assert rows_of(near_dedup.near_components(table(spark, rows)), "doc_id", "component_id") == [(1, 1), (2, brute_components(rows)[2][1]), (3, 3), (4, 4)]
+
+
+def test_rows_of_one_id_link_all_their_texts(spark):
+    a, b = prose_of(1), prose_of(2)
+    rows = [(1, a, None, None), (2, b, None, None), (3, a, None, None), (3, b, None, None), (4, prose_of(3), None, None), (4, prose_of(3), None, None)]
+    assert rows_of(near_dedup.near_components(table(spark, rows)), "doc_id", "component_id") == [(1, 1), (2, 1), (3, 1), (3, 1), (4, 4), (4, 4)]
+
+
+def prose_of(seed):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(1000)}" for _ in range(60))
+
+
 def test_squeeze_round_trip():
     rng = np.random.default_rng(1)
     a = np.sort(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
