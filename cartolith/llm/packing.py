@@ -7,7 +7,7 @@ items between underfull bins, whole classes of equal bins at a time, as long as
 empty. Executors then give each piece the slot of its rank among the pieces of its length.
 
 Token ids are those of the tokenizer file. Text below U+0250 is split into pre-tokens by the pattern of that file with
-array operations, and each distinct pre-token is merged once; other documents go through the tokenizer itself.
+array operations, and each distinct pre-token is merged once, those of one hash being compared in full; other documents go through the tokenizer itself.
 
 Defined cases: null text counts as empty and gives one piece, the closing id alone; repeated rows are packed as rows of
 their own; a null id is kept as null; an empty table gives an empty result; further columns are ignored.
@@ -32,8 +32,8 @@ from .common import Scratch, text_or_empty
 
 LENGTH, CLOSING = 2048, 0
 _LIMIT = 0x250
-_CACHE_MOST = 400_000
-GROUP_BYTES = 3 << 20
+_CACHE_MOST = 200_000
+GROUP_BYTES = 1 << 20
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 #: White space below U+0250.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0]
@@ -124,7 +124,7 @@ class TokenIds:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(code))
-        _, one, inverse = np.unique(tc.slice_hashes(code, starts, ends), return_index=True, return_inverse=True)
+        one, inverse = tc.distinct_slices(code, starts, ends)
         if len(self.known) > _CACHE_MOST:
             self.known.clear()
         known, merge, ids = self.known, self.merge, []

@@ -62,6 +62,29 @@ def test_network_learns_and_keeps_recall():
     assert (p[y > 0] >= net.threshold).mean() > 0.9 and (p[y == 0] >= net.threshold).mean() < 0.05
 
 
+def test_network_finds_a_format_it_has_not_seen():
+    """Trained without one format and without any trigger word, it recalls most of it, and takes few other runs."""
+    rng = random.Random(6)
+    syllables = ["ing", "er", "tion", "ly", "re", "an", "the", "ou"]
+    words = lambda n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 7))) + rng.choice(["", ".", ".com", "/x"]) for _ in range(n))
+    known = tuple(f for f in secrets_scan.FORMATS if f != "prefixed")
+
+    def views_of(n, formats=None):
+        data, begin, _ = secrets_scan._joined(secrets_scan.pa.array([words(40) for _ in range(n)]))
+        spans = secrets_scan.runs_of(data, secrets_scan.CANDIDATE, [])
+        x, first = secrets_scan.views(data, spans, begin) if formats is None else secrets_scan.views(*secrets_scan.plant(data, spans, begin, formats))
+        return x, first
+
+    examples = []
+    for kind, formats in ((0, None), (3, known)):
+        x, first = views_of(150, formats)
+        examples += [(kind, rows.tobytes()) for rows in np.split(x, first[1:])]
+    net = secrets_scan.learn(examples)
+    assert 0 < net.threshold < 1
+    for formats, least, most in ((("prefixed",), 0.9, 1.0), (None, 0.0, 0.02)):
+        assert least <= (secrets_scan.probabilities(net, *views_of(60, formats)) >= net.threshold).mean() <= most
+
+
 def network_of(letter):
     """A network that takes a candidate if `letter` is anywhere in what it sees."""
     embed = np.zeros((128, secrets_scan.EMBED), np.float32)
@@ -172,7 +195,12 @@ def test_trie_counts_match_plain_dynamic_program():
     trie = token_counts.UnigramTrie(pieces)
     rng = random.Random(8)
     words = sorted({"▁" + "".join(rng.choice("abcéz中") for _ in range(rng.randrange(0, 9))) for _ in range(400)})
-    assert trie.counts(words) == [plain_unigram(w, pieces) for w in words]
+    want = [plain_unigram(w, pieces) for w in words]
+    assert trie.walked(words) == want
+    order = rng.sample(range(len(words)), len(words))
+    assert trie.counts([words[k] for k in order]).tolist() == [want[k] for k in order]
+    long = "▁" + "abcaab" * 100
+    assert trie.counts([long, "▁", "▁ab"]).tolist() == [plain_unigram(w, pieces) for w in (long, "▁", "▁ab")]
 
 
 def test_token_counts_of_documents(spark):
@@ -185,7 +213,7 @@ def test_token_counts_of_documents(spark):
         words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         for w in words:
             if w not in cache:
-                cache[w] = trie.counts(["▁" + w])[0]
+                cache[w] = trie.walked(["▁" + w])[0]
         want.append((d, len(words), len(set(words)), sum(cache[w] for w in words)))
     assert rows_of(token_counts.count(table(spark, rows), path), "doc_id", "n_pretokens", "n_distinct", "n_tokens") == sorted(want, key=repr)
 
