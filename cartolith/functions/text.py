@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Language of a file name's extension.
 LANGUAGES = {"py": "python", "pyw": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "c": "c", "h": "c"}
 #: Directories that scans leave out, and prefixes of such.
-EXCLUDED_DIRS = ("node_modules", "__pycache__", "build", "dist", "venv", "env", "out", "target", "test", "tests")
+EXCLUDED_DIRS = ("node_modules", "__pycache__", "build", "dist", "venv", "env", "out", "target", "test", "tests", "_deps", "vendor")
 EXCLUDED_PREFIXES = (".", "cmake-build-", "CMakeFiles")
 #: Extensions that scans keep.
 SOURCE_SUFFIXES = (".py", ".js", ".jsx", ".ts", ".tsx", ".c", ".h", ".cpp", ".hpp", ".cc", ".hh", ".html", ".htm")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartolith.functions.hashing import fnv1a_32
 from cartolith.operators import clones as op
 
-from .registry import ORACLE_SQL, query, table
+from .registry import query, table
 
 _TOKENS = """tok AS (SELECT doc_id AS file, list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: list_reduce(list_prepend(2166136261::BIGINT,
         list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)) AS tokens FROM documents)"""
@@ -109,18 +109,12 @@ def _benchmark_jaccard(spark: SparkSession, sf_dir: str, documents: DataFrame) -
 
 
 @query("""
-    WITH a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE n_chars < 1200) GROUP BY 1, 2),
+    WITH a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY 1, 2),
     b AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) GROUP BY 1, 2),
     ta AS (SELECT doc_id, sum(n) AS n FROM a GROUP BY 1), tb AS (SELECT item_id, sum(n) AS n FROM b GROUP BY 1),
     s AS (SELECT doc_id, item_id, sum(least(a.n, b.n)) AS shared FROM a JOIN b USING (w) GROUP BY 1, 2)
     SELECT doc_id, item_id, shared::BIGINT AS shared, shared / (ta.n + tb.n - shared) AS jaccard FROM s JOIN ta USING (doc_id) JOIN tb USING (item_id)""")
 def multiset_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _benchmark_jaccard(spark, sf_dir, table(spark, sf_dir, "documents").filter("n_chars < 1200"))
-
-
-@query(ORACLE_SQL["multiset_jaccard"].replace(" WHERE n_chars < 1200", ""))
-def multiset_jaccard_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of every length; `multiset_jaccard` and its SQL keep those under 1200 characters."""
     return _benchmark_jaccard(spark, sf_dir, table(spark, sf_dir, "documents"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartolith.operators import graph as op
 from cartolith.operators import joins
 
-from .registry import ORACLE_SQL, query, table
+from .registry import query, table
 
 #: The reference's depth of a call flow.
 DEPTH = 5
@@ -22,17 +22,12 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.filter("target is not null and source <> target").distinct()
 
 
-@query("SELECT l_suppkey AS source, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS targets, count(DISTINCT l_partkey) AS n_targets FROM lineitem WHERE l_quantity > 47 GROUP BY 1".replace("string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR)", "array_to_string(list_sort(list_distinct(list(l_partkey))), ',')"))
+@query("SELECT l_suppkey AS source, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS targets, count(DISTINCT l_partkey) AS n_targets FROM lineitem GROUP BY 1".replace("string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR)", "array_to_string(list_sort(list_distinct(list(l_partkey))), ',')"))
 def adjacency_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "lineitem").filter("l_quantity > 47").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"))
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"))
     return op.adjacency(edges)
 
 
-@query(ORACLE_SQL["adjacency_list"].replace(" WHERE l_quantity > 47", ""))
-def adjacency_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.adjacency(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")))
-
-
 @query(f"""
     WITH RECURSIVE {_CALLS}, walk AS (SELECT 5::BIGINT AS node, 0 AS depth UNION SELECT c.target, w.depth + 1 FROM walk w JOIN calls c ON c.source = w.node WHERE w.depth < 5)
     SELECT node, min(depth) AS depth FROM walk GROUP BY 1""")
@@ -40,41 +35,26 @@ def reachable_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.reachable(calls(spark, sf_dir), spark.sql("SELECT 5L AS node"), 5)
 
 
-_WALK = f"""{_CALLS}, few AS (SELECT source, target FROM calls WHERE source % 3 = 0 AND target % 3 = 0), walk AS (
+_WALK = f"""{_CALLS}, walk AS (
         SELECT NULL::BIGINT AS source, 6::BIGINT AS target, 0 AS depth, [6::BIGINT] AS path, false AS closes
-        UNION ALL SELECT w.target, e.target, w.depth + 1, list_append(w.path, e.target), list_contains(w.path, e.target) FROM walk w JOIN few e ON e.source = w.target WHERE NOT w.closes AND w.depth < 4)"""
+        UNION ALL SELECT w.target, e.target, w.depth + 1, list_append(w.path, e.target), list_contains(w.path, e.target) FROM walk w JOIN calls e ON e.source = w.target WHERE NOT w.closes AND w.depth < {DEPTH})"""
 
 
 @query(f"WITH RECURSIVE {_WALK} SELECT source, target, min(depth) AS depth FROM walk WHERE closes GROUP BY 1, 2")
 def cycle_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = calls(spark, sf_dir).filter("source % 3 = 0 and target % 3 = 0")
-    return op.paths(spark, edges, spark.sql("SELECT 6L AS node"), 4).filter("closes").groupBy("source", "target").agg(F.min("depth").alias("depth"))
+    return op.paths(spark, calls(spark, sf_dir), spark.sql("SELECT 6L AS node"), DEPTH).filter("closes").groupBy("source", "target").agg(F.min("depth").alias("depth"))
 
 
 @query(f"WITH RECURSIVE {_WALK} SELECT array_to_string(path, '>') AS chain, depth FROM walk WHERE NOT closes")
 def call_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = calls(spark, sf_dir).filter("source % 3 = 0 and target % 3 = 0")
-    walked = op.paths(spark, edges, spark.sql("SELECT 6L AS node"), 4).filter("not closes")
-    return walked.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("chain"), "depth")
-
-
-@query()
-def cycle_edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps that close a cycle, over all edges; `cycle_edges` and its SQL keep a ninth of them."""
-    walked = op.paths(spark, calls(spark, sf_dir), spark.sql("SELECT 6L AS node"), DEPTH)
-    return walked.filter("closes").groupBy("source", "target").agg(F.min("depth").alias("depth"))
-
-
-@query()
-def call_chains_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains over all edges; `call_chains` and its SQL keep a ninth of them."""
     walked = op.paths(spark, calls(spark, sf_dir), spark.sql("SELECT 6L AS node"), DEPTH).filter("not closes")
     return walked.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("chain"), "depth")
 
 
-@query(f"WITH {_CALLS} SELECT DISTINCT source AS node FROM calls WHERE source NOT IN (SELECT target FROM calls)")
+@query("SELECT DISTINCT l_partkey AS node FROM lineitem WHERE l_partkey NOT IN (SELECT l_suppkey FROM lineitem)")
 def chain_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.roots(calls(spark, sf_dir), "source", "target")
+    """Parts call their suppliers; the roots are the parts that no part calls."""
+    return joins.roots(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")), "source", "target")
 
 
 @query("SELECT l_returnflag AS type, count(*) AS n, count(DISTINCT l_suppkey) AS sources, count(DISTINCT l_partkey) AS targets FROM lineitem GROUP BY 1")
@@ -97,16 +77,10 @@ def dot_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT target, min(l_suppkey) AS caller, count(*) AS calls, min(depth) + 1 AS depth
-    FROM (SELECT l_partkey AS target, l_suppkey, l_linenumber AS depth FROM lineitem WHERE l_quantity > 48 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) GROUP BY 1""")
+    FROM (SELECT l_partkey AS target, l_suppkey, l_linenumber AS depth FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) GROUP BY 1""")
 def external_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets outside the graph whose callers are in it, one level below the nearest caller."""
-    inside = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity > 48").join(inside, "l_suppkey", "left_semi")
-    return rows.groupBy(F.col("l_partkey").alias("target")).agg(F.min("l_suppkey").alias("caller"), F.count("*").alias("calls"), (F.min("l_linenumber") + 1).alias("depth"))
-
-
-@query(ORACLE_SQL["external_leaves"].replace("l_quantity > 48 AND ", ""))
-def external_leaves_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
     rows = table(spark, sf_dir, "lineitem").join(inside, "l_suppkey", "left_semi")
     return rows.groupBy(F.col("l_partkey").alias("target")).agg(F.min("l_suppkey").alias("caller"), F.count("*").alias("calls"), (F.min("l_linenumber") + 1).alias("depth"))
+

@@ -9,7 +9,7 @@ from cartolith.functions import text as tx
 from cartolith.operators import drift
 from cartolith.operators import metrics as op
 
-from .registry import ORACLE_SQL, query, table
+from .registry import query, table
 
 _BAND = "CASE WHEN p_size <= 5 THEN 'low' WHEN p_size <= 10 THEN 'medium' WHEN p_size <= 25 THEN 'high' ELSE 'extreme' END"
 
@@ -39,16 +39,11 @@ def project_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH m AS (SELECT p_brand, count(*) AS files, sum(p_size)::BIGINT AS loc, count(DISTINCT p_type) AS patterns, count(DISTINCT p_name) AS layers FROM part WHERE p_partkey % 4 = 0 GROUP BY 1),
+    WITH m AS (SELECT p_brand, count(*) AS files, sum(p_size)::BIGINT AS loc, count(DISTINCT p_type) AS patterns, count(DISTINCT p_name) AS layers FROM part GROUP BY 1),
     s AS (SELECT *, (files <= 3)::INT + (loc < 500)::INT + (patterns <= 0)::INT + (layers <= 0)::INT AS s1, (files <= 20)::INT + (loc < 3000)::INT + (patterns <= 3)::INT + (layers <= 3)::INT AS s2 FROM m)
     SELECT p_brand, CASE WHEN s1 >= 3 THEN 1 WHEN s2 >= 3 THEN 2 ELSE 3 END AS stage,
         CASE WHEN s1 >= 3 THEN CASE s1 WHEN 4 THEN 'high' ELSE 'medium' END WHEN s2 >= 3 THEN CASE s2 WHEN 4 THEN 'high' ELSE 'medium' END ELSE 'high' END AS confidence FROM s""")
 def stage_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stages(table(spark, sf_dir, "part").filter("p_partkey % 4 = 0"))
-
-
-@query(ORACLE_SQL["stage_decision"].replace(" WHERE p_partkey % 4 = 0", ""))
-def stage_decision_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stages(table(spark, sf_dir, "part"))
 
 
@@ -90,10 +85,10 @@ def overall_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT l_partkey, l_orderkey, l_linenumber FROM (SELECT l_partkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem WHERE l_quantity > 45)
+    SELECT l_partkey, l_orderkey, l_linenumber FROM (SELECT l_partkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem)
     WHERE r = 1 ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 5""")
 def top_offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.top_offenders(table(spark, sf_dir, "lineitem").filter("l_quantity > 45"), "l_partkey", ["l_orderkey", "l_linenumber"])
+    return op.top_offenders(table(spark, sf_dir, "lineitem"), "l_partkey", ["l_orderkey", "l_linenumber"])
 
 
 @query("""
@@ -138,15 +133,8 @@ def finding_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, term FROM (SELECT d.doc_id, d.text, unnest(string_split(lower(b.text), ' ')[1:12]) AS term FROM documents d JOIN benchmark b ON b.item_id = d.doc_id) WHERE NOT contains(text, term)""")
+    SELECT doc_id, term FROM (SELECT d.doc_id, d.text, unnest(string_split(lower(b.text), ' ')) AS term FROM documents d JOIN benchmark b ON b.item_id = d.doc_id) WHERE NOT contains(text, term)""")
 def contract_text_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.slice(F.split(F.lower("text"), " "), 1, 12).alias("terms"))
-    return drift.text_checks(table(spark, sf_dir, "documents").select("doc_id", "text").join(b, "doc_id"), "terms", "text", "doc_id")
-
-
-@query(ORACLE_SQL["contract_text_checks"].replace("[1:12]", ""))
-def contract_text_checks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All terms; `contract_text_checks` and its SQL keep the first 12 of each text."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.split(F.lower("text"), " ").alias("terms"))
     return drift.text_checks(table(spark, sf_dir, "documents").select("doc_id", "text").join(b, "doc_id"), "terms", "text", "doc_id")
 

@@ -69,16 +69,27 @@ def contract_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.discover(programs(spark), "path", "text")
 
 
-@query("""
-    SELECT page_id, e AS name FROM (SELECT page_id, unnest(regexp_extract_all(html, '<[a-zA-Z][^>]*\\sid="([^"]+)"', 1)) AS e FROM pages)""")
+_PAGES = """SELECT page_id, '<section id="page-' || page_id || '">' || chr(10) || html || '</section>' AS html FROM pages"""
+
+
+def _framed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages inside an element that has an id, since those of the tables have none."""
+    head = F.concat(F.lit('<section id="page-'), F.col("page_id").cast("string"), F.lit('">\n'))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(head, "html", F.lit("</section>")).alias("html"))
+
+
+@query(f"""
+    SELECT page_id, e AS name FROM (SELECT page_id, unnest(regexp_extract_all(html, '<[a-zA-Z][^>]*\\sid="([^"]+)"', 1)) AS e FROM ({_PAGES}))""")
 def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.regexp_extract_all("html", F.lit(r'<[a-zA-Z][^>]*\sid="([^"]+)"'), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(ids).alias("name"))
+    return _framed_pages(spark, sf_dir).select("page_id", F.explode(ids).alias("name"))
 
 
-@query()
+@query(f"""
+    SELECT page_id || '.html' AS path, regexp_extract(e, '\\sid="([^"]+)"', 1) AS name, 'element' AS kind, 1 AS lineno, regexp_extract(e, '^<([a-zA-Z][a-zA-Z0-9-]*)', 1) AS parent, NULL::INTEGER AS complexity
+    FROM (SELECT page_id, unnest(regexp_extract_all(html, '<[a-zA-Z][^>]*\\sid="[^"]+"')) AS e FROM ({_PAGES}))""")
 def html_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
+    pages = _framed_pages(spark, sf_dir).select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
     return python_code.rows(pages, other_code.html_elements, other_code.SYMBOL_SCHEMA)
 
 

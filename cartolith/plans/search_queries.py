@@ -109,7 +109,7 @@ def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT page_id, path, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS suffix,
-        len(list_filter(string_split(path, '/'), lambda x: x IN ('es', 'node_modules', '__pycache__', 'build', 'dist', 'venv', 'env', 'out', 'target', 'test', 'tests')
+        len(list_filter(string_split(path, '/'), lambda x: x IN ('es', 'node_modules', '__pycache__', 'build', 'dist', 'venv', 'env', 'out', 'target', 'test', 'tests', '_deps', 'vendor')
             OR starts_with(x, '.') OR starts_with(x, 'cmake-build-') OR starts_with(x, 'CMakeFiles'))) > 0 AS excluded
     FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages)""")
 def suffix_and_excluded_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,9 +198,11 @@ def symbol_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("s_suppkey", "id", "p.path", "p.line", "p.col", "p.name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("(SELECT l_partkey AS k, 'only parts' AS side FROM lineitem EXCEPT SELECT o_custkey, 'only parts' FROM orders) UNION ALL (SELECT o_custkey, 'only customers' FROM orders EXCEPT SELECT l_partkey, 'only customers' FROM lineitem)")
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    """Keys of either set that the other lacks."""
+    a, b = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    return a.subtract(b).withColumn("side", F.lit("only parts")).unionByName(b.subtract(a).withColumn("side", F.lit("only customers")))
 
 
 @query("SELECT DISTINCT l_partkey AS k FROM lineitem INTERSECT SELECT DISTINCT o_custkey FROM orders")

@@ -82,6 +82,17 @@ def session_step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFra
     return total.filter("at = 1").select(*order), total.select(*order)
 
 
+#: Versions of a state that stay: the one in use and those that a batch that runs again may read.
+KEPT = 3
+
+
+def _prune(spark, path: str, number: int) -> None:
+    """Deletes the version that fell out of the last KEPT."""
+    if number >= KEPT:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={number - KEPT}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
 CONTENT_STATE = "path string, digest string, lines int"
 SESSION_STATE = "session string, events int, errors int, commands int, phase string, open boolean"
 
@@ -99,6 +110,7 @@ def keyed_sink(path: str, schema: str, step: Callable[[DataFrame, DataFrame], tu
         out, after = step(batch, state)
         after.write.mode("overwrite").parquet(f"{path}/v={number}")
         sink(out, number)
+        _prune(spark, path, number)
 
     return run
 
@@ -111,7 +123,8 @@ def windowed_counts(stream: DataFrame, at: str, width: str = "6 hours", late: st
 def index_sink(path: str, key: str, rows_of: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A sink that keeps a Parquet index up to date: versions are directories, the newest holds the index.
 
-    A batch that runs again after a failure writes the same version again.
+    A batch that runs again after a failure writes the same version again. Only the first batch starts from nothing: a
+    version that is missing or can't be read stops the stream, and versions older than the last KEPT are deleted.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -119,10 +132,8 @@ def index_sink(path: str, key: str, rows_of: Callable[[DataFrame], DataFrame]) -
         parts = by_type(batch)
         changed = rows_of(parts["created"].unionByName(parts["modified"]))
         deleted = parts["deleted"].select(F.col("path").alias(key))
-        try:
-            old = spark.read.parquet(f"{path}/v={number - 1}")
-        except Exception:
-            old = spark.createDataFrame([], changed.schema)
+        old = spark.read.schema(changed.schema).parquet(f"{path}/v={number - 1}") if number else spark.createDataFrame([], changed.schema)
         events.upsert(old, changed, deleted, key).write.mode("overwrite").parquet(f"{path}/v={number}")
+        _prune(spark, path, number)
 
     return run

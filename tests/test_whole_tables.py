@@ -46,9 +46,9 @@ def test_cycles_and_chains_over_all_calls(spark):
     for path, closes in walks:
         if closes:
             closing[path[-2:]] = min(closing.get(path[-2:], 99), len(path) - 1)
-    assert collected(spark, "cycle_edges_whole") == sorted((*k, d) for k, d in closing.items())
+    assert collected(spark, "cycle_edges") == sorted((*k, d) for k, d in closing.items())
     assert any(n % 3 for path, _ in walks for n in path)
-    assert collected(spark, "call_chains_whole") == sorted((">".join(map(str, path)), len(path) - 1) for path, closes in walks if not closes)
+    assert collected(spark, "call_chains") == sorted((">".join(map(str, path)), len(path) - 1) for path, closes in walks if not closes)
 
 
 def test_documents_of_every_length_are_compared(spark):
@@ -63,7 +63,7 @@ def test_documents_of_every_length_are_compared(spark):
             shared = sum(min(n, b[w]) for w, n in a.items() if w in b)
             if shared:
                 want[d, i] = shared, shared / (a.total() + b.total() - shared)
-    got = {(r["doc_id"], r["item_id"]): (r["shared"], r["jaccard"]) for r in QUERIES["multiset_jaccard_whole"](spark, DIR).collect()}
+    got = {(r["doc_id"], r["item_id"]): (r["shared"], r["jaccard"]) for r in QUERIES["multiset_jaccard"](spark, DIR).collect()}
     assert got.keys() == want.keys()
     assert all(got[k][0] == v[0] and abs(got[k][1] - v[1]) < 1e-9 for k, v in want.items())
 
@@ -74,7 +74,7 @@ def test_terms_beyond_the_twelfth_are_checked(spark):
     terms = [(i, t.lower().split(" ")) for i, t in zip(items["item_id"].tolist(), items["text"], strict=True) if i in text]
     want = sorted((i, term) for i, found in terms for term in found if term not in text[i])
     assert any(len(found) > 12 for _, found in terms)
-    assert collected(spark, "contract_text_checks_whole") == want
+    assert collected(spark, "contract_text_checks") == want
 
 
 def test_edges_of_every_quantity(spark):
@@ -86,10 +86,10 @@ def test_edges_of_every_quantity(spark):
         dates.setdefault((s, p), set()).add(date < pd.Timestamp("1996-01-01"))
         if s in inside:
             callers.setdefault(p, []).append((s, no))
-    assert collected(spark, "adjacency_list_whole") == sorted((s, ",".join(map(str, sorted(ps))), len(ps)) for s, ps in lists.items())
+    assert collected(spark, "adjacency_list") == sorted((s, ",".join(map(str, sorted(ps))), len(ps)) for s, ps in lists.items())
     want = sorted((*k, "removed" if True in v else "added") for k, v in dates.items() if len(v) == 1)
-    assert sorted((r["s"], r["t"], r["change"]) for r in QUERIES["edge_drift_whole"](spark, DIR).collect()) == want
-    assert collected(spark, "external_leaves_whole") == sorted((p, min(v)[0], len(v), min(no for _, no in v) + 1) for p, v in callers.items())
+    assert sorted((r["s"], r["t"], r["change"]) for r in QUERIES["edge_drift"](spark, DIR).collect()) == want
+    assert collected(spark, "external_leaves") == sorted((p, min(v)[0], len(v), min(no for _, no in v) + 1) for p, v in callers.items())
 
 
 def test_stages_count_every_file(spark):
@@ -100,7 +100,7 @@ def test_stages_count_every_file(spark):
     for brand, g in pandas_table("part").groupby("p_brand"):
         values = len(g), g["p_size"].sum(), g["p_type"].nunique(), g["p_name"].nunique()
         want.append((brand, 1 if most(values, (3, 500, 0, 0)) >= 3 else 2 if most(values, (20, 3000, 3, 3)) >= 3 else 3))
-    assert sorted((r["p_brand"], r["stage"]) for r in QUERIES["stage_decision_whole"](spark, DIR).collect()) == sorted(want)
+    assert sorted((r["p_brand"], r["stage"]) for r in QUERIES["stage_decision"](spark, DIR).collect()) == sorted(want)
 
 
 def test_timeline_of_the_newest_commits(spark):
@@ -109,4 +109,4 @@ def test_timeline_of_the_newest_commits(spark):
     for o, p in pandas_table("lineitem")[["l_orderkey", "l_partkey"]].itertuples(index=False):
         if o in set(newest):
             touched.setdefault(p, set()).add(o)
-    assert collected(spark, "timeline_newest") == sorted((p, len(v), "".join("01"[o in v] for o in newest)) for p, v in touched.items())
+    assert collected(spark, "timeline_matrix") == sorted((p, len(v), "".join("01"[o in v] for o in newest)) for p, v in touched.items())
