@@ -26,3 +26,15 @@ def window_hashes(values: Column, width: int = WINDOW) -> Column:
     n = F.size(values)
     starts = F.when(n >= width, F.sequence(F.lit(1), n - (width - 1))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: sequence_hash(F.slice(values, i, width)))
+
+
+#: What stands for a token of a kind in normalised code.
+PLACEHOLDERS = {"identifier": "$ID", "string": "$STR", "number": "$NUM", "type": "$TYPE"}
+
+
+def placeholder_hash(kind: Column) -> Column:
+    """The hash of a kind's placeholder; 0 for kinds that have none."""
+    out = F.lit(0).cast("long")
+    for name, shown in PLACEHOLDERS.items():
+        out = F.when(kind == name, fnv1a_32(F.lit(shown))).otherwise(out)
+    return out

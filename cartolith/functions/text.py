@@ -164,3 +164,37 @@ def base_type(hint: Column) -> Column:
 
 def is_pascal_case(name: Column) -> Column:
     return name.rlike(r"^_*[A-Z][A-Za-z0-9]*$") & name.rlike("[a-z]")
+
+
+def change_summary(staged: Column, unstaged: Column, rename_from: Column) -> Column:
+    """What a working-tree change is, in words, with the scopes (staged, working tree) that it has."""
+    has = lambda flag: (F.trim(flag) != "") & ~F.trim(flag).isin("?", "!")
+    scope = (
+        F.when(has(staged) & has(unstaged), "staged + working tree changes").when(has(staged), "staged changes")
+        .when(has(unstaged), "working tree changes").otherwise("")
+    )
+    label = status_label(F.concat(staged, unstaged))
+    capital = F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 100))
+    return (
+        F.when(label == "ignored", "Ignored file").when(label == "untracked", "New file (not committed yet)")
+        .when((label == "renamed") & rename_from.isNotNull(), F.concat(F.lit("Renamed from "), rename_from))
+        .when((label == "deleted") & (scope == ""), "Deleted locally").when(label == "deleted", F.concat(F.lit("Deleted "), scope))
+        .when(label == "conflict", "Merge conflict in progress").when(scope != "", F.concat(capital, F.lit(" ("), scope, F.lit(")"))).otherwise(capital)
+    )
+
+
+def within_root(relative: Column) -> Column:
+    """Whether a relative path stays in its root: no prefix of it has more .. than names; absolute paths leave it."""
+    steps = F.transform(F.split(relative, "/"), lambda x: F.when(x == "..", -1).when(x.isin("", "."), 0).otherwise(1))
+    walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.least(a["low"], a["at"] + x).alias("low")))
+    return ~relative.startswith("/") & (walked["low"] >= 0)
+
+
+def version_of(text: Column) -> Column:
+    """The first version number (digits joined by dots) of a text, null if it has none."""
+    return F.nullif(F.regexp_extract(text, r"(\d+(?:\.\d+)+)", 1), F.lit(""))
+
+
+def display_name(qualified: Column) -> Column:
+    """The last name of a dotted one, without what it is called with."""
+    return F.substring_index(F.substring_index(qualified, "(", 1), ".", -1)

@@ -59,6 +59,22 @@ def discover(symbols: DataFrame, key: str, source: str) -> DataFrame:
     return symbols.select(key, level["level"].alias("level"), level["value"].alias("value"), confidence.alias("confidence"), threads.alias("thread_safety"), F.array_join(errors(s), ",").alias("errors"))
 
 
+_BLOCK = rf"(?s)\n?[ \t]*{BLOCK_MARK}.*?@end[ \t]*"
+
+
+def without_block(source: Column) -> Column:
+    """The source without its contract block."""
+    return F.regexp_replace(source, _BLOCK, "")
+
+
+def with_block(source: Column, block: Column) -> Column:
+    """The source with a contract block (lines between its marks) in place of the one it has, or after its first line."""
+    whole = F.concat(F.lit(f"    {BLOCK_MARK}\n"), block, F.lit("\n    @end"))
+    bare = without_block(source)
+    head = F.substring_index(bare, "\n", 1)
+    return F.concat(head, F.lit("\n"), whole, F.substring(bare, F.length(head) + 1, F.length(bare)))
+
+
 def side_by_side(diffs: DataFrame, key: str, text: str) -> DataFrame:
     """Unified diffs as pairs of lines: removed and added lines of a block stand side by side by rank.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +47,15 @@ def merge_findings(findings: DataFrame, key: str) -> DataFrame:
         F.max("confidence").alias("confidence"), F.array_join(F.slice(of("dependency"), 1, 5), ",").alias("dependencies"),
         F.array_join(of("lifecycle"), "; ").alias("lifecycle"), F.count("*").alias("n_findings"),
     )
+
+
+def detected(context: DataFrame, detectors: dict[str, Callable[[DataFrame], DataFrame]], only: tuple[str, ...] | None = None) -> DataFrame:
+    """Items of all detectors, or of those named, with the detector's name; items have the same columns."""
+    out = None
+    for name, detector in detectors.items():
+        if only is None or name in only:
+            found = detector(context).withColumn("detector", F.lit(name))
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("no detector is chosen")
+    return out

@@ -74,3 +74,33 @@ def class_graph(references: DataFrame, symbols: DataFrame, imports: DataFrame) -
     hit = r.select("ref_id", F.posexplode(names).alias("rank", "full")).join(classes, "full").groupBy("ref_id").agg(F.min(F.struct("rank", "full"))["full"].alias("target"))
     out = r.join(hit, "ref_id", "left")
     return out.select(F.concat_ws(".", "module", "owner").alias("source"), F.coalesce("target", "raw").alias("target"), "type", F.col("target").isNotNull().alias("internal")).distinct()
+
+
+def uml_model(members: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """(class, attributes, methods, edges, n_edges of each kind): one row a class, its edges as kind>target, resolved.
+
+    A name is looked for in its own module, then as what the file's imports make of its head; one that nothing defines
+    stands as the imports have it.
+    """
+    own = module_name(F.col("path"))
+    classes = symbols.filter("kind = 'class'").select(F.concat_ws(".", own, F.col("name")).alias("full")).distinct()
+    meaning = import_targets(imports).select(F.col("path").alias("ip"), F.col("alias").alias("ia"), F.concat_ws(".", "module", "name").alias("meant"))
+    edges = members.filter("kind not in ('attribute', 'method')").select("path", "owner", "kind", F.col("name").alias("raw")).distinct()
+    edges = edges.withColumns({"ref_id": F.monotonically_increasing_id(), "module": own, "head": F.substring_index("raw", ".", 1), "tail": F.regexp_replace("raw", r"^[^.]*\.?", "")})
+    edges = edges.join(meaning, (F.col("path") == F.col("ip")) & (F.col("head") == F.col("ia")), "left")
+    meant = F.concat_ws(".", F.coalesce("meant", "head"), F.nullif("tail", F.lit("")))
+    names = F.array(F.concat_ws(".", "module", "raw"), meant)
+    hit = edges.select("ref_id", F.posexplode(names).alias("rank", "full")).join(classes, "full").groupBy("ref_id").agg(F.min(F.struct("rank", "full"))["full"].alias("target"))
+    edges = edges.withColumn("fallback", meant).join(hit, "ref_id", "left").select("path", "owner", "kind", F.coalesce("target", "fallback").alias("target"))
+    of = lambda kind: F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.concat_ws(": ", "name", "type")))), "; ")
+    have = members.groupBy("path", "owner").agg(of("attribute").alias("attributes"), of("method").alias("methods"))
+    every = symbols.filter("kind = 'class'").select("path", F.col("name").alias("owner")).distinct()
+    kinds = ("inheritance", "association", "instantiation")
+    tied = edges.groupBy("path", "owner").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(">", "kind", "target"))), "; ").alias("edges"), *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds))
+    out = every.join(have, ["path", "owner"], "left").join(tied, ["path", "owner"], "left")
+    return out.select(F.concat_ws(".", own, "owner").alias("class"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("attributes", "methods", "edges")), *(F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in kinds))
+
+
+def uml_stats(model: DataFrame) -> DataFrame:
+    """Classes and edges of each kind in one row."""
+    return model.agg(F.count("*").alias("classes"), *(F.sum(c).alias(c) for c in ("n_inheritance", "n_association", "n_instantiation")))

@@ -44,7 +44,9 @@ def type_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", base_type(hint).alias("base"), is_pascal_case(base_type(hint)).alias("pascal"))
 
 
-@query()
+@query("""
+    SELECT n_nationkey, 1 AS hunk, b AS block, r AS rank, no AS left_no, l AS left, no AS right_no, CASE b WHEN 2 THEN l ELSE lower(l) END AS right
+    FROM (SELECT n_nationkey, 2 AS b, 0 AS r, 1 AS no, 'same' AS l FROM nation UNION ALL SELECT n_nationkey, 2, 1, 2, n_name FROM nation)""".replace("CASE b WHEN 2 THEN l ELSE lower(l) END", "CASE r WHEN 0 THEN l ELSE lower(l) END"))
 def diff_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("@@ -1,2 +1,2 @@\n same\n-"), "n_name", F.lit("\n+"), F.lower("n_name")).alias("diff"))
     return contracts.side_by_side(rows, "n_nationkey", "diff")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.functions.hashing import fnv1a_32
-from cartolith.operators import alignment, clones, contracts, resolution
+from cartolith.operators import alignment, clones, contracts, other_calls, resolution
 from cartolith.sources import files, other_code, python_code, transcripts
 
+from .event_queries import COLLAPSE_SQL, changes
 from .registry import query, table
 
 #: Small programs that parse the same everywhere.
@@ -17,8 +18,8 @@ PROGRAMS = [
     ("app/store.py", "class Base: pass\n\nclass Store(Base):\n    def open(self): pass\n    def close(self): pass\n    def put(self, x):\n        assert x is not None, 'x'\n        raise ValueError('must be set')\n\ndef load(name):\n    while True:\n        try:\n            return Store()\n        except OSError:\n            pass\n"),
     ("app/util.py", "def total(n):\n    return n\n"),
     ("app/bad.py", "def broken(:\n"),
-    ("web/ui.ts", "// widgets\nexport class Panel extends View {\n  private n = 1;\n  draw(x: number): void {\n    if (x > 0 && this.n) { run(x); }\n  }\n}\nexport function run(x: number) { return x ? 1 : 2; }\nconst twice = (x: number) => { return run(x) * 2; };\n"),
-    ("native/core.cpp", "#include <vector>\n/* core */\nstruct Point { int x; int norm() const { return x > 0 ? x : -x; } };\ntypedef int Number;\nint add(int a, int b) {\n  for (int i = 0; i < b; ++i) { a++; }\n  return a;\n}\n"),
+    ("web/ui.ts", "// widgets\nexport class Panel extends View {\n  private n = 1;\n  draw(x: number): void {\n    if (x > 0 && this.n) { run(x); this.redo(x); Math.max(x, 1); }\n  }\n  redo(x: number): void { this.gone(); other.run(x); new Panel(); console.log(x); }\n  constructor() { }\n}\nexport function run(x: number) { return x ? 1 : 2; }\nconst twice = (x: number) => { return run(x) * 2; };\n"),
+    ("native/core.cpp", "#include <vector>\n/* core */\nstruct Point { int x; int norm() const { return x > 0 ? x : -x; } };\ntypedef int Number;\nint add(int a, int b) {\n  for (int i = 0; i < b; ++i) { a++; }\n  return a;\n}\nclass Box {\n public:\n  int size() { return this->full() + add(1, 2); }\n  int full() { return Other::make(3) + std::max(1, 2) + item.weight(); }\n};\nint Box::make(int n) { return Box::make(n - 1) + printf(\"x\"); }\n"),
     ("web/page.html", '<html><body><div id="root"><my-card></my-card><p id="note">x</p></div></body></html>'),
     ("notes.txt", "nothing here\n"),
 ]
@@ -28,45 +29,98 @@ def programs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROGRAMS, "path string, text string")
 
 
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The programs once for each supplier, in a folder of its own: sources in proportion to the tables."""
+    files_ = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in PROGRAMS))
+    root = F.concat(F.lit("p"), F.col("s_suppkey").cast("string"))
+    each = table(spark, sf_dir, "supplier").select(root.alias("root"), F.explode(files_).alias("f"))
+    return each.select(F.concat_ws("/", "root", "f.path").alias("path"), F.replace("f.text", F.lit("from app."), F.concat(F.lit("from "), "root", F.lit(".app."))).alias("text"))
+
+
 @query()
 def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.rows(programs(spark).filter("path like '%.py'"), python_code.symbols)
+    return python_code.rows(projects(spark, sf_dir).filter("path like '%.py'"), python_code.symbols)
 
 
 @query()
 def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.rows(programs(spark), other_code.any_symbols, other_code.SYMBOL_SCHEMA)
+    return python_code.rows(projects(spark, sf_dir), other_code.any_symbols, other_code.SYMBOL_SCHEMA)
 
 
 @query()
 def source_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised tokens of all languages with the hash of their normal form."""
-    code = programs(spark).withColumn("language", F.when(F.col("path").endswith(".py"), "python").otherwise("c"))
+    code = projects(spark, sf_dir).withColumn("language", F.when(F.col("path").endswith(".py"), "python").otherwise("c"))
     parts = [python_code.rows(code.filter(F.col("language") == k), lambda p, t, k=k: other_code.tokens(p, t, k), other_code.TOKEN_SCHEMA) for k in ("python", "c")]
     return parts[0].unionByName(parts[1]).withColumn("hash", fnv1a_32(F.col("normal")))
 
 
 @query()
 def python_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = programs(spark).filter("path like '%.py'")
+    code = projects(spark, sf_dir).filter("path like '%.py'")
     get = lambda g: python_code.rows(code, g)
     return resolution.resolve_calls(get(python_code.calls), get(python_code.symbols), get(python_code.imports), get(python_code.variable_types))
 
 
+@query()
+def script_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = projects(spark, sf_dir).filter("path like '%.ts'")
+    return other_calls.resolve_script(python_code.rows(code, other_calls.script_calls, other_calls.CALL_SCHEMA), python_code.rows(code, other_code.script_symbols, other_code.SYMBOL_SCHEMA))
+
+
+@query()
+def native_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = projects(spark, sf_dir).filter("path like '%.cpp'")
+    return other_calls.resolve_native(python_code.rows(code, other_calls.native_calls, other_calls.CALL_SCHEMA), python_code.rows(code, other_code.native_symbols, other_code.SYMBOL_SCHEMA))
+
+
+@query()
+def uml_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = projects(spark, sf_dir).filter("path like '%.py'")
+    return resolution.uml_model(python_code.rows(code, python_code.uml), python_code.rows(code, python_code.symbols), python_code.rows(code, python_code.imports))
+
+
+@query()
+def uml_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and edges of each kind."""
+    return resolution.uml_stats(uml_model(spark, sf_dir))
+
+
 @query()
 def python_class_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = programs(spark).filter("path like '%.py'")
+    code = projects(spark, sf_dir).filter("path like '%.py'")
     return resolution.class_graph(python_code.rows(code, python_code.class_references), python_code.rows(code, python_code.symbols), python_code.rows(code, python_code.imports))
 
 
 @query()
 def python_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.rows(programs(spark).filter("path like '%.py'"), python_code.findings)
+    return python_code.rows(projects(spark, sf_dir).filter("path like '%.py'"), python_code.findings)
 
 
-@query()
+@query("""
+    SELECT doc_id, CASE r WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 5 END AS level, CASE r WHEN 0 THEN 'safe' WHEN 1 THEN lang || ' text' || repeat(chr(39), 3) WHEN 2 THEN 'KeyError' END AS value,
+        CASE r WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 ELSE 0.0 END::DOUBLE AS confidence, CASE r WHEN 0 THEN 'safe' ELSE 'unknown' END AS thread_safety, CASE r WHEN 2 THEN 'KeyError' ELSE '' END AS errors
+    FROM (SELECT doc_id, lang, doc_id % 4 AS r FROM documents)""")
 def contract_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contracts.discover(programs(spark), "path", "text")
+    """A function for each document, a quarter each with a block, a docstring, an exception and nothing."""
+    r, name = F.col("doc_id") % 4, F.concat(F.lit("def f"), F.col("doc_id").cast("string"), F.lit("():\n"))
+    body = F.when(r == 0, "    @contract\n    thread_safety: safe\n    @end").when(r == 1, F.concat(F.lit("    '''requires "), "lang", F.lit(" text'''"))).when(r == 2, "    raise KeyError").otherwise("    pass")
+    return contracts.discover(table(spark, sf_dir, "documents").select("doc_id", F.concat(name, body).alias("source")), "doc_id", "source")
+
+
+@query("""
+    SELECT doc_id, 'def f():' || chr(10) || '    @contract' || chr(10) || '    thread_safety: ' || lang || chr(10) || '    @end' || chr(10) || '    return ' || doc_id AS written, 'def f():' || chr(10) || '    return ' || doc_id AS removed FROM documents""")
+def contract_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract blocks written into functions, half of which have one, and taken out again."""
+    old = F.when(F.col("doc_id") % 2 == 0, "    @contract\n    thread_safety: none\n    @end\n").otherwise("")
+    source = F.concat(F.lit("def f():\n"), old, F.lit("    return "), F.col("doc_id").cast("string"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", source.alias("source"), F.concat(F.lit("    thread_safety: "), "lang").alias("block"))
+    return rows.select("doc_id", contracts.with_block(F.col("source"), F.col("block")).alias("written"), contracts.without_block(F.col("source")).alias("removed"))
+
+
+@query()
+def program_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.discover(projects(spark, sf_dir), "path", "text")
 
 
 _PAGES = """SELECT page_id, '<section id="page-' || page_id || '">' || chr(10) || html || '</section>' AS html FROM pages"""
@@ -93,7 +147,12 @@ def html_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return python_code.rows(pages, other_code.html_elements, other_code.SYMBOL_SCHEMA)
 
 
-@query()
+_MATCH = "CASE " + " ".join("WHEN regexp_matches(line, '{}') THEN '{}'".format(p.replace("'", "''"), "{}") for _, _, p in transcripts.FAMILIES) + " ELSE 'output' END"
+
+
+@query(f"""
+    WITH l AS (SELECT conv_id, turn, n AS line_number, trim(lines[n]) AS line FROM (SELECT conv_id, turn, lines, unnest(range(1, len(lines) + 1)) AS n FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS lines FROM conversations)))
+    SELECT conv_id, turn, line_number, {_MATCH.format(*(f for f, _, _ in transcripts.FAMILIES))} AS family, {_MATCH.format(*(k for _, k, _ in transcripts.FAMILIES))} AS type, line AS text FROM l WHERE NOT regexp_matches(line, '{transcripts.NOISE}')""")
 def transcript_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.events(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
 
@@ -123,15 +182,13 @@ def alignment_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.extend(regions, tokens)
 
 
-@query()
+@query(COLLAPSE_SQL)
 def stream_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change stream run to its end in one micro-batch; equals change_collapse."""
     import uuid
 
     from cartolith.streaming import changes as stream
 
-    from .event_queries import changes
-
     base = spark.conf.get("spark.checkpoint.dir", None) or ("file:///tmp/checkpoints" if spark.sparkContext.master.startswith("local") else None)
     if base is None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

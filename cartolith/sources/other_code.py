@@ -59,7 +59,7 @@ SYMBOL_SCHEMA = "path string, name string, kind string, lineno int, parent strin
 _BRANCH = re.compile(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?(?![.:?])")
 
 
-def _blank(text: str) -> str:
+def blanked(text: str) -> str:
     """The text with strings and comments overwritten by spaces, lines kept."""
     out = list(text)
     for m in _TOKEN["c"].finditer(text):
@@ -89,24 +89,32 @@ _METHOD = re.compile(r"^[ \t]*(?:(?:public|private|protected|static|async|readon
 _NOT_METHODS = {"if", "for", "while", "switch", "catch", "function", "return", "with"}
 
 
-def script_symbols(path: str, text: str) -> Iterator[dict]:
-    """Functions, arrow functions, classes and methods of JavaScript or TypeScript."""
-    code = _blank(text)
-    line = lambda i: code.count("\n", 0, i) + 1
+def script_spans(code: str) -> Iterator[tuple]:
+    """(name, kind, parent, place, begin and end of the body) of declarations in blanked code."""
     inside: list[tuple[int, int]] = []
     for m in _SCRIPT.finditer(code):
         if name := m["class"]:
             end = _body_end(code, m.end())
             inside.append((m.start(), end))
-            yield {"path": path, "name": name, "kind": "class", "lineno": line(m.start()), "parent": None, "complexity": None}
+            yield name, "class", None, m.start(), m.end(), end
             body = code[m.end() : end]
             for x in _METHOD.finditer(body):
                 if x["name"] not in _NOT_METHODS and body.count("{", 0, x.start("name")) - body.count("}", 0, x.start("name")) == 1:
                     at = m.end() + x.start("name")
-                    yield {"path": path, "name": x["name"], "kind": "method", "lineno": line(at), "parent": name, "complexity": 1 + len(_BRANCH.findall(code[at : _body_end(code, at)]))}
+                    yield x["name"], "method", name, at, m.end() + x.end() - 1, _body_end(code, at)
         elif not any(a < m.start() < b for a, b in inside):
-            name = m["function"] or m["arrow"]
-            yield {"path": path, "name": name, "kind": "function", "lineno": line(m.start()), "parent": None, "complexity": 1 + len(_BRANCH.findall(code[m.end() : _body_end(code, m.end())]))}
+            yield m["function"] or m["arrow"], "function", None, m.start(), m.end(), _body_end(code, m.end())
+
+
+def _symbol_rows(path: str, code: str, found: Iterator[tuple]) -> Iterator[dict]:
+    for name, kind, parent, place, begin, end in found:
+        yield {"path": path, "name": name, "kind": kind, "lineno": code.count("\n", 0, place) + 1, "parent": parent, "complexity": None if kind == "class" else 1 + len(_BRANCH.findall(code[begin:end]))}
+
+
+def script_symbols(path: str, text: str) -> Iterator[dict]:
+    """Functions, arrow functions, classes and methods of JavaScript or TypeScript."""
+    code = blanked(text)
+    yield from _symbol_rows(path, code, script_spans(code))
 
 
 _NATIVE = re.compile(
@@ -114,24 +122,28 @@ _NATIVE = re.compile(
 )
 
 
-def native_symbols(path: str, text: str) -> Iterator[dict]:
-    """Functions, methods, classes, structs and typedefs of C or C++."""
-    code = _blank(text)
-    line = lambda i: code.count("\n", 0, i) + 1
+def native_spans(code: str) -> Iterator[tuple]:
+    """(name, kind, parent, place, begin and end of the body) of declarations in blanked code."""
     records: list[tuple[int, int, str]] = []
     for m in _NATIVE.finditer(code):
         start = m.start("function") if m["function"] else m.start()
         owner = next((n for a, b, n in reversed(records) if a < start < b), None)
         if m["record"]:
-            records.append((m.start(), _body_end(code, m.start("record")), m["record"]))
-            yield {"path": path, "name": m["record"], "kind": "class", "lineno": line(m.start()), "parent": owner, "complexity": None}
+            end = _body_end(code, m.start("record"))
+            records.append((m.start(), end, m["record"]))
+            yield m["record"], "class", owner, m.start(), m.end(), end
         elif m["typedef"]:
-            yield {"path": path, "name": m["typedef"], "kind": "class", "lineno": line(m.start()), "parent": owner, "complexity": None}
+            yield m["typedef"], "class", owner, m.start(), m.end(), m.end()
         elif m["function"].split("::")[-1] not in _NOT_METHODS:
             parts = m["function"].split("::")
             parent = parts[-2] if len(parts) > 1 else owner
-            body = code[m.end() - 1 : _body_end(code, m.end() - 1)]
-            yield {"path": path, "name": parts[-1], "kind": "method" if parent else "function", "lineno": line(start), "parent": parent, "complexity": 1 + len(_BRANCH.findall(body))}
+            yield parts[-1], "method" if parent else "function", parent, start, m.end() - 1, _body_end(code, m.end() - 1)
+
+
+def native_symbols(path: str, text: str) -> Iterator[dict]:
+    """Functions, methods, classes, structs and typedefs of C or C++."""
+    code = blanked(text)
+    yield from _symbol_rows(path, code, native_spans(code))
 
 
 class _Elements(HTMLParser):

@@ -14,10 +14,17 @@ from pyspark.sql import DataFrame
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _DECISIONS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler)
-#: Methods that belong together, by start and end.
-LIFECYCLE_PAIRS = (("start", "stop"), ("open", "close"), ("connect", "disconnect"), ("setup", "teardown"), ("acquire", "release"), ("__enter__", "__exit__"), ("begin", "end"), ("init", "shutdown"))
-#: Names that point to synchronisation.
-THREAD_PRIMITIVES = ("Lock", "RLock", "Semaphore", "Condition", "Event", "Barrier", "Queue", "ThreadPoolExecutor", "asyncio.Lock")
+#: Methods that belong together by start and end, and whether such a pair is a strong sign.
+LIFECYCLE_PAIRS = (
+    ("start", "stop", True), ("run", "stop", True), ("begin", "end", False), ("open", "close", True), ("connect", "disconnect", True), ("initialize", "cleanup", True),
+    ("init", "cleanup", False), ("setup", "teardown", True), ("enable", "disable", False), ("activate", "deactivate", False), ("acquire", "release", True), ("enter", "exit", False),
+)
+#: Constructors that point to synchronisation, strong and weaker signs.
+THREAD_STRONG = (
+    "threading.Lock", "threading.RLock", "threading.Condition", "threading.Semaphore", "threading.BoundedSemaphore", "Lock", "RLock",
+    "asyncio.Lock", "asyncio.Semaphore", "asyncio.BoundedSemaphore", "queue.Queue", "queue.LifoQueue", "queue.PriorityQueue", "asyncio.Queue",
+)
+THREAD_WEAK = ("threading.Event", "threading.Barrier", "Condition", "Semaphore", "asyncio.Event", "asyncio.Condition", "Queue")
 
 
 def complexity(node: ast.AST) -> int:
@@ -138,15 +145,67 @@ def variable_types(path: str, text: str) -> Iterator[dict]:
         yield from ({"path": path, "function": function.name, "variable": v, "type": t, "confidence": c} for v, t, c in found)
 
 
+#: Names of the typing module that are no types of their own.
+_TYPING = frozenset("Optional Union Any List Dict Set Tuple FrozenSet Callable Iterable Iterator Sequence Mapping Type Literal Final ClassVar None".split())
+
+
+def _named_types(hint: ast.AST | None) -> Iterator[str]:
+    """Class names in an annotation: PascalCase, typing's own names left out."""
+    if isinstance(hint, ast.Constant) and isinstance(hint.value, str):
+        try:
+            hint = ast.parse(hint.value, mode="eval").body
+        except SyntaxError:
+            return
+    if isinstance(hint, ast.Name | ast.Attribute):
+        name = dotted(hint)
+        if name and name.split(".")[-1] not in _TYPING and name.split(".")[-1][:1].isupper():
+            yield name
+    elif hint is not None:
+        for child in ast.iter_child_nodes(hint):
+            yield from _named_types(child)
+
+
+def uml(path: str, text: str) -> Iterator[dict]:
+    """Members and relations of classes: attributes, methods without self, bases, associations and instantiations."""
+    for cls in (x for x in ast.walk(_tree(text) or ast.Module([], [])) if isinstance(x, ast.ClassDef)):
+        row = lambda kind, name, hint=None, optional=False: {"path": path, "owner": cls.name, "kind": kind, "name": name, "type": hint, "optional": optional}  # noqa: E731,B023
+        for base in map(dotted, cls.bases):
+            if base:
+                yield row("inheritance", base)
+        targets = [(x.target.id, x.annotation, None) for x in cls.body if isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name)]
+        own = set()
+        for method in (x for x in cls.body if isinstance(x, _FUNCTIONS)):
+            args = [a.arg for a in method.args.args if a.arg not in ("self", "cls")]
+            yield row("method", f"{method.name}({', '.join(args)})", ast.unparse(method.returns) if method.returns else None)
+            for node in ast.walk(method):
+                place = node.target if isinstance(node, ast.AnnAssign) else node.targets[0] if isinstance(node, ast.Assign) else None
+                if isinstance(place, ast.Attribute) and isinstance(place.value, ast.Name) and place.value.id == "self":
+                    targets.append((place.attr, node.annotation if isinstance(node, ast.AnnAssign) else None, node.value))
+                    own.add(id(node.value))
+        seen = set()
+        for name, hint, value in targets:
+            made = dotted(value.func) if isinstance(value, ast.Call) else None
+            made = made if made and made.split(".")[-1][:1].isupper() else None
+            if name not in seen:
+                shown = ast.unparse(hint) if hint is not None else made
+                optional = bool(shown) and ("Optional" in shown or "None" in shown)
+                yield row("attribute", name, shown, optional)
+                for t in dict.fromkeys([*_named_types(hint), *([made] if made else [])]):
+                    yield row("association", t, name, optional)
+            seen.add(name)
+        calls = [dotted(x.func) for x in ast.walk(cls) if isinstance(x, ast.Call) and id(x) not in own]
+        for name in dict.fromkeys(c for c in calls if c and c.split(".")[-1][:1].isupper()):
+            yield row("instantiation", name)
+
+
 def findings(path: str, text: str) -> Iterator[dict]:
     """Static findings of classes: lifecycle pairs, dependencies, ownership and thread safety."""
     for cls in (x for x in ast.walk(_tree(text) or ast.Module([], [])) if isinstance(x, ast.ClassDef)):
         methods = {x.name: x for x in cls.body if isinstance(x, _FUNCTIONS)}
         row = lambda kind, value, confidence, line: {"path": path, "owner": cls.name, "type": kind, "value": value, "confidence": confidence, "line": line}  # noqa: E731,B023
-        for start, end in LIFECYCLE_PAIRS:
-            if start in methods:
-                paired = end in methods
-                yield row("lifecycle", f"{start} -> {end}" if paired else f"{start} without {end}", 0.4 if paired else 0.2, methods[start].lineno)
+        for start, end, strong in LIFECYCLE_PAIRS:
+            if start in methods and end in methods:
+                yield row("lifecycle", f"{start} -> {end}", 0.4 if strong else 0.3, methods[start].lineno)
         init = methods.get("__init__")
         for arg in init.args.args[1:] if init else ():
             if arg.annotation is not None and (name := dotted(arg.annotation)) and name.split(".")[-1][:1].isupper():
@@ -160,8 +219,8 @@ def findings(path: str, text: str) -> Iterator[dict]:
                 yield row("dependency", f"implements {last}", 0.3, cls.lineno)
         for node in ast.walk(init) if init else ():
             if isinstance(node, ast.Assign) and isinstance(node.value, ast.Call) and isinstance(node.targets[0], ast.Attribute) and (name := dotted(node.value.func)):
-                if name.split(".")[-1] in THREAD_PRIMITIVES:
-                    yield row("thread_safety", f"uses {name}", 0.4, node.lineno)
+                if name in THREAD_STRONG or name in THREAD_WEAK:
+                    yield row("thread_safety", f"uses {name}", 0.4 if name in THREAD_STRONG else 0.3, node.lineno)
                 elif name.split(".")[-1][:1].isupper():
                     yield row("ownership", f"owns {name}", 0.4, node.lineno)
 
@@ -172,6 +231,7 @@ SCHEMAS = {
     class_references: "path string, owner string, raw string, type string",
     calls: "path string, caller string, owner string, callee string, receiver string, call_type string, line int",
     variable_types: "path string, function string, variable string, type string, confidence double",
+    uml: "path string, owner string, kind string, name string, type string, optional boolean",
     findings: "path string, owner string, type string, value string, confidence double, line int",
 }
 

@@ -7,37 +7,51 @@ from pyspark.sql import functions as F
 
 from cartolith.functions.text import strip_ansi
 
-#: Families of terminal lines in the order they are tried, each with its events and patterns; group 1, if
-#: there is one, is the event's text.
+#: Families of terminal lines in the order they are tried, each with its events and patterns.
 FAMILIES = (
-    ("command", "command_start", r"^\s*\$\s+(.+)$"),
-    ("command", "command_end", r"(?i)^\s*exit code:?\s*(-?\d+)"),
-    ("tool", "file_read", r"(?i)^\s*(?:reading|read)\s+(?:file:?\s+)?(\S+\.\w+)"),
-    ("tool", "file_write", r"(?i)^\s*(?:writing|wrote|created|updated|edited)\s+(?:file:?\s+)?(\S+\.\w+)"),
-    ("test", "test_start", r"(?i)^=+ test session starts =+$"),
-    ("test", "test_summary", r"(?i)^=*\s*((?:\d+ (?:passed|failed|skipped|errors?)(?:,\s*)?)+)"),
-    ("test", "test_result", r"^\S+::\S+ (PASSED|FAILED|SKIPPED|ERROR)"),
-    ("reasoning", "plan", r"(?i)^\s*(?:plan|steps?):\s*(.*)$"),
-    ("reasoning", "decision", r"(?i)^\s*(?:decision|decided|i(?:'ll| will)):?\s+(.*)$"),
-    ("error", "error", r"(?i)^\s*(?:[a-z]*error|exception|fatal|traceback)\b:?\s*(.*)$"),
-    ("error", "warning", r"(?i)^\s*warning:?\s*(.*)$"),
-    ("prompt", "permission", r"(?i)^(.*(?:allow|permission|proceed)\b.*\?.*)$"),
-    ("prompt", "prompt_ready", r"^\s*[>❯]\s*$"),
+    ("command", "install_start", r"^(npm|yarn|pnpm)\s+(install|i|add|remove|uninstall)"),
+    ("command", "install_start", r"^(pip|pip3|pipenv|poetry)\s+(install|uninstall)"),
+    ("command", "test_start", r"^(pytest|python -m pytest|py\.test)"),
+    ("command", "test_start", r"^(npm|yarn|pnpm)\s+(test|run test)"),
+    ("command", "git_status", r"^git\s+status"),
+    ("command", "git_diff", r"^git\s+diff"),
+    ("command", "command_start", r"^git\s+(add|commit|push|pull)"),
+    ("command", "file_read", r"^(cat|head|tail|less|more)\s+"),
+    ("command", "file_write", r"^(echo|printf).+>\s*\S+"),
+    ("command", "file_delete", r"^rm\s+(-[rf]+\s+)?"),
+    ("command", "build_start", r"^(make|cmake|cargo build|go build)"),
+    ("test", "test_summary", r"^=+\s*(\d+)\s+passed.*in\s+([\d.]+)s"),
+    ("test", "test_result", r"^FAILED\s+(\S+)::(\S+)"),
+    ("test", "test_result", r"✓\s+(.+)\s+\((\d+)ms\)"),
+    ("test", "test_result", r"✕\s+(.+)\s+\((\d+)ms\)"),
+    ("test", "test_summary", r"Tests:\s+(\d+)\s+passed,\s+(\d+)\s+total"),
+    ("agent", "agent_thinking", r"(?i)^(Thinking|Planning|Analyzing|Considering)[:.]"),
+    ("agent", "agent_planning", r"(?i)^(I will|I'll|Let me|Going to|Need to)"),
+    ("agent", "agent_decision", r"(?i)^(Decided to|Choosing|Selected|Using)"),
+    ("agent", "agent_error", r"(?i)^(Error|Failed|Cannot|Unable to)"),
+    ("error", "error", r"^(ERROR|ERRO|ERR)[:|\s]"),
+    ("error", "warning", r"^(WARNING|WARN)[:|\s]"),
+    ("error", "info", r"^(INFO|DEBU|DEBUG)[:|\s]"),
+    ("error", "error", r"Traceback \(most recent call last\)"),
+    ("error", "error", r"SyntaxError:|TypeError:|ValueError:|AttributeError:"),
+    ("prompt", "prompt", r"\[Y/n\]"),
+    ("prompt", "prompt", r"\(y/N\)"),
+    ("prompt", "prompt", r"Continue\?"),
+    ("prompt", "prompt", r"Enter (.+):"),
+    ("prompt", "prompt", r"Choose \[(\d+-\d+)\]"),
 )
 #: Lines of nothing but these characters are noise.
 NOISE = r"^[\s\-=_*─│╭╮╰╯┌┐└┘├┤┬┴┼═║░▒▓█•·…⠀-⣿✻✽✶✢✳]*$"
-#: Phases that events begin.
-PHASES = {"plan": "planning", "decision": "deciding", "command_start": "executing", "file_read": "reading", "file_write": "writing", "test_start": "testing", "error": "debugging"}
+#: Phases that events begin.
+PHASES = {"agent_planning": "planning", "agent_decision": "deciding", "command_start": "executing", "file_read": "reading", "file_write": "writing", "test_start": "testing", "error": "debugging"}
 
 
 def classify(line: Column) -> Column:
     """Struct of family, type and text of a terminal line, the first pattern that matches counting; noise gives null."""
-    clean = strip_ansi(line)
-    out = F.struct(F.lit("output").alias("family"), F.lit("output").alias("type"), F.trim(clean).alias("text"))
+    clean = F.trim(strip_ansi(line))
+    out = F.struct(F.lit("output").alias("family"), F.lit("output").alias("type"), clean.alias("text"))
     for family, kind, pattern in reversed(FAMILIES):
-        groups = "(" in pattern.replace("(?", "")
-        found = F.regexp_extract(clean, pattern, 1) if groups else F.trim(clean)
-        out = F.when(clean.rlike(pattern), F.struct(F.lit(family).alias("family"), F.lit(kind).alias("type"), F.trim(found).alias("text"))).otherwise(out)
+        out = F.when(clean.rlike(pattern), F.struct(F.lit(family).alias("family"), F.lit(kind).alias("type"), clean.alias("text"))).otherwise(out)
     return F.when(~clean.rlike(NOISE), out)
 
 

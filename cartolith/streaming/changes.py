@@ -6,12 +6,13 @@ number and survives lost executors.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolith.operators import events
+from cartolith.operators import events, search
 
 INTERVAL = "250 milliseconds"
 
@@ -137,3 +138,22 @@ def index_sink(path: str, key: str, rows_of: Callable[[DataFrame], DataFrame]) -
         _prune(spark, path, number)
 
     return run
+
+
+def polled(read: Callable[[int], DataFrame], key: str, after: int = -1, limit: int = 100, heartbeat: int = 10, polls: int | None = None, wait: float = 1.0) -> Iterator[tuple[str, list]]:
+    """Rows above the last key seen, a page of at most `limit` a poll: ("rows", page), and ("heartbeat", []) after so many empty polls.
+
+    `read` gives the table at a poll; a poll reads only keys above the last one, and only a page reaches the driver.
+    """
+    last, quiet, number = after, 0, 0
+    while polls is None or number < polls:
+        page = search.after(read(number), key, last, limit, [key]).collect()
+        if page:
+            last, quiet = page[-1][key], 0
+            yield "rows", page
+        else:
+            quiet += 1
+            if quiet % heartbeat == 0:
+                yield "heartbeat", []
+        number += 1
+        time.sleep(wait)

@@ -259,10 +259,10 @@ def test_side_by_side(spark):
 
 
 def test_transcripts(spark):
-    text = "\x1b[32m$ pytest -q\x1b[0m\n======\nPlan: do it\n3 passed, 1 failed in 2s\nValueError: bad\nExit code: 1\nmay I proceed?\nplain"
-    got = [(r["type"], r["text"]) for r in transcripts.events(spark.createDataFrame([(1, text)], "k int, t string"), ["k"], "t").orderBy("line_number").collect()]
-    assert [g[0] for g in got] == ["command_start", "plan", "test_summary", "error", "command_end", "permission", "output"]
-    assert got[0][1] == "pytest -q" and got[4][1] == "1"
+    lines = ["\x1b[32mpytest -q\x1b[0m", "======", "Let me do it", "== 3 passed, 1 failed in 2.1s ==", "ValueError: bad", "git commit -m x", "Continue? [Y/n]", "plain", "FAILED a.py::b", "WARNING: old", "thinking: hm"]
+    got = [(r["family"], r["type"], r["text"]) for r in transcripts.events(spark.createDataFrame([(1, "\n".join(lines))], "k int, t string"), ["k"], "t").orderBy("line_number").collect()]
+    assert [g[1] for g in got] == ["test_start", "agent_planning", "test_summary", "error", "command_start", "prompt", "output", "test_result", "warning", "agent_thinking"]
+    assert got[0] == ("command", "test_start", "pytest -q") and got[5][0] == "prompt"
     counts = one(spark, c=transcripts.test_counts(F.lit("3 passed, 1 failed")))["c"]
     assert (counts["passed"], counts["failed"], counts["total"]) == (3, 1, 4)
     lines = ['{"type":"system","subtype":"init","session_id":"s"}', '{"type":"assistant","message":{"content":[{"type":"text","text":"hi"}]}}', '{"type":"assistant","message":{"content":[{"type":"tool_use","name":"Bash"}]}}', "{bad", '{"type":"result","is_error":true,"result":"no"}', "{}"]
@@ -316,3 +316,65 @@ def test_settings_and_notifications(spark):
     assert rows(files.mark_read(notes, 2), "id", "read") == [(1, False), (2, True)]
     kept, gone = files.clear(notes, F.col("id") == 1)
     assert rows(kept, "id") == [(2,)] and gone.first()["cleared"] == 1
+
+
+def test_review_functions(spark):
+    shown = one(spark, a=tx.within_root(F.lit("a/../../b")), b=tx.within_root(F.lit("a/./../b")), c=tx.within_root(F.lit("/etc")), v=tx.version_of(F.lit("tool version is 0.12.3")), n=tx.display_name(F.lit("a.b.c(d.e)")))
+    assert (shown["a"], shown["b"], shown["c"], shown["v"], shown["n"]) == (False, True, False, "0.12.3", "c")
+    told = lambda x, y, z=None: one(spark, s=tx.change_summary(F.lit(x), F.lit(y), F.lit(z).cast("string")))["s"]
+    assert [told("M", "M"), told(" ", "D"), told("R", " ", "old.py"), told("?", "?"), told("U", "U")] == ["Modified (staged + working tree changes)", "Deleted working tree changes", "Renamed from old.py", "New file (not committed yet)", "Merge conflict in progress"]
+
+
+def test_jobs_are_coalesced(spark):
+    from cartolith.operators import review
+
+    asked = [("a", t) for t in (0, 3, 9, 10, 25, 60, 61)] + [("b", 5)]
+    got = rows(review.coalesced(spark.createDataFrame(asked, "s string, t long"), "s", "t", 10), "s", "run_at", "requests")
+    assert got == [("a", 0, 1), ("a", 10, 3), ("a", 25, 1), ("a", 60, 1), ("a", 70, 1), ("b", 5, 1)]
+
+
+def test_entry_points_count_calls(spark):
+    from cartolith.operators import review
+    from cartolith.plans.parser_queries import programs
+
+    code = programs(spark).filter("path like '%.py'")
+    found = review.entry_points(python_code.rows(code, python_code.symbols), python_code.rows(code, python_code.calls))
+    counts = {(r["path"], r["parent"], r["name"]): r["node_count"] for r in found.collect()}
+    assert counts["app/main.py", "App", "step"] == 4 and counts["app/main.py", None, "App"] == 1 and counts["app/util.py", None, "total"] == 0
+    assert rows(review.by_class(found.filter("path = 'app/store.py'")), "owner", "names") == [("", "load"), ("Store", "open,close,put")]
+
+
+def test_calls_of_other_languages(spark):
+    from cartolith.operators import other_calls
+
+    def graph(suffix, calls, symbols, resolve):
+        code = spark.createDataFrame([x for x in PROGRAMS if x[0].endswith(suffix)], "path string, text string")
+        return resolve(python_code.rows(code, calls, other_calls.CALL_SCHEMA), python_code.rows(code, symbols, other_code.SYMBOL_SCHEMA))
+
+    status = lambda df: {((r["owner"] or "") + "." + r["caller"], r["callee"]): (r["status"], r["target"]) for r in df.collect()}
+    script = status(graph(".ts", other_calls.script_calls, other_code.script_symbols, other_calls.resolve_script))
+    assert script["Panel.draw", "run"] == ("resolved_project", "run") and script["Panel.draw", "redo"] == ("resolved_project", "Panel.redo")
+    assert script["Panel.draw", "max"][0].startswith("ignored") and script["Panel.redo", "gone"] == ("unresolved", None)
+    assert script["Panel.redo", "run"] == ("resolved_project", "run") and script["Panel.redo", "Panel"] == ("resolved_project", "Panel.constructor")
+    assert script["Panel.redo", "log"][0] == "ignored_builtin" and script[".twice", "run"][0] == "resolved_project"
+    native = status(graph(".cpp", other_calls.native_calls, other_code.native_symbols, other_calls.resolve_native))
+    assert native["Box.size", "full"] == ("resolved_project", "Box::full") and native["Box.size", "add"] == ("resolved_project", "add")
+    assert native["Box.full", "make"] == ("ignored_third_party", None) and native["Box.full", "max"][0] == "ignored_stdlib" and native["Box.full", "weight"] == ("unresolved", None)
+    assert native["Box.make", "make"] == ("resolved_project", "Box::make") and native["Box.make", "printf"][0] == "ignored_stdlib"
+
+
+def test_uml_of_classes(spark):
+    code = "from typing import Optional\nimport app.store as st\nfrom lib import Thing\n\nclass A(st.Store, Thing):\n    size: int\n    def __init__(self, s):\n        self.store: Optional[Store] = None\n        self.box = Box(1)\n    def run(self, n) -> int:\n        return Helper(n)\n\nclass Box: pass\n"
+    files_ = spark.createDataFrame([("app/a.py", code), ("app/store.py", "class Store: pass\n")], "path string, text string")
+    model = resolution.uml_model(*(python_code.rows(files_, g) for g in (python_code.uml, python_code.symbols, python_code.imports)))
+    a = {r["class"]: r for r in model.collect()}["app.a.A"]
+    assert a["attributes"] == "box: Box; size: int; store: Optional[Store]" and a["methods"] == "__init__(s); run(n): int"
+    assert a["edges"] == "association>Store; association>app.a.Box; inheritance>app.store.Store; inheritance>lib.Thing; instantiation>Helper"
+    assert resolution.uml_stats(model).first().asDict() == {"classes": 3, "n_inheritance": 2, "n_association": 2, "n_instantiation": 1}
+
+
+def test_detectors_run_by_name(spark):
+    context = spark.createDataFrame([(1, "a"), (2, "b")], "n int, t string")
+    detectors = {"small": lambda c: c.filter("n < 2"), "named": lambda c: c.filter("t = 'b'")}
+    assert rows(drift.detected(context, detectors), "n", "detector") == [(1, "small"), (2, "named")]
+    assert rows(drift.detected(context, detectors, ("named",)), "n", "detector") == [(2, "named")]

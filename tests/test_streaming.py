@@ -1,6 +1,7 @@
 """Streams run to their end over small files, against the batch form or plain loops."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from cartolith.operators import events
 from cartolith.streaming import changes
@@ -73,3 +74,27 @@ def test_windowed_counts(spark, tmp_path):
     spark.createDataFrame([("2024-01-01 01:00:00", "x"), ("2024-01-01 05:00:00", "x"), ("2024-01-01 07:00:00", "y")], "t string, event_type string").selectExpr("cast(t as timestamp) as at", "event_type").coalesce(1).write.json(str(tmp_path / "in"))
     run_all(changes.windowed_counts(spark.readStream.schema(schema).json(str(tmp_path / "in")), "at"), "complete", "windows", tmp_path / "c")
     assert sorted((r["event_type"], r["n"]) for r in spark.table("windows").collect()) == [("x", 2), ("y", 1)]
+
+
+def test_index_stops_on_a_broken_version(spark, tmp_path):
+    """A version that can't be read is an error, not an empty index; old versions are deleted."""
+    where = f"{tmp_path}/index"
+    sink = changes.index_sink(where, "path", lambda changed: changed.select("path", F.lit(1).alias("n")))
+    batch = lambda name: spark.createDataFrame([(name, "created", 1)], "path string, event_type string, first_seq long")
+    for k in range(5):
+        sink(batch(f"f{k}"), k)
+    assert spark.read.parquet(f"{where}/v=4").count() == 5
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == [f"v={k}" for k in (2, 3, 4)]
+    for part in (tmp_path / "index" / "v=4").glob("*.parquet"):
+        part.write_bytes(b"broken")
+        (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="(?i)parquet|corrupt|magic|footer"):
+        sink(batch("f5"), 5)
+    assert not (tmp_path / "index" / "v=5" / "_SUCCESS").exists()
+
+
+def test_polling_goes_on_after_the_last_row(spark):
+    rows = [spark.createDataFrame([(i, f"e{i}") for i in range(n)], "id long, t string") for n in (3, 3, 5, 5, 5)]
+    seen = list(changes.polled(lambda k: rows[k], "id", limit=2, heartbeat=2, polls=5, wait=0))
+    assert [[r["id"] for r in x] for kind, x in seen if kind == "rows"] == [[0, 1], [2], [3, 4]]
+    assert [kind for kind, _ in seen].count("heartbeat") == 1
