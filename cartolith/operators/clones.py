@@ -130,11 +130,16 @@ def islands(pair_table: DataFrame, width: int = WINDOW, gap: int = GAP, least: i
 
 
 def classify(regions: DataFrame, words: DataFrame) -> DataFrame:
-    """exact if the regions' words agree as written, else renamed. words: (file, words)."""
-    a, b = words.select(F.col("file").alias("file_a"), F.col("words").alias("words_a")), words.select(F.col("file").alias("file_b"), F.col("words").alias("words_b"))
-    both = regions.join(a, "file_a").join(b, "file_b")
-    same = F.slice("words_a", F.col("start_a") + 1, F.col("token_count")) == F.slice("words_b", F.col("start_b") + 1, F.col("token_count"))
-    return both.select(*regions.columns, F.when(same, "exact").otherwise("renamed").alias("clone_type"))
+    """exact if the regions' words agree as written, else renamed. words: (file, words).
+
+    Each end is cut from its file at once and only its digest travels on, so no file's words are carried to its regions.
+    """
+    key = regions.columns
+    end = lambda side: F.struct(F.col(f"file_{side}").alias("file"), F.col(f"start_{side}").alias("start"))
+    ends = regions.select(*key, F.explode(F.array(end("a"), end("b"))).alias("e"))
+    cut = F.array_join(F.slice("words", F.col("start") + 1, F.col("token_count")), " ")
+    digests = ends.select(*key, "e.*").join(words, "file").select(*key, F.sha2(cut, 256).alias("digest"))
+    return digests.groupBy(*key).agg(F.when(F.min("digest") == F.max("digest"), "exact").otherwise("renamed").alias("clone_type"))
 
 
 def hotspots(regions: DataFrame, sizes: DataFrame) -> DataFrame:
