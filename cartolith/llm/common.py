@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import uuid
 from collections.abc import Iterator
@@ -51,14 +52,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+def _remove(where, filesystem) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        filesystem.delete(where, True)
+
+
 class Scratch:
-    """Written tables in the shared folder: they cut lineage and outlive lost executors."""
+    """Written tables in the shared folder: they cut lineage and outlive lost executors.
+
+    Tables that nothing reads again are dropped by the operators; the rest goes when the driver's process ends.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/cartolith-{label}-{uuid.uuid4().hex}"
         self._n = 0
         small_batches(spark)
+        where = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        atexit.register(_remove, where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()))
 
     def write(self, df: DataFrame, tag: str = "t") -> DataFrame:
         self._n += 1
