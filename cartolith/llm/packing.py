@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,8 +33,8 @@ from .common import Scratch, text_or_empty
 
 LENGTH, CLOSING = 2048, 0
 _LIMIT = 0x250
-_CACHE_MOST = 200_000
-GROUP_BYTES = 1 << 20
+_CACHE_MOST = 150_000
+GROUP_BYTES = 2 << 20
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 #: White space below U+0250.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0]
@@ -104,7 +105,7 @@ class TokenIds:
         to_byte = {c: b for b, c in as_char.items()}
         ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in special}
         self.merge = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # ids as four bytes each
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids side by side, and n+1 offsets."""
@@ -124,7 +125,7 @@ class TokenIds:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(code))
-        one, inverse = tc.distinct_slices(code, starts, ends)
+        one, inverse = tc.distinct_slices(code.astype(np.uint8 if code.max() < 256 else np.uint16), starts, ends)
         if len(self.known) > _CACHE_MOST:
             self.known.clear()
         known, merge, ids = self.known, self.merge, []
@@ -132,10 +133,10 @@ class TokenIds:
             token = text[a:b]
             found = known.get(token)
             if found is None:
-                found = known[token] = merge(token.encode())
+                found = known[token] = array("I", merge(token.encode())).tobytes()
             ids.append(found)
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(sizes.sum()))
+        sizes = np.array([len(x) for x in ids], dtype=np.int64) // 4
+        flat = np.frombuffer(b"".join(ids), dtype=np.uint32)
         begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         each = sizes[inverse]
         upto = np.concatenate([[0], np.cumsum(each)])
@@ -233,45 +234,97 @@ def _exchange(giver: Pattern, taker: Pattern, length: int) -> tuple[Pattern, Pat
     return tuple(sorted([*giver_left, *back], reverse=True)), tuple(sorted([*taker_left, *out], reverse=True))
 
 
+class _Takers:
+    """Underfull patterns by what they can take: one entry for each item that they may give back, and one for none.
+
+    A giver is tried against all entries at once.
+    """
+
+    def __init__(self, length: int):
+        self.length, self.number, self.patterns = length, {}, []
+        self.alive, self.fill = np.zeros(64, bool), np.zeros(64, np.int64)
+        self.owner, self.back = np.zeros(256, np.int64), np.zeros(256, np.int64)
+        self.entries = 0
+
+    def _grown(self, name: str, size: int) -> None:
+        old = getattr(self, name)
+        if size > len(old):
+            new = np.zeros(2 * size, old.dtype)
+            new[: len(old)] = old
+            setattr(self, name, new)
+
+    def put(self, pattern: Pattern, there: bool) -> None:
+        k = self.number.get(pattern)
+        if k is None:
+            k = self.number[pattern] = len(self.patterns)
+            self.patterns.append(pattern)
+            items = [0, *sorted(set(pattern))]
+            for name, size in (("alive", k + 1), ("fill", k + 1), ("owner", self.entries + len(items)), ("back", self.entries + len(items))):
+                self._grown(name, size)
+            self.fill[k] = sum(pattern)
+            self.owner[self.entries : self.entries + len(items)] = k
+            self.back[self.entries : self.entries + len(items)] = items
+            self.entries += len(items)
+        self.alive[k] = there
+
+    def best(self, giver: Pattern, several: bool) -> Pattern | None:
+        """The pattern that the giver fills most, or that empties it; of equal ones the fullest. `several`: it may be its own."""
+        owner, back = self.owner[: self.entries], self.back[: self.entries]
+        fits = self.alive[owner] & (self.fill[owner] >= sum(giver))
+        if not several:
+            fits &= owner != self.number[giver]
+        some = np.flatnonzero(fits)
+        owner, back = owner[some], back[some]
+        fill = self.fill[owner]
+        room = self.length - fill + back
+        best, found = (False, 0, -1), None
+        gives = {b: 1 for b in giver} | {b + c: 2 for i, b in enumerate(giver) for c in giver[i + 1 :]}
+        for size, items in gives.items():
+            gain = np.where((back < size) & (size <= room), size - back, 0)
+            whole = items == len(giver) and size == sum(giver)
+            if whole and ((gain > 0) & (back == 0)).any():
+                gain = np.where(back == 0, gain, 0)
+            else:
+                whole = False
+            if len(gain):
+                k = int((gain * (self.length + 1) + fill).argmax())
+                if gain[k] and (whole, int(gain[k]), int(fill[k])) > best:
+                    best, found = (whole, int(gain[k]), int(fill[k])), self.patterns[owner[k]]
+        return found
+
+
 def local_search(packed: dict[Pattern, int], length: int, steps: int | None = None) -> dict[Pattern, int]:
     """Empties bins: the least filled gives to fuller ones, and each exchange raises the sum of squared fills.
 
-    A bin that can give nothing rests, and then tries only bins that have come up since: an exchange that failed fails
-    again. The search ends when all rest or the lower bound is met; `steps` bounds the exchanges that are tried, if given.
+    Underfull patterns take their turn from the least filled up, each as long as an exchange is left for it; the search
+    ends after a round without any, or when the lower bound is met. `steps` bounds the tries, if given.
     """
-    bins = dict(packed)
-    fewest = -(-sum(sum(p) * n for p, n in bins.items()) // length)
-    # Numbers of changes: when a pattern came up last, and when a giver began to rest.
-    spent, now, born, rested = 0, 0, dict.fromkeys(bins, 0), {}
-    most = float("inf") if steps is None else steps
-    while sum(bins.values()) > fewest and spent < most:
-        under = sorted((p for p in bins if sum(p) < length), key=lambda p: (sum(p), p))
-        giver = next((p for p in under if rested.get(p, -1) < now), None)
-        if giver is None:
-            break
-        best = None
-        for taker in reversed(under):
-            if taker == giver and bins[giver] < 2 or sum(taker) < sum(giver) or born[taker] <= rested.get(giver, -1):
-                continue
-            spent += 1
-            changed = _exchange(giver, taker, length)
-            gain = 0 if changed is None else sum(changed[1]) - sum(taker)
-            if changed and (not changed[0] or gain * (sum(taker) - sum(giver) + gain) > 0) and (best is None or (not changed[0], gain) > best[:2]):
-                best = (not changed[0], gain, taker, changed)
-                if not changed[0] or sum(changed[1]) == length:
+    bins, takers = dict(packed), _Takers(length)
+    fewest, count, tries, moved = -(-sum(sum(p) * n for p, n in bins.items()) // length), sum(bins.values()), 0, True
+    for pattern in bins:
+        if sum(pattern) < length:
+            takers.put(pattern, True)
+    while moved and count > fewest:
+        moved = False
+        for giver in sorted((p for p in bins if sum(p) < length), key=lambda p: (sum(p), p)):
+            while bins.get(giver) and count > fewest:
+                if steps is not None and tries >= steps:
+                    return bins
+                tries += 1
+                taker = takers.best(giver, bins[giver] > 1)
+                if taker is None:
                     break
-            if spent >= most:
-                break
-        if best is None:
-            rested[giver] = now
-            continue
-        _, _, taker, (rest, filled) = best
-        many = min(bins[giver], bins[taker]) if taker != giver else bins[giver] // 2
-        for pattern, change in ((giver, -many), (taker, -many), (rest, many), (filled, many)):
-            bins[pattern] = bins.get(pattern, 0) + change
-        bins = {p: n for p, n in bins.items() if n and p}
-        now += 1
-        born[rest] = born[filled] = now
+                rest, filled = _exchange(giver, taker, length)
+                many = min(bins[giver], bins[taker]) if taker != giver else bins[giver] // 2
+                for pattern, change in ((giver, -many), (taker, -many), (rest, many), (filled, many)):
+                    bins[pattern] = bins.get(pattern, 0) + change
+                for pattern in {giver, taker, rest, filled}:
+                    if not bins[pattern] or not pattern:
+                        del bins[pattern]
+                    if pattern and sum(pattern) < length:
+                        takers.put(pattern, pattern in bins)
+                count -= 0 if rest else many
+                moved = True
     return bins
 
 
