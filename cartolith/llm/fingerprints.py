@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import partitions_for, text_or_empty
+from .common import partitions_for, small_batches, text_or_empty
 
 SMALLEST, NORMAL, LARGEST = 8, 32, 128
 #: Bits that must be zero in the gear hash before and after the normal size.
@@ -173,6 +173,7 @@ def compare(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
     before it as well, as the next document of its last row. The text is shuffled once and no range is one task's all.
     """
     spark = df.sparkSession
+    small_batches(spark)
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), text_or_empty(text_col).alias("text"))
     n = 4 * partitions_for(spark)
     found = docs.select("doc_id").agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n).alias("some"), F.max("doc_id").alias("top")).first()
