@@ -81,8 +81,8 @@ def _eights(data: np.ndarray) -> np.ndarray:
 
 def _head(eights: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The first `size` bytes (at most eight) at each place."""
-    bits = np.clip(size, 0, 8).astype(U64) * U64(8)
-    return np.where(bits > 0, (eights[at] << (U64(64) - np.maximum(bits, U64(8)))) >> (U64(64) - np.maximum(bits, U64(8))), U64(0))
+    spare = (np.int64(8) - np.minimum(size, 8)).astype(U64) << U64(3)  # a shift by 64 leaves 0
+    return (eights[at] << spare) >> spare
 
 
 def heads(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 MARK = "▁"
 GROUP_BYTES = 2 << 20
@@ -180,5 +180,6 @@ def count(df: DataFrame, vocabulary: str, text_col: str = "text", id_col: str =
                 distinct = [len(np.unique(inverse[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(np.diff(first)), pa.array(distinct, pa.int64()), pa.array(upto[first[1:]] - upto[first[:-1]])], names=["doc_id", "n_pretokens", "n_distinct", "n_tokens"])
 
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return docs.mapInArrow(run, "doc_id long, n_pretokens long, n_distinct long, n_tokens long")
