@@ -218,6 +218,16 @@ def test_token_counts_of_documents(spark):
     assert rows_of(token_counts.count(table(spark, rows), path), "doc_id", "n_pretokens", "n_distinct", "n_tokens") == sorted(want, key=repr)
 
 
+def test_alike_built_long_words_are_counted_apart(spark):
+    """A Thue-Morse word and its complement, which polynomial hashes modulo a power of two confuse."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    one, other = ("".join("xUab"[(bin(k).count("1") + f) % 2 * 2 + k % 2] for k in range(1024)) for f in (0, 1))
+    trie = token_counts.trie_of(path)
+    want = [trie.walked(["▁" + w])[0] for w in (one, other)]
+    out = token_counts.count(table(spark, [(1, f"{one} {other}", None, None), (2, other, None, None)]).coalesce(1), path)
+    assert rows_of(out, "doc_id", "n_distinct", "n_tokens") == [(1, 2, sum(want)), (2, 1, want[1])]
+
+
 def labelled(seed=0, n=400):
     rng = random.Random(seed)
     rows, labels = [], []
