@@ -90,6 +90,19 @@ def guarded(tools: DataFrame, files: DataFrame, max_files: int, max_bytes: int)
     return sized.select(*tools.columns, F.when(why.isNull(), "run").otherwise("skipped").alias("status"), why.alias("reason"))
 
 
+def capabilities(paths: DataFrame, path: str, available: tuple[str, ...], overrides: tuple[str, ...] = ()) -> DataFrame:
+    """(key, extensions, available, degraded): the extensions in use of each analyzer, and those that lack theirs.
+
+    The table is aggregated to its extensions first. Overridden ones are left out, but for .py, which always has its analyzer.
+    """
+    own = ["." + o.lower().removeprefix(".") for o in overrides]
+    used = paths.select(tx.suffix(F.col(path)).alias("suffix")).distinct().filter((F.col("suffix") == ".py") | ~F.col("suffix").isin(own))
+    keyed = used.select("suffix", F.when(F.col("suffix") == ".py", "python").when(F.col("suffix").isin(".tsx"), "tsx").when(F.col("suffix") == ".html", "html").otherwise(tx.language_of(F.col("suffix"))).alias("key"))
+    grouped = keyed.filter("key <> 'unknown'").groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("suffix")), ",").alias("extensions"))
+    present = F.col("key").isin("python", *available)
+    return grouped.select("key", "extensions", present.alias("available"), F.when(present, "").otherwise(F.col("extensions")).alias("degraded"))
+
+
 def insight_context(summary: DataFrame, recent: DataFrame, order: list, line: Column, most: int = 10) -> DataFrame:
     """One row: the lines of a summary (one column, line) and the first `most` recent items, joined by newlines."""
     rank = F.row_number().over(Window.orderBy(*order))

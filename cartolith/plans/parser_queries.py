@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +52,9 @@ def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def source_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised tokens of all languages with the hash of their normal form."""
-    code = projects(spark, sf_dir).withColumn("language", F.when(F.col("path").endswith(".py"), "python").otherwise("c"))
-    parts = [python_code.rows(code.filter(F.col("language") == k), lambda p, t, k=k: other_code.tokens(p, t, k), other_code.TOKEN_SCHEMA) for k in ("python", "c")]
-    return parts[0].unionByName(parts[1]).withColumn("hash", fnv1a_32(F.col("normal")))
+    code = projects(spark, sf_dir).withColumn("language", F.when(F.col("path").endswith(".py"), "python").when(F.col("path").rlike(r"\.[jt]sx?$"), "script").otherwise("c"))
+    parts = [python_code.rows(code.filter(F.col("language") == k), lambda p, t, k=k: other_code.tokens(p, t, k), other_code.TOKEN_SCHEMA) for k in ("python", "script", "c")]
+    return functools.reduce(DataFrame.unionByName, parts).withColumn("hash", fnv1a_32(F.col("normal")))
 
 
 @query()

@@ -9,7 +9,7 @@ from cartolith.functions import text as tx
 from cartolith.functions.hashing import placeholder_hash
 from cartolith.operators import clones, review
 from cartolith.operators import search as op
-from cartolith.sources import python_code
+from cartolith.sources import files, python_code
 
 from .clone_queries import clone_classify as classified
 from .clone_queries import region_table
@@ -215,3 +215,23 @@ def changed_files_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of a job that events of a user ask for, an hour apart at least."""
     return review.coalesced(table(spark, sf_dir, "events").select("user_id", micros().alias("us")), "user_id", "us", 3_600_000_000)
+
+
+@query("""
+    SELECT doc_id, media_type, CASE WHEN n_chars > 524288 THEN 'too_large' WHEN media_type = 'image/png' THEN 'binary' ELSE 'ok' END AS preview
+    FROM (SELECT doc_id, n_chars, CASE doc_id % 5 WHEN 0 THEN 'application/toml' WHEN 1 THEN 'text/x-python' WHEN 2 THEN 'image/png' WHEN 3 THEN 'application/json' ELSE 'text/plain' END AS media_type FROM documents)""")
+def file_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffix = F.element_at(F.array(*(F.lit(x) for x in (".toml", ".py", ".PNG", ".json", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
+    named = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d/f"), F.col("doc_id"), suffix).alias("path"), F.col("n_chars").alias("size"))
+    return files.previews(named).select("doc_id", "media_type", "preview")
+
+
+@query("""
+    SELECT key, string_agg(suffix, ',' ORDER BY suffix) AS extensions, key IN ('python', 'c') AS available, CASE WHEN key IN ('python', 'c') THEN '' ELSE string_agg(suffix, ',' ORDER BY suffix) END AS degraded
+    FROM (SELECT DISTINCT CASE p_size % 7 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.jsx' WHEN 3 THEN '.tsx' WHEN 4 THEN '.c' ELSE '.html' END AS suffix,
+        CASE p_size % 7 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'javascript' WHEN 3 THEN 'tsx' WHEN 4 THEN 'c' ELSE 'html' END AS key FROM part WHERE p_size % 7 < 6) GROUP BY key""")
+def analyzer_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyzers of the extensions in use; .ts has one of its own and is left out."""
+    suffix = F.element_at(F.array(*(F.lit(x) for x in (".py", ".js", ".jsx", ".tsx", ".c", ".html", ".ts"))), (F.col("p_size") % 7 + 1).cast("int"))
+    paths = table(spark, sf_dir, "part").select(F.concat(F.lit("src/f"), F.col("p_partkey"), suffix).alias("path"))
+    return review.capabilities(paths, "path", ("c",), (".TS",))

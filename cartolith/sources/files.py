@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartolith.functions import text as tx
 
+#: Media types of suffixes that go before the usual table, text types beside text/*, and the largest preview in bytes.
+OWN_MEDIA_TYPES = {
+    ".yml": "application/yaml", ".yaml": "application/yaml", ".toml": "application/toml", ".ini": "text/plain", ".env": "text/plain", ".cfg": "text/plain",
+    ".json5": "application/json5", ".jsonc": "application/json",
+}
+TEXT_MEDIA_TYPES = [
+    "application/javascript", "application/json", "application/xml", "application/yaml", "application/x-yaml", "application/toml", "application/x-toml", "application/json5",
+]
+LARGEST_PREVIEW = 512 * 1024
+
 SYMBOL_SNAPSHOT = "path string, name string, kind string, lineno int, parent string, docstring string, loc int, complexity int"
 
 
@@ -39,6 +51,26 @@ def listing(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
+def docs_listing(files: DataFrame, folder: str = "docs") -> DataFrame:
+    """(path, name, size, modified) of the Markdown files below a folder, by path."""
+    inside = files.filter(F.col("path").startswith(f"{folder}/") & F.col("path").endswith(".md"))
+    return inside.select("path", F.substring_index("path", "/", -1).alias("name"), "size", "modified").orderBy("path")
+
+
+def media_type(path: Column) -> Column:
+    """The media type that a name's suffix tells; text/plain if it tells none."""
+    usual = mimetypes.MimeTypes(filenames=()).types_map[True] | OWN_MEDIA_TYPES
+    known = F.create_map(*(F.lit(x) for pair in sorted(usual.items()) for x in pair))
+    return F.coalesce(F.try_element_at(known, tx.suffix(path)), F.lit("text/plain"))
+
+
+def previews(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
+    """Files with media_type and preview: ok, too_large (told first) or binary."""
+    out = files.withColumn("media_type", media_type(F.col(path)))
+    readable = F.col("media_type").startswith("text/") | F.col("media_type").isin(TEXT_MEDIA_TYPES)
+    return out.withColumn("preview", F.when(F.col(size) > LARGEST_PREVIEW, "too_large").when(readable, "ok").otherwise("binary"))
+
+
 def slice_lines(text: Column, first: Column, last: Column) -> Column:
     """Lines first to last of a text, counted from 1."""
     return F.array_join(F.slice(F.split(text, "\n"), first, F.greatest(last - first + 1, F.lit(0))), "\n")

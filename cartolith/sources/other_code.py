@@ -9,13 +9,17 @@ from __future__ import annotations
 import builtins
 import keyword
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 _TOKEN = {
     "python": re.compile(r"(?P<comment>\#[^\n]*)|(?P<string>[rbfuRBFU]{0,2}(?:'''[\s\S]*?'''|\"\"\"[\s\S]*?\"\"\"|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"))|(?P<number>\b\d[\w.]*)|(?P<word>[A-Za-z_]\w*)|(?P<newline>\n)|(?P<op>[-+*/%=<>!&|^~:]{1,3}|[()\[\]{},.;@])"),
-    "c": re.compile(r"(?P<comment>//[^\n]*|/\*[\s\S]*?\*/|^[ \t]*\#[^\n]*)|(?P<string>R\"\((?:[\s\S]*?)\)\"|[LuU8]{0,2}\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<number>\b\d[\w.']*)|(?P<word>[A-Za-z_$][\w$]*)|(?P<newline>\n)|(?P<op>[-+*/%=<>!&|^~?:]{1,3}|[()\[\]{},.;@#])", re.M),
+    "c": re.compile(r"(?P<comment>//[^\n]*|/\*[\s\S]*?\*/|^[ \t]*\#[^\n]*)|(?P<string>R\"(?P<mark>[^()\\\s\"]{0,16})\([\s\S]*?\)(?P=mark)\"|[LuU8]{0,2}\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<number>\b\d[\w.']*)|(?P<word>[A-Za-z_$][\w$]*)|(?P<newline>\n)|(?P<op>[-+*/%=<>!&|^~?:]{1,3}|[()\[\]{},.;@#])", re.M),
+    "script": re.compile(r"(?P<comment>//[^\n]*|/\*[\s\S]*?\*/)|(?P<string>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<number>\b\d[\w.]*)|(?P<word>[A-Za-z_$][\w$]*)|(?P<newline>\n)|(?P<op>/=?|[-+*%=<>!&|^~?:]{1,3}|[()\[\]{},.;@#])"),
 }
+_PATTERN = re.compile(r"(?P<string>/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)")
+#: Words after which a slash begins a pattern.
+_BEFORE_PATTERN = set("return typeof case in of delete void throw new else do instanceof await yield".split())
 #: Words that keep their own hash.
 _C_WORDS = set("if else for while do switch case default break continue return goto try catch throw new delete class struct enum union namespace template typename public private protected static const virtual using function var let async await export import from extends implements interface type".split())
 #: Names of types that count as one.
@@ -23,14 +27,31 @@ _TYPES = {"python": set("int float str bool bytes list dict set tuple object typ
 _BUILTIN = set(dir(builtins))
 
 
+def _found(text: str, language: str) -> Iterator[re.Match]:
+    """Matches in order. In scripts a slash that follows no value begins a pattern, which counts as a string."""
+    if language != "script":
+        yield from _TOKEN[language].finditer(text)
+        return
+    at, value = 0, False
+    while m := _TOKEN["script"].search(text, at):
+        if m.lastgroup == "op" and text[m.start()] == "/" and not value:
+            m = _PATTERN.match(text, m.start()) or m
+        yield m
+        at = m.end()
+        if m.lastgroup not in ("comment", "newline"):
+            raw = m.group()
+            value = raw in ")]}" if m.lastgroup == "op" else raw not in _BEFORE_PATTERN
+
+
 def tokens(path: str, text: str, language: str) -> Iterator[dict]:
     """Tokens with their line and normal form: names, strings, numbers and types become placeholders; comments go.
 
-    In Python, lines that import and docstrings go as well.
+    In Python, lines that import and docstrings go as well. Languages: python, javascript and typescript (or script); others are read as C.
     """
     python = language == "python"
+    kin = "python" if python else "script" if language in ("script", "javascript", "typescript") else "c"
     line, skip, fresh = 1, False, True
-    for m in _TOKEN["python" if python else "c"].finditer(text):
+    for m in _found(text, kin):
         kind, raw = m.lastgroup, m.group()
         here = line
         line += raw.count("\n")
@@ -190,3 +211,14 @@ def generator_for(path: str):
 def any_symbols(path: str, text: str) -> Iterator[dict]:
     """Symbols of a file by the generator of its extension."""
     yield from generator_for(path)(path, text)
+
+
+def with_overrides(overrides: dict[str, Callable[[str, str], Iterator[dict]]]) -> Callable[[str, str], Iterator[dict]]:
+    """any_symbols with other generators for some extensions, with or without their dot, in any case."""
+    own = {"." + extension.lower().removeprefix("."): generator for extension, generator in overrides.items()}
+
+    def run(path: str, text: str) -> Iterator[dict]:
+        suffix = "." + path.rpartition(".")[2].lower() if "." in path else ""
+        yield from own.get(suffix, any_symbols)(path, text)
+
+    return run
