@@ -16,6 +16,9 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes that a batch of rows may have on its way to Python, which bounds a worker's memory whatever the texts.
 _BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
+#: Keys with more than this share of all rows are joined by broadcast, since one task can't take them.
+HOT = 1 / 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -97,5 +100,17 @@ def partitions_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def skewed_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """left, outer joined with right, which has one row a key and in `weight` how many rows of left have it.
+
+    A key that holds more than HOT of the `total` rows is joined by broadcast, and there are fewer than 1 / HOT of these;
+    the others are shuffled. No key is null.
+    """
+    often = F.col(weight) > total * HOT
+    hot = F.broadcast(right.filter(often))
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.filter(~often).hint("shuffle_hash"), keys, "left")
+    return left.join(hot, keys).unionByName(rest)
+
+
 def arrow_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, lm_scores, mixing, near_dedup, packing, secrets_scan, substring_dedup, token_counts, toxicity
+from . import exact_dedup, fill_middle, fingerprints, lm_scores, mixing, near_dedup, packing, secrets_scan, simhash, spelling, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -58,7 +59,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-_ALL = (op1_secret_scan, op2_fingerprints, op3_source_mix, op4_exact_dedup, op5_token_counts, op6_toxicity, op7_substring_dedup, op8_near_dedup, op9_lm_scores, op10_packing)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), *digests)
+
+
+_ALL = (op1_secret_scan, op2_fingerprints, op3_source_mix, op4_exact_dedup, op5_token_counts, op6_toxicity, op7_substring_dedup, op8_near_dedup, op9_lm_scores, op10_packing, op11_spelling_variants, op12_simhash, op13_fill_middle)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 _SCRAMBLE = "(({}) % 2147483647 * 48271 % 2147483647) * 16807 % 2147483647"
 _Y = f"({_SCRAMBLE.format('src % 2147483647 * 15485863 + slot % 2147483647 * 32452843 + 1')})"
@@ -104,4 +119,12 @@ ORACLE_SQL: dict[str, str] = {
         e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
         r AS (SELECT doc_id AS s, doc_id AS t FROM d UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.t)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.t) AS component_id, d.doc_id = min(r.t) AS kept FROM d JOIN r ON r.s = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n""",
+    "op13_fill_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+        h AS (SELECT *, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+        c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS c1, greatest(h1 % (n + 1), h2 % (n + 1)) AS c2,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, substring(t, 1, c1) AS a, substring(t, c1 + 1, c2 - c1) AS b, substring(t, c2 + 1) AS z FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN c1 END AS prefix_chars, CASE WHEN form <> 'plain' THEN c2 - c1 END AS middle_chars, sha256(t) AS restored_sha256,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256 FROM p""",
 }
