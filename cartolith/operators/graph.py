@@ -11,7 +11,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_set("target")), lambda x: x.cast("string")), ",").alias("targets"), F.countDistinct("target").alias("n_targets"))
 
 
-def _cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder; a local session without one gets a default."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -28,10 +28,10 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     frontier are checkpointed to the shared folder, so a round reads what the last one wrote and plans stay small.
     """
     seen = start.select("node", F.lit(0).alias("depth")).distinct()
-    frontier, steps = seen, _cut_lineage(edges.select(F.col("source").alias("node"), "target").distinct())
+    frontier, steps = seen, cut_lineage(edges.select(F.col("source").alias("node"), "target").distinct())
     for depth in range(1, max_depth + 1):
         following = frontier.join(steps, "node").select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
-        frontier = _cut_lineage(following)
+        frontier = cut_lineage(following)
         seen = seen.unionByName(frontier)
     return seen
 
@@ -41,12 +41,12 @@ def paths(spark, edges: DataFrame, start: DataFrame, max_depth: int) -> DataFram
 
     Open paths are a frontier that moves one step a round, checkpointed like that of `reachable`, so no bound on rows applies.
     """
-    steps = _cut_lineage(edges.select(F.col("source").alias("target"), F.col("target").alias("next")).distinct())
+    steps = cut_lineage(edges.select(F.col("source").alias("target"), F.col("target").alias("next")).distinct())
     walked = start.select(F.lit(None).cast("bigint").alias("source"), F.col("node").alias("target"), F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(False).alias("closes"))
     frontier = walked
     for depth in range(1, max_depth + 1):
         step = frontier.filter("not closes").join(steps, "target")
-        frontier = _cut_lineage(step.select(F.col("target").alias("source"), F.col("next").alias("target"), F.lit(depth).alias("depth"), F.array_append("path", F.col("next")).alias("path"), F.array_contains("path", F.col("next")).alias("closes")))
+        frontier = cut_lineage(step.select(F.col("target").alias("source"), F.col("next").alias("target"), F.lit(depth).alias("depth"), F.array_append("path", F.col("next")).alias("path"), F.array_contains("path", F.col("next")).alias("closes")))
         walked = walked.unionByName(frontier)
     return walked
 

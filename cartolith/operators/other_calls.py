@@ -1,14 +1,14 @@
-"""Call sites of JavaScript, TypeScript, C and C++ and their definitions in the same file."""
+"""Call sites of JavaScript, TypeScript, C and C++ and their definitions, in the same file or, through `modules`, in others."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.sources import other_code
+from cartolith.sources import syntax
 
 #: Functions of the script languages and of C and C++ that no project defines, and names that hold such.
 SCRIPT_BUILTINS = frozenset(
@@ -45,49 +45,72 @@ NATIVE_NAMESPACES = frozenset(
     """.split()
 )
 
-_CALL = re.compile(r"(?:\b(?P<new>new)\s+)?(?:(?P<receiver>[A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)*)\s*(?P<joint>\.|->|::)\s*)?(?P<name>[A-Za-z_$~][\w$]*)\s*(?:<[\w\s,:*&]*>)?\(")
-_KEYWORDS = frozenset("if for while switch catch function return with sizeof typeof await super do else case throw delete new".split())
 CALL_SCHEMA = "path string, caller string, owner string, callee string, receiver string, call_type string, line int"
+#: What tells call sites apart as far as their resolution goes.
+SITE = ["path", "owner", "callee", "receiver", "call_type"]
 
 
-def _calls(path: str, code: str, found: Iterator[tuple]) -> Iterator[dict]:
-    for name, kind, parent, _, low, high in found:
-        if kind == "class":
-            continue
-        for m in _CALL.finditer(code, low, high):
-            if m["name"] in _KEYWORDS and not m["new"]:
-                continue
-            receiver = m["receiver"]
-            how = "constructor" if m["new"] else "direct" if receiver is None else "static" if m["joint"] == "::" else "method"
-            yield {"path": path, "caller": name, "owner": parent, "callee": m["name"], "receiver": receiver, "call_type": how, "line": code.count("\n", 0, m.start("name")) + 1}
+def _calls(nodes: Iterator[dict]) -> Iterator[dict]:
+    rows = list(nodes)
+    for row in rows:
+        if row["kind"] == "call" and row["function"] is not None:
+            caller = rows[row["function"]]["name"]
+            yield {"path": row["path"], "caller": caller, "owner": row["owner"], "callee": row["name"], "receiver": row["receiver"], "call_type": row["how"], "line": row["line"]}
 
 
 def script_calls(path: str, text: str) -> Iterator[dict]:
     """Call sites in functions and methods of JavaScript or TypeScript."""
-    code = other_code.blanked(text)
-    yield from _calls(path, code, other_code.script_spans(code))
+    yield from _calls(syntax.script_nodes(path, text))
 
 
 def native_calls(path: str, text: str) -> Iterator[dict]:
     """Call sites in functions and methods of C or C++."""
-    code = other_code.blanked(text)
-    yield from _calls(path, code, other_code.native_spans(code))
+    yield from _calls(syntax.native_nodes(path, text))
 
 
-def _resolved(calls: DataFrame, symbols: DataFrame, joint: str, ignored: list[tuple], keys) -> DataFrame:
-    """Calls with the first of their keys that the file defines. ignored: (condition, status), tried in order."""
+def symbols_of(nodes: DataFrame) -> DataFrame:
+    """Symbols from a table of syntax nodes."""
+    parent = F.when(F.col("kind") == "method", F.col("owner"))
+    return nodes.filter("kind in ('class', 'function', 'method')").select("path", "name", "kind", F.col("line").alias("lineno"), parent.alias("parent"), "complexity")
+
+
+def calls_of(nodes: DataFrame) -> DataFrame:
+    """Call sites from a table of syntax nodes, each with the function it stands in."""
+    callers = nodes.filter("kind in ('function', 'method')").select("path", F.col("id").alias("function"), F.col("name").alias("caller"))
+    sites = nodes.filter("kind = 'call'").select("path", "function", "owner", F.col("name").alias("callee"), "receiver", F.col("how").alias("call_type"), "line")
+    return sites.join(callers, ["path", "function"]).select("path", "caller", "owner", "callee", "receiver", "call_type", "line")
+
+
+def definitions(symbols: DataFrame, joint: str) -> DataFrame:
+    """(path, key) of functions and methods, a method under its class."""
     key = F.when(F.col("parent").isNull(), F.col("name")).otherwise(F.concat_ws(joint, "parent", "name"))
-    defined = symbols.filter("kind <> 'class'").select("path", key.alias("key")).distinct()
+    return symbols.filter("kind in ('function', 'method')").select("path", key.alias("key")).distinct()
+
+
+def _resolved(calls: DataFrame, defined: DataFrame, ignored: list[tuple], keys: Column, elsewhere: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """Calls with the first of their keys that the file defines, or that `elsewhere` finds in another file.
+
+    ignored: (condition, status), tried in order. elsewhere: (path, key) to (path, key, target_path, target). Equal sites
+    share one lookup, and the result is joined back by what tells sites apart.
+    """
     status = F.lit(None).cast("string")
     for condition, name in reversed(ignored):
         status = F.when(condition, name).otherwise(status)
-    c = calls.withColumns({"call_id": F.monotonically_increasing_id(), "ignored": status})
-    ranked = c.filter("ignored is null").select("call_id", "path", F.posexplode(keys).alias("rank", "key")).filter("key is not null")
-    hit = ranked.join(defined, ["path", "key"]).groupBy("call_id").agg(F.min(F.struct("rank", "key"))["key"].alias("target"))
-    return c.join(hit, "call_id", "left").withColumn("status", F.coalesce("ignored", F.when(F.col("target").isNotNull(), "resolved_project"), F.lit("unresolved"))).drop("call_id", "ignored")
-
-
-def resolve_script(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    c = calls.withColumn("ignored", status)
+    ranked = c.filter("ignored is null").select(*SITE).distinct().select(*SITE, F.posexplode(keys).alias("rank", "key")).filter("key is not null")
+    hits = ranked.join(defined, ["path", "key"]).select(*SITE, F.struct("rank", F.lit(0).alias("far"), F.col("path").alias("target_path"), F.col("key").alias("target")).alias("hit"))
+    if elsewhere is not None:
+        wanted = ranked.select("path", "key").distinct().join(defined, ["path", "key"], "left_anti")
+        far = ranked.join(elsewhere(wanted), ["path", "key"])
+        hits = hits.unionByName(far.select(*SITE, F.struct("rank", F.lit(1).alias("far"), "target_path", "target").alias("hit")))
+    best = hits.groupBy(*SITE).agg(F.min("hit").alias("hit")).withColumnsRenamed({name: f"__{name}" for name in SITE})
+    same = functools.reduce(lambda a, b: a & b, (F.col(name).eqNullSafe(F.col(f"__{name}")) for name in SITE))
+    out = c.join(best, same, "left")
+    found = F.when(F.col("hit").isNotNull(), "resolved_project")
+    return out.select(*calls.columns, F.col("hit.target").alias("target"), F.col("hit.target_path").alias("target_path"), F.coalesce("ignored", found, F.lit("unresolved")).alias("status"))
+
+
+def resolve_script(calls: DataFrame, symbols: DataFrame, elsewhere: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Builtin names and library objects go; this.x is the own class's, new X its constructor, r.x a method of r or a function x."""
     r, name, kind = F.col("receiver"), F.col("callee"), F.col("call_type")
     own = (r == "this") & F.col("owner").isNotNull()
@@ -96,14 +119,14 @@ def resolve_script(calls: DataFrame, symbols: DataFrame) -> DataFrame:
         F.when(own, F.concat_ws(".", "owner", "callee")), F.when(~F.coalesce(own, F.lit(False)) & (kind == "method"), F.concat_ws(".", "receiver", "callee")),
         F.when((kind == "direct") | ~F.coalesce(own, F.lit(False)) & (kind == "method"), name), F.when(kind == "constructor", F.concat(name, F.lit(".constructor"))),
     )
-    return _resolved(calls, symbols, ".", ignored, keys)
+    return _resolved(calls, definitions(symbols, "."), ignored, keys, elsewhere)
 
 
-def resolve_native(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+def resolve_native(calls: DataFrame, symbols: DataFrame, elsewhere: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Library functions and namespaces go; this->x is the own class's, R::x that of R or a third party's; other methods stay open."""
     r, name, kind = F.col("receiver"), F.col("callee"), F.col("call_type")
     ignored = [(name.isin(sorted(NATIVE_LIBRARY)), "ignored_stdlib"), (r.isin(sorted(NATIVE_NAMESPACES)), "ignored_stdlib")]
     own = (r == "this") & F.col("owner").isNotNull()
     keys = F.array(F.when(own, F.concat_ws("::", "owner", "callee")), F.when((kind == "static") & r.isNotNull(), F.concat_ws("::", "receiver", "callee")), F.when(kind == "direct", name))
-    out = _resolved(calls, symbols, "::", ignored, keys)
+    out = _resolved(calls, definitions(symbols, "::"), ignored, keys, elsewhere)
     return out.withColumn("status", F.when((F.col("status") == "unresolved") & (kind == "static"), "ignored_third_party").otherwise(F.col("status")))

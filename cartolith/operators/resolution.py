@@ -86,12 +86,13 @@ def uml_model(members: DataFrame, symbols: DataFrame, imports: DataFrame) -> Dat
     classes = symbols.filter("kind = 'class'").select(F.concat_ws(".", own, F.col("name")).alias("full")).distinct()
     meaning = import_targets(imports).select(F.col("path").alias("ip"), F.col("alias").alias("ia"), F.concat_ws(".", "module", "name").alias("meant"))
     edges = members.filter("kind not in ('attribute', 'method')").select("path", "owner", "kind", F.col("name").alias("raw")).distinct()
-    edges = edges.withColumns({"ref_id": F.monotonically_increasing_id(), "module": own, "head": F.substring_index("raw", ".", 1), "tail": F.regexp_replace("raw", r"^[^.]*\.?", "")})
+    edges = edges.withColumns({"module": own, "head": F.substring_index("raw", ".", 1), "tail": F.regexp_replace("raw", r"^[^.]*\.?", "")})
     edges = edges.join(meaning, (F.col("path") == F.col("ip")) & (F.col("head") == F.col("ia")), "left")
     meant = F.concat_ws(".", F.coalesce("meant", "head"), F.nullif("tail", F.lit("")))
     names = F.array(F.concat_ws(".", "module", "raw"), meant)
-    hit = edges.select("ref_id", F.posexplode(names).alias("rank", "full")).join(classes, "full").groupBy("ref_id").agg(F.min(F.struct("rank", "full"))["full"].alias("target"))
-    edges = edges.withColumn("fallback", meant).join(hit, "ref_id", "left").select("path", "owner", "kind", F.coalesce("target", "fallback").alias("target"))
+    key = ["path", "owner", "kind", "raw"]  # one row each, after distinct
+    hit = edges.select(*key, F.posexplode(names).alias("rank", "full")).join(classes, "full").groupBy(*key).agg(F.min(F.struct("rank", "full"))["full"].alias("target"))
+    edges = edges.withColumn("fallback", meant).join(hit, key, "left").select("path", "owner", "kind", F.coalesce("target", "fallback").alias("target"))
     of = lambda kind: F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.concat_ws(": ", "name", "type")))), "; ")
     have = members.groupBy("path", "owner").agg(of("attribute").alias("attributes"), of("method").alias("methods"))
     every = symbols.filter("kind = 'class'").select("path", F.col("name").alias("owner")).distinct()

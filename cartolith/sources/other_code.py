@@ -1,7 +1,7 @@
 """Row generators over other languages: JavaScript and TypeScript, C and C++, HTML; and tokenizers.
 
-There is no parser for these languages here, so a small tokenizer keeps strings and comments apart and symbols are found
-by the shapes of declarations and the depth of braces.
+Symbols are read from the nodes of `syntax`; the tokenizers keep strings and comments apart and give each token its
+normal form.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+from . import syntax
+
 _TOKEN = {
     "python": re.compile(r"(?P<comment>\#[^\n]*)|(?P<string>[rbfuRBFU]{0,2}(?:'''[\s\S]*?'''|\"\"\"[\s\S]*?\"\"\"|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"))|(?P<number>\b\d[\w.]*)|(?P<word>[A-Za-z_]\w*)|(?P<newline>\n)|(?P<op>[-+*/%=<>!&|^~:]{1,3}|[()\[\]{},.;@])"),
     "c": re.compile(r"(?P<comment>//[^\n]*|/\*[\s\S]*?\*/|^[ \t]*\#[^\n]*)|(?P<string>R\"(?P<mark>[^()\\\s\"]{0,16})\([\s\S]*?\)(?P=mark)\"|[LuU8]{0,2}\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<number>\b\d[\w.']*)|(?P<word>[A-Za-z_$][\w$]*)|(?P<newline>\n)|(?P<op>[-+*/%=<>!&|^~?:]{1,3}|[()\[\]{},.;@#])", re.M),
@@ -77,94 +79,23 @@ def tokens(path: str, text: str, language: str) -> Iterator[dict]:
 
 TOKEN_SCHEMA = "path string, token string, normal string, line int"
 SYMBOL_SCHEMA = "path string, name string, kind string, lineno int, parent string, complexity int"
-_BRANCH = re.compile(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?(?![.:?])")
-
-
-def blanked(text: str) -> str:
-    """The text with strings and comments overwritten by spaces, lines kept."""
-    out = list(text)
-    for m in _TOKEN["c"].finditer(text):
-        if m.lastgroup in ("comment", "string"):
-            for i in range(m.start(), m.end()):
-                if out[i] != "\n":
-                    out[i] = " "
-    return "".join(out)
-
-
-def _body_end(code: str, at: int) -> int:
-    """Where the braces that open at or after `at` close."""
-    depth, i = 0, code.find("{", at)
-    if i < 0:
-        return len(code)
-    for j in range(i, len(code)):
-        depth += (code[j] == "{") - (code[j] == "}")
-        if depth == 0:
-            return j + 1
-    return len(code)
-
-
-_SCRIPT = re.compile(
-    r"\b(?:class\s+(?P<class>[A-Za-z_$][\w$]*))|\bfunction\s*\*?\s*(?P<function>[A-Za-z_$][\w$]*)\s*[(<]|\b(?:const|let|var)\s+(?P<arrow>[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)"
-)
-_METHOD = re.compile(r"^[ \t]*(?:(?:public|private|protected|static|async|readonly|get|set|override)\s+)*(?P<name>[A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?\([^;{}]*\)\s*(?::[^{;]+)?\{", re.M)
-_NOT_METHODS = {"if", "for", "while", "switch", "catch", "function", "return", "with"}
-
-
-def script_spans(code: str) -> Iterator[tuple]:
-    """(name, kind, parent, place, begin and end of the body) of declarations in blanked code."""
-    inside: list[tuple[int, int]] = []
-    for m in _SCRIPT.finditer(code):
-        if name := m["class"]:
-            end = _body_end(code, m.end())
-            inside.append((m.start(), end))
-            yield name, "class", None, m.start(), m.end(), end
-            body = code[m.end() : end]
-            for x in _METHOD.finditer(body):
-                if x["name"] not in _NOT_METHODS and body.count("{", 0, x.start("name")) - body.count("}", 0, x.start("name")) == 1:
-                    at = m.end() + x.start("name")
-                    yield x["name"], "method", name, at, m.end() + x.end() - 1, _body_end(code, at)
-        elif not any(a < m.start() < b for a, b in inside):
-            yield m["function"] or m["arrow"], "function", None, m.start(), m.end(), _body_end(code, m.end())
-
-
-def _symbol_rows(path: str, code: str, found: Iterator[tuple]) -> Iterator[dict]:
-    for name, kind, parent, place, begin, end in found:
-        yield {"path": path, "name": name, "kind": kind, "lineno": code.count("\n", 0, place) + 1, "parent": parent, "complexity": None if kind == "class" else 1 + len(_BRANCH.findall(code[begin:end]))}
+
+
+def _symbol_rows(nodes: Iterator[dict]) -> Iterator[dict]:
+    for row in nodes:
+        if row["kind"] in ("class", "function", "method"):
+            parent = row["owner"] if row["kind"] == "method" else None
+            yield {"path": row["path"], "name": row["name"], "kind": row["kind"], "lineno": row["line"], "parent": parent, "complexity": row["complexity"]}
 
 
 def script_symbols(path: str, text: str) -> Iterator[dict]:
-    """Functions, arrow functions, classes and methods of JavaScript or TypeScript."""
-    code = blanked(text)
-    yield from _symbol_rows(path, code, script_spans(code))
-
-
-_NATIVE = re.compile(
-    r"\b(?P<kind>class|struct)\s+(?P<record>[A-Za-z_]\w*)\s*(?:final\s*)?(?::[^{;]*)?\{|\btypedef\b[^;{]*?(?P<typedef>[A-Za-z_]\w*)\s*;|(?:^|(?<=[{};]))[ \t]*(?:[A-Za-z_][\w:<>,&*\s]*?[\s&*])(?P<function>~?[A-Za-z_][\w:~]*)\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:const|noexcept|override|final|\s)*(?::[^{;]*)?\{", re.M
-)
-
-
-def native_spans(code: str) -> Iterator[tuple]:
-    """(name, kind, parent, place, begin and end of the body) of declarations in blanked code."""
-    records: list[tuple[int, int, str]] = []
-    for m in _NATIVE.finditer(code):
-        start = m.start("function") if m["function"] else m.start()
-        owner = next((n for a, b, n in reversed(records) if a < start < b), None)
-        if m["record"]:
-            end = _body_end(code, m.start("record"))
-            records.append((m.start(), end, m["record"]))
-            yield m["record"], "class", owner, m.start(), m.end(), end
-        elif m["typedef"]:
-            yield m["typedef"], "class", owner, m.start(), m.end(), m.end()
-        elif m["function"].split("::")[-1] not in _NOT_METHODS:
-            parts = m["function"].split("::")
-            parent = parts[-2] if len(parts) > 1 else owner
-            yield parts[-1], "method" if parent else "function", parent, start, m.end() - 1, _body_end(code, m.end() - 1)
+    """Functions, named arrow functions, classes and methods of JavaScript or TypeScript."""
+    yield from _symbol_rows(syntax.script_nodes(path, text))
 
 
 def native_symbols(path: str, text: str) -> Iterator[dict]:
-    """Functions, methods, classes, structs and typedefs of C or C++."""
-    code = blanked(text)
-    yield from _symbol_rows(path, code, native_spans(code))
+    """Functions, methods, classes, structs, enums and typedefs of C or C++."""
+    yield from _symbol_rows(syntax.native_nodes(path, text))
 
 
 class _Elements(HTMLParser):
