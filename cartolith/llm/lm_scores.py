@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -84,18 +85,19 @@ def _unkeys(blob: bytes) -> np.ndarray:
 
 
 def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, target, text) to chunks: one row of ids, marks, sizes in bytes and joined texts each."""
+    """(doc_id, target, text) to chunks: one row of ids (0 for null), which are known, marks, sizes in bytes and joined texts each."""
     number = TaskContext.get().partitionId() << 33
     for batch in batches:
         data, offsets = tc.string_buffers(batch.column(2))
         for i, j in tc.groups(offsets, CHUNK_BYTES):
             sizes = np.diff(offsets[i : j + 1])
-            lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x) for x in (batch.column(0)[i:j], batch.column(1)[i:j], pa.array(sizes))]
-            yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([data[offsets[i] : offsets[j]].tobytes()], pa.binary())], names=["chunk", "ids", "marks", "sizes", "text"])
+            ids = batch.column(0)[i:j]
+            lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x) for x in (pc.fill_null(ids, 0), ids.is_valid(), batch.column(1)[i:j], pa.array(sizes))]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([data[offsets[i] : offsets[j]].tobytes()], pa.binary())], names=["chunk", "ids", "known", "marks", "sizes", "text"])
             number += 1
 
 
-_CHUNK = "chunk long, ids array<long>, marks array<boolean>, sizes array<long>, text binary"
+_CHUNK = "chunk long, ids array<long>, known array<boolean>, marks array<boolean>, sizes array<long>, text binary"
 
 
 def _edges(buckets: int) -> np.ndarray:
@@ -213,7 +215,7 @@ def _scored(size: tuple[int, int, int]):
             offsets = np.concatenate([[0], np.cumsum(row.sizes)]).astype(np.int64)
             words, before, pairs, first = tokens(np.frombuffer(row.text, np.uint8), offsets)
             background, target = losses(words, before, pairs, first, np.asarray(row.marks, dtype=bool), *([x.astype(np.int64) for x in s] for s in sums), size)
-            ids = pd.array([None if x is None or x != x else int(x) for x in row.ids], dtype="Int64")
+            ids = pd.arrays.IntegerArray(np.asarray(row.ids, dtype=np.int64), ~np.asarray(row.known, dtype=bool))
             parts.append(pd.DataFrame({"doc_id": ids, "n_tokens": np.diff(first), "target_loss": target, "background_loss": background, "score": background - target}))
         return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("doc_id", "n_tokens", "target_loss", "background_loss", "score")})
 

@@ -1,7 +1,8 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-The words of a source, documents in order of id, are packed into blocks of fixed length. A source with target t gets
-t / size slots for each of its blocks. Every slot draws its output shard by a non-linear hash of source and slot, so the
+The words of a source, documents in order of id, are packed into blocks of fixed length: BLOCK words, or a FINEST-th of
+a source that is smaller than so many blocks, so what is taken of any source comes within a block of its target. A source
+with target t gets t / size slots for each of its blocks. Every slot draws its output shard by a non-linear hash of source and slot, so the
 counts of a source over the shards are multinomial, with the total held at the source's target. Slot i maps to block
 perm(i mod blocks), a swap-or-not permutation keyed by source and epoch, and blocks are joined by index.
 
@@ -18,6 +19,8 @@ from .common import Scratch, partitions_for, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 128
+#: Blocks that a source has at least, unless it has fewer words.
+FINEST = 512
 #: Rounds of the permutation.
 ROUNDS = 12
 #: Slots that one row expands to, and mean slots of a shard.
@@ -76,14 +79,15 @@ def mix(df: DataFrame, block: int = BLOCK, seed: int = 0, text_col: str = "text"
     # Range parts of (source, id): a large source spans many of them, and each is summed on its own.
     order = [F.asc_nulls_last("source"), F.asc_nulls_first("doc_id"), F.asc("size"), F.asc("row_key")]
     parts = scratch.write(sized.repartitionByRange(n, *order[:3]).withColumn("part", F.spark_partition_id()), "parts")
+    scratch.drop(sized)
     per_part = parts.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     per_part = per_part.withColumn("part_start", F.coalesce(F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sources = scratch.write(_targets(parts.groupBy("source").agg(F.sum("size").alias("source_size"))).select("source", "src", "source_size", "target"), "sources")
-    sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("slots", F.coalesce(F.round(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size"))), F.lit(0)).cast("long"))
+    sources = sources.withColumn("grain", F.greatest(F.lit(1), F.least(F.lit(block), F.ceil(F.col("source_size") / FINEST)))).withColumn("blocks", F.ceil(F.col("source_size") / F.col("grain"))).withColumn("slots", F.coalesce(F.round(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size"))), F.lit(0)).cast("long"))
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy(F.lit(1))) / SHARD_SLOTS)))
     within = Window.partitionBy("source", "part").orderBy(F.asc_nulls_first("doc_id"), "size", "row_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = _placed(parts, per_part, within)
-    placed = placed.join(sources.select(F.col("source").alias("s2"), "src", "source_size", "target", "blocks"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2", "source")
+    placed = placed.join(sources.select(F.col("source").alias("s2"), "src", "source_size", "target", "grain"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2", "source")
 
     span = sources.filter("slots > 0").select("src", "blocks", "slots", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SEGMENT))).alias("segment"))
     span = span.repartition(n, "src", "segment")
@@ -92,9 +96,9 @@ def mix(df: DataFrame, block: int = BLOCK, seed: int = 0, text_col: str = "text"
     slots = slots.select("src", "slot", (drawn(F.col("src") % _PRIME * 15485863 + F.col("slot") % _PRIME * 32452843 + seed + 1) % F.col("shards")).alias("shard"), permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), key).alias("block"))
 
     used = slots.groupBy("src", "block").agg(F.count("*").alias("times"), F.min("shard").alias("first_shard"))
-    touched = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
+    touched = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / F.col("grain")), F.floor((F.col("start") + F.col("size") - 1) / F.col("grain"))))
     pieces = placed.select("*", F.explode_outer(touched).alias("block"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("grain")) - F.greatest(F.col("start"), F.col("block") * F.col("grain"))
     # Spark's estimate of exploded rows is far too low, so without a hint this grows into a broadcast.
     found = pieces.join(used.hint("merge"), ["src", "block"], "left")
     documents = (

@@ -88,15 +88,16 @@ ORACLE_SQL: dict[str, str] = {
         total AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM sized GROUP BY 1),
         w AS (SELECT *, 1.0::DOUBLE + src % 3 AS weight, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / (1 + src % 3) AS full_at FROM total),
         l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - (sum(cap) OVER u - cap)) / (sum(weight) OVER () - (sum(weight) OVER u - weight)) AS level_here FROM w WINDOW u AS (ORDER BY full_at, src)),
-        s AS (SELECT source, src, source_size, least(cap, (SELECT arg_min(level_here, (full_at, src)) FROM l WHERE level_here <= full_at) * weight) AS target, ceil(source_size / {mixing.BLOCK}.0)::BIGINT AS blocks FROM l),
-        n AS (SELECT *, coalesce(round(target * blocks / nullif(source_size, 0)), 0)::BIGINT AS slots FROM s),
-        placed AS (SELECT z.row_no, z.doc_id, z.size, n.src, n.source_size, n.target, sum(z.size) OVER (PARTITION BY n.src ORDER BY z.doc_id NULLS FIRST, z.size, z.row_no) - z.size AS start
+        s AS (SELECT source, src, source_size, least(cap, (SELECT arg_min(level_here, (full_at, src)) FROM l WHERE level_here <= full_at) * weight) AS target, greatest(1, least({mixing.BLOCK}, ceil(source_size / {mixing.FINEST}.0)))::BIGINT AS grain FROM l),
+        m AS (SELECT *, ceil(source_size / grain)::BIGINT AS blocks FROM s),
+        n AS (SELECT *, coalesce(round(target * blocks / nullif(source_size, 0)), 0)::BIGINT AS slots FROM m),
+        placed AS (SELECT z.row_no, z.doc_id, z.size, n.src, n.source_size, n.target, n.grain, sum(z.size) OVER (PARTITION BY n.src ORDER BY z.doc_id NULLS FIRST, z.size, z.row_no) - z.size AS start
             FROM sized z JOIN n ON z.source IS NOT DISTINCT FROM n.source),
         slot AS (SELECT src, blocks, unnest(range(slots)) AS slot, greatest(1, ceil(sum(slots) OVER () / {mixing.SHARD_SLOTS}.0))::BIGINT AS shards FROM n),
         used AS (SELECT src, block, count(*) AS times, min(shard) AS first_shard FROM (
             SELECT src, ({_DRAWN}) % shards AS shard, list_reduce(list_prepend(slot % blocks, range({mixing.ROUNDS})), lambda x, r: {_STEP}) AS block FROM slot) GROUP BY 1, 2),
-        piece AS (SELECT *, unnest(range((start // {mixing.BLOCK})::BIGINT, ((start + size - 1) // {mixing.BLOCK})::BIGINT + 1)) AS block FROM placed WHERE size > 0),
-        taken AS (SELECT row_no, sum((least(start + size, (block + 1) * {mixing.BLOCK}) - greatest(start, block * {mixing.BLOCK})) * coalesce(times, 0)) AS taken, min(first_shard) AS first_shard
+        piece AS (SELECT *, unnest(range((start // grain)::BIGINT, ((start + size - 1) // grain)::BIGINT + 1)) AS block FROM placed WHERE size > 0),
+        taken AS (SELECT row_no, sum((least(start + size, (block + 1) * grain) - greatest(start, block * grain)) * coalesce(times, 0)) AS taken, min(first_shard) AS first_shard
             FROM piece LEFT JOIN used USING (src, block) GROUP BY 1)
         SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_shard FROM placed LEFT JOIN taken USING (row_no)""",
     "op4_exact_dedup": """

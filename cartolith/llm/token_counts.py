@@ -17,6 +17,7 @@ count alike; null ids are kept; an empty table gives an empty result; further co
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,44 +108,53 @@ class UnigramTrie:
         return out
 
     def walked(self, words: list[str]) -> list[int]:
-        """Tokens of each of sorted words, character by character, each from where it leaves the one before it.
+        """Tokens of each of sorted words, character by character, each from where it leaves the ones before it.
 
-        Along the path of the current word, position i holds the best (score, tokens) of its first i characters and the
-        open matches, pieces that began at some earlier position and may go on: (node, score before, tokens before).
+        A state is the best (score, tokens) so far and the open matches, pieces that began earlier and may go on: (node,
+        score before, tokens before), no more than the longest piece has characters. States are kept only where a later
+        word leaves the path of the current one.
         """
-        children, scores = self.children, self.score
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        opened: list[list[tuple[int, float, int]]] = [[(0, 0.0, 0)]]
-        before, out = "", []
-        for word in words:
-            same, most = 0, min(len(word), len(before))
-            while same < most and word[same] == before[same]:
-                same += 1
-            del best[same + 1 :], opened[same + 1 :]
-            for c in word[same:]:
-                top, going = None, []
-                for node, score, tokens in opened[-1]:
-                    to = children[node].get(c)
-                    if to is not None:
-                        going.append((to, score, tokens))
-                        value = scores[to]
-                        if value is not None:
-                            # The best score; of equal ones, the fewest tokens.
-                            offer = (score + value, -tokens - 1)
-                            if top is None or offer > top:
-                                top = offer
-                raw = len(c.encode())
-                offer = (best[-1][0] + BYTE_SCORE * raw, -best[-1][1] - raw)
-                if top is None or offer > top:
-                    top = offer
-                here = (top[0], -top[1])
-                best.append(here)
-                going.append((0, *here))
-                opened.append(going)
-            out.append(best[-1][1])
-            before = word
+        shared = [len(os.path.commonprefix(pair)) for pair in zip(words, words[1:], strict=False)] + [0]
+        less, stack = [len(words)] * len(words), []  # the next place where less is shared
+        for i in reversed(range(len(words))):
+            while stack and shared[stack[-1]] >= shared[i]:
+                stack.pop()
+            less[i] = stack[-1] if stack else len(words)
+            stack.append(i)
+        kept: list[tuple[int, tuple]] = [(0, ((0.0, 0), [(0, 0.0, 0)]))]
+        out = []
+        for i, word in enumerate(words):
+            begin = shared[i - 1] if i else 0
+            while kept[-1][0] > begin:
+                kept.pop()
+            begin, (best, opened) = kept[-1]
+            leaves, j = [], i
+            while j < len(words) and shared[j] > begin:
+                leaves.append(shared[j])
+                j = less[j]
+            for at, c in enumerate(word[begin:], begin + 1):
+                best, opened = self.stepped(best, opened, c)
+                if leaves and leaves[-1] == at:
+                    kept.append((leaves.pop(), (best, opened)))
+            out.append(best[1])
         return out
 
+    def stepped(self, best: tuple[float, int], opened: list[tuple[int, float, int]], c: str) -> tuple[tuple[float, int], list[tuple[int, float, int]]]:
+        """The state after one more character."""
+        raw = len(c.encode())
+        # The best score; of equal ones, the fewest tokens.
+        top, going = (best[0] + BYTE_SCORE * raw, -best[1] - raw), []
+        for node, score, tokens in opened:
+            to = self.children[node].get(c)
+            if to is not None:
+                going.append((to, score, tokens))
+                value = self.score[to]
+                if value is not None:
+                    top = max(top, (score + value, -tokens - 1))
+        best = (top[0], -top[1])
+        going.append((0, *best))
+        return best, going
+
 
 _tries: dict[str, UnigramTrie] = {}
 

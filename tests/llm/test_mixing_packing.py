@@ -54,6 +54,26 @@ def test_mix_meets_targets(spark):
     assert slots.filter("count > 3").count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_small_sources_meet_their_targets(spark, seed):
+    """Sources of 10 to 10,000 words come within 2 % or 2 words of their targets."""
+    rng = random.Random(seed)
+    sizes = {f"s{k:02d}": rng.choice([10, 30, 100, 100, 300, 700, 2500, 10_000]) for k in range(12)}
+    rows = []
+    for s, n in sizes.items():
+        while n > 0:
+            some = min(n, rng.randrange(1, 90))
+            rows.append((len(rows), " ".join(["w"] * some), None, s))
+            n -= some
+    want, taken = targets_of(sizes), Counter()
+    source = {d: s for d, _, _, s in rows}
+    for r in mixing.mix(table(spark, rows))["documents"].collect():
+        taken[source[r["doc_id"]]] += r["taken"]
+        assert r["taken"] <= 3 * r["size"]
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= max(2, 0.02 * want[s]), (s, sizes[s], want[s], taken[s])
+
+
 def test_permutation_is_one(spark):
     from pyspark.sql import functions as F
 

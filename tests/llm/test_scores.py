@@ -203,6 +203,29 @@ def test_trie_counts_match_plain_dynamic_program():
     assert trie.counts([long, "▁", "▁ab"]).tolist() == [plain_unigram(w, pieces) for w in (long, "▁", "▁ab")]
 
 
+def test_walk_of_words_that_leave_each_other_at_many_places():
+    pieces = ["▁", "a", "b", "ab", "aba", "bab", "▁ab"]
+    trie = token_counts.UnigramTrie(pieces)
+    rng = random.Random(3)
+    words = sorted({"▁" + "ab" * rng.randrange(4) + "".join(rng.choice("abz") for _ in range(rng.randrange(12))) for _ in range(300)} | {"▁"})
+    assert trie.walked(words) == [plain_unigram(w, pieces) for w in words]
+
+
+def test_memory_of_unbroken_text_does_not_grow_with_it():
+    import tracemalloc
+
+    trie = token_counts.UnigramTrie(["▁", "a", "b", "ab", "abba", "ba"])
+    peaks = []
+    for n in (20_000, 200_000):
+        words = ["▁" + "abbaabz" * (n // 7), "▁" + "abbaabz" * (n // 7) + "b"]
+        tracemalloc.start()
+        first, second = trie.walked(words)
+        peaks.append(tracemalloc.get_traced_memory()[1] / n)
+        tracemalloc.stop()
+        assert first <= second
+    assert peaks[1] < 20  # bytes a letter; a state for each letter took hundreds
+
+
 def test_token_counts_of_documents(spark):
     path = tokenizer_file("piece_bpe_32k.model")
     rows = [r for r in documents(9) if len(r[1] or "") < 2000]
@@ -351,6 +374,14 @@ def test_lm_scores_match_brute_force(spark, good):
     assert all(abs(r["score"] - (r["background_loss"] - r["target_loss"])) < 1e-12 and (good or r["score"] == 0) for r in out.collect())
 
 
+def test_lm_keeps_ids_beside_a_null_one(spark):
+    """Ids above 2**53 and negative ones come back as they are, though a chunk holds a null id."""
+    ids = [None, 2**60 + 1, 2**60 + 3, -(2**62) + 3, -1, 0, None, 2**63 - 1, -(2**63)]
+    rows = [(i, f"some words of row {k}", None, None) for k, i in enumerate(ids)]
+    out = lm_scores.score(table(spark, rows).coalesce(1), spark.createDataFrame([(2**60 + 1,)], "doc_id long"))
+    assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted(ids, key=str)
+
+
 def test_lm_prefers_the_target(spark):
     """Documents of the target's kind that are not in it score above others, and more distinct words than any fixed table would keep."""
     rng = random.Random(5)
