@@ -42,18 +42,6 @@ def suppress_repeats(rows: DataFrame, key: list[str], order: list[str], value: s
     return rows.withColumn("__before", F.collect_list(value).over(w)).filter(~F.array_contains("__before", F.col(value))).drop("__before")
 
 
-def suppress_thinking(rows: DataFrame, key: list[str], order: list[str], kind: str, text: str, thinking: str, ends: list[str], permission: str, within: int = 5, same: int = 3) -> DataFrame:
-    """Rows without repeated states: a `thinking` row goes if one of the `within` rows before it is one and none of `ends`
-    has come since; a `permission` row goes if one of the `same` rows before it has its text."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    before = F.collect_list(kind).over(w.rowsBetween(-within, -1))
-    since = F.array_position(F.reverse(before), F.lit(thinking))
-    ended = F.exists(F.slice(F.reverse(before), F.lit(1), F.greatest(since - 1, F.lit(0)).cast("int")), lambda x: x.isin(ends))
-    asked = F.collect_list(F.when(F.col(kind) == permission, F.col(text))).over(w.rowsBetween(-same, -1))
-    repeat = F.when(F.col(kind) == thinking, (since > 0) & ~ended).when(F.col(kind) == permission, F.array_contains(asked, F.col(text))).otherwise(F.lit(False))
-    return rows.withColumn("__repeat", F.coalesce(repeat, F.lit(False))).filter("not __repeat").drop("__repeat")
-
-
 def session_metrics(rows: DataFrame, key: str, at: Column, kind: str, errors: list[str], passed: list[str], tests: list[str]) -> DataFrame:
     """Events, errors, duration and success rate of each session; the rate is 0 without tests."""
     ran, good = F.sum(F.col(kind).isin(tests).cast("long")), F.sum(F.col(kind).isin(passed).cast("long"))

@@ -131,37 +131,3 @@ def unified_diffs(rows: DataFrame, key: str, path: str, before: str, after: str,
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, path, before, after).mapInArrow(run, f"{key} {kind}, diff string")
-
-
-def coalesced(requests: DataFrame, scope: str, at: str, interval: int) -> DataFrame:
-    """(scope, run_at, requests): runs of a job that requests ask for, at least `interval` apart.
-
-    A request runs at once if the last run is far enough back; otherwise it waits for that time, and requests until then
-    share its run. Each scope is walked in order, batch by batch, with nothing held but the pending run.
-    """
-    kind = requests.schema[scope].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last, due, count = None, None, None, 0
-        for batch in batches:
-            out: list[tuple] = []
-            for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if count and (s != own or t > due):
-                    out.append((own, due, count))
-                    last, count = due, 0
-                if s != own:
-                    own, last, due, count = s, None, None, 0
-                if not count:
-                    due = t if last is None or t - last >= interval else last + interval
-                count += 1
-            yield _runs(scope, out, batch.schema.field(0).type)
-        if count:
-            yield _runs(scope, [(own, due, count)], None)
-
-    dealt = requests.select(scope, F.col(at).cast("long").alias(at)).repartition(scope).sortWithinPartitions(scope, at)
-    return dealt.mapInArrow(run, f"{scope} {kind}, run_at long, requests long")
-
-
-def _runs(name: str, rows: list[tuple], kind: pa.DataType | None) -> pa.RecordBatch:
-    scope, due, count = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(scope, kind), pa.array(due, pa.int64()), pa.array(count, pa.int64())], names=[name, "run_at", "requests"])

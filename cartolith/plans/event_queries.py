@@ -53,18 +53,6 @@ def duplicate_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.suppress_repeats(rows, ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "event_type")
 
 
-@query("""
-    WITH e AS (SELECT *, list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS five,
-        list(CASE WHEN event_type = 'click' THEN props END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS asked FROM events),
-    p AS (SELECT *, coalesce(list_position(list_reverse(five), 'view'), 0) AS since FROM e)
-    SELECT event_id, event_type FROM p WHERE NOT CASE event_type WHEN 'view' THEN since > 0 AND NOT coalesce(list_has_any(list_reverse(five)[1:since - 1], ['purchase', 'signup']), false)
-        WHEN 'click' THEN coalesce(list_contains(asked, props), false) ELSE false END""")
-def thinking_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Views stand for thinking, purchases and sign-ups for ends, clicks for permissions."""
-    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "props")
-    return op.suppress_thinking(rows, ["user_id"], ["ts", "event_id"], "event_type", "props", "view", ["purchase", "signup"], "click").select("event_id", "event_type")
-
-
 @query("""
     SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, min(epoch_us(ts)) AS first_at, max(epoch_us(ts)) AS last_at, count(*) FILTER (event_type IN ('purchase', 'signup')) AS tests,
         coalesce(count(*) FILTER (event_type = 'purchase') / nullif(count(*) FILTER (event_type IN ('purchase', 'signup')), 0), 0.0) AS success_rate FROM events GROUP BY 1""")

@@ -11,7 +11,6 @@ from cartolith.functions.hashing import fnv1a_32
 from cartolith.operators import alignment, clones, contracts, other_calls, resolution
 from cartolith.sources import files, other_code, python_code, transcripts
 
-from .event_queries import COLLAPSE_SQL, changes
 from .registry import query, table
 
 #: Small programs that parse the same everywhere.
@@ -182,25 +181,3 @@ def alignment_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = clones.tokens(table(spark, sf_dir, "documents"), "text", "doc_id")
     regions = clones.islands(clones.pairs(clones.text_windows(table(spark, sf_dir, "documents"), "text", "doc_id")), least=clones.MIN_TOKENS)
     return alignment.extend(regions, tokens)
-
-
-@query(COLLAPSE_SQL)
-def stream_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change stream run to its end in one micro-batch; equals change_collapse."""
-    import uuid
-
-    from cartolith.streaming import changes as stream
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or ("file:///tmp/checkpoints" if spark.sparkContext.master.startswith("local") else None)
-    if base is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    where = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(_folder(sf_dir, "events"))
-    q = stream.collapsed(changes(source), lambda batch, n: batch.write.mode("overwrite").parquet(f"{where}/out/{n}"), f"{where}/checkpoint", available_now=True)
-    q.awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").parquet(f"{where}/out")
-
-
-def _folder(sf_dir: str, name: str) -> str:
-    """A path that a file stream reads: a table may be one file or a folder of them."""
-    return f"{sf_dir}/{name}.parquet*"

@@ -211,12 +211,6 @@ def changed_files_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(newest, "l_orderkey", "left_semi").select("l_partkey").distinct()
 
 
-@query()
-def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of a job that events of a user ask for, an hour apart at least."""
-    return review.coalesced(table(spark, sf_dir, "events").select("user_id", micros().alias("us")), "user_id", "us", 3_600_000_000)
-
-
 @query("""
     SELECT doc_id, media_type, CASE WHEN n_chars > 524288 THEN 'too_large' WHEN media_type = 'image/png' THEN 'binary' ELSE 'ok' END AS preview
     FROM (SELECT doc_id, n_chars, CASE doc_id % 5 WHEN 0 THEN 'application/toml' WHEN 1 THEN 'text/x-python' WHEN 2 THEN 'image/png' WHEN 3 THEN 'application/json' ELSE 'text/plain' END AS media_type FROM documents)""")

@@ -42,8 +42,8 @@ FAMILIES = (
 )
 #: Lines of nothing but these characters are noise.
 NOISE = r"^[\s\-=_*─│╭╮╰╯┌┐└┘├┤┬┴┼═║░▒▓█•·…⠀-⣿✻✽✶✢✳]*$"
-#: Phases that events begin.
-PHASES = {"agent_planning": "planning", "agent_decision": "deciding", "command_start": "executing", "file_read": "reading", "file_write": "writing", "test_start": "testing", "error": "debugging"}
+#: Phases that events begin.
+PHASES = {"agent_thinking": "thinking", "agent_planning": "planning", "agent_decision": "deciding", "command_start": "executing", "test_start": "testing", "build_start": "building", "install_start": "installing"}
 
 
 def classify(line: Column) -> Column:

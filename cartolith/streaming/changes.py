@@ -1,18 +1,17 @@
-"""Streams of file changes and sessions: collapsing per micro-batch, keyed state, incremental index maintenance.
+"""Streams of file changes: collapsing per micro-batch, handlers of batches, windowed counts.
 
-Sinks go through foreachBatch, and keyed state is a versioned table, so each micro-batch's effect is idempotent by its
-number and survives lost executors.
+Sinks go through foreachBatch, and a batch's effect is idempotent by its number. Keyed state is in `state`, the index that
+follows a change stream in `index`, the source of changes in `cartolith.sources.folder`.
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.operators import events, search
+from cartolith.operators import events
 
 INTERVAL = "250 milliseconds"
 
@@ -48,112 +47,6 @@ def fan_out(handlers: list[Callable[[DataFrame, int], None]]) -> Callable[[DataF
     return run
 
 
-def content_step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Changes of content in a batch (seq, path, event_type, digest, lines), and the state (path, digest, lines) after it.
-
-    Per path: created, modified with line deltas, and deleted; repeats of one content give nothing.
-    """
-    rows = batch.select("seq", "path", *(F.when(F.col("event_type") != "deleted", F.col(c)).alias(c) for c in ("digest", "lines")))
-    rows = rows.unionByName(state.select(F.lit(-1).alias("seq"), "path", "digest", "lines"))
-    w = Window.partitionBy("path").orderBy("seq")
-    seen = rows.withColumns({"before": F.lag("digest").over(w), "old": F.coalesce(F.lag("lines").over(w), F.lit(0)), "new": F.coalesce("lines", F.lit(0))}).filter("seq >= 0")
-    kind = F.when(F.col("digest").isNull() & F.col("before").isNotNull(), "deleted").when(F.col("before").isNull() & F.col("digest").isNotNull(), "created").when(F.col("digest") != F.col("before"), "modified")
-    out = seen.withColumn("event_type", kind).filter("event_type is not null")
-    out = out.select("path", "event_type", F.greatest(F.lit(0), F.col("new") - F.col("old")).alias("added"), F.greatest(F.lit(0), F.col("old") - F.col("new")).alias("removed"))
-    last = rows.groupBy("path").agg(F.max_by(F.struct("digest", "lines"), "seq").alias("s")).select("path", "s.*").filter("digest is not null")
-    return out, last
-
-
-def session_step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sessions that a batch (seq, session, event_type, phase) touched, and all sessions' state after it.
-
-    State: events, errors and commands so far, the last phase, and whether a command is open.
-    """
-    is_command = F.col("event_type").isin("command_start", "command_end")
-    new = batch.groupBy("session").agg(
-        F.count("*").cast("int").alias("events"), F.count_if(F.col("event_type") == "error").cast("int").alias("errors"), F.count_if(F.col("event_type") == "command_start").cast("int").alias("commands"),
-        F.max_by("phase", F.when(F.col("phase").isNotNull(), F.col("seq"))).alias("phase"), F.max_by(F.col("event_type") == "command_start", F.when(is_command, F.col("seq"))).alias("open"),
-    )
-    order = ["session", "events", "errors", "commands", "phase", "open"]
-    both = new.select(*order, F.lit(1).alias("at")).unionByName(state.select(*order, F.lit(0).alias("at")))
-    total = both.groupBy("session").agg(
-        *(F.sum(c).cast("int").alias(c) for c in order[1:4]), F.max_by("phase", F.when(F.col("phase").isNotNull(), F.col("at"))).alias("phase"),
-        F.coalesce(F.max_by("open", F.when(F.col("open").isNotNull(), F.col("at"))), F.lit(False)).alias("open"), F.max("at").alias("at"),
-    )
-    return total.filter("at = 1").select(*order), total.select(*order)
-
-
-#: Versions of a state that stay: the one in use and those that a batch that runs again may read.
-KEPT = 3
-
-
-def _prune(spark, path: str, number: int) -> None:
-    """Deletes the version that fell out of the last KEPT."""
-    if number >= KEPT:
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={number - KEPT}")
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
-
-
-CONTENT_STATE = "path string, digest string, lines int"
-SESSION_STATE = "session string, events int, errors int, commands int, phase string, open boolean"
-
-
-def keyed_sink(path: str, schema: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink with keyed state in versioned tables of the shared folder.
-
-    Version n holds the state after batch n, so a batch that runs again after a failure reads the state before it and
-    writes the same version again; nothing lives in an executor.
-    """
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state = spark.read.schema(schema).parquet(f"{path}/v={number - 1}") if number else spark.createDataFrame([], schema)
-        out, after = step(batch, state)
-        after.write.mode("overwrite").parquet(f"{path}/v={number}")
-        sink(out, number)
-        _prune(spark, path, number)
-
-    return run
-
-
 def windowed_counts(stream: DataFrame, at: str, width: str = "6 hours", late: str = "1 hour") -> DataFrame:
     """Event-time counts by type in tumbling windows, late rows accepted until the watermark."""
     return stream.withWatermark(at, late).groupBy(F.window(at, width), "event_type").agg(F.count("*").alias("n"))
-
-
-def index_sink(path: str, key: str, rows_of: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps a Parquet index up to date: versions are directories, the newest holds the index.
-
-    A batch that runs again after a failure writes the same version again. Only the first batch starts from nothing: a
-    version that is missing or can't be read stops the stream, and versions older than the last KEPT are deleted.
-    """
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        parts = by_type(batch)
-        changed = rows_of(parts["created"].unionByName(parts["modified"]))
-        deleted = parts["deleted"].select(F.col("path").alias(key))
-        old = spark.read.schema(changed.schema).parquet(f"{path}/v={number - 1}") if number else spark.createDataFrame([], changed.schema)
-        events.upsert(old, changed, deleted, key).write.mode("overwrite").parquet(f"{path}/v={number}")
-        _prune(spark, path, number)
-
-    return run
-
-
-def polled(read: Callable[[int], DataFrame], key: str, after: int = -1, limit: int = 100, heartbeat: int = 10, polls: int | None = None, wait: float = 1.0) -> Iterator[tuple[str, list]]:
-    """Rows above the last key seen, a page of at most `limit` a poll: ("rows", page), and ("heartbeat", []) after so many empty polls.
-
-    `read` gives the table at a poll; a poll reads only keys above the last one, and only a page reaches the driver.
-    """
-    last, quiet, number = after, 0, 0
-    while polls is None or number < polls:
-        page = search.after(read(number), key, last, limit, [key]).collect()
-        if page:
-            last, quiet = page[-1][key], 0
-            yield "rows", page
-        else:
-            quiet += 1
-            if quiet % heartbeat == 0:
-                yield "heartbeat", []
-        number += 1
-        time.sleep(wait)

@@ -325,14 +325,6 @@ def test_review_functions(spark):
     assert [told("M", "M"), told(" ", "D"), told("R", " ", "old.py"), told("?", "?"), told("U", "U")] == ["Modified (staged + working tree changes)", "Deleted working tree changes", "Renamed from old.py", "New file (not committed yet)", "Merge conflict in progress"]
 
 
-def test_jobs_are_coalesced(spark):
-    from cartolith.operators import review
-
-    asked = [("a", t) for t in (0, 3, 9, 10, 25, 60, 61)] + [("b", 5)]
-    got = rows(review.coalesced(spark.createDataFrame(asked, "s string, t long"), "s", "t", 10), "s", "run_at", "requests")
-    assert got == [("a", 0, 1), ("a", 10, 3), ("a", 25, 1), ("a", 60, 1), ("a", 70, 1), ("b", 5, 1)]
-
-
 def test_entry_points_count_calls(spark):
     from cartolith.operators import review
     from cartolith.plans.parser_queries import programs
