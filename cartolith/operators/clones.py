@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from cartolith.functions.hashing import FNV_MASK, FNV_OFFSET, FNV_PRIME, WINDOW, WINDOW_BASE, WINDOW_MODULUS, fnv1a_32, window_hashes
 
+from .graph import cut_lineage
+
 MOST_LOCATIONS, MIN_TOKENS, GAP = 500, 30, 5
 
 
@@ -165,3 +167,55 @@ def multiset_jaccard(a: DataFrame, b: DataFrame, key_a: str, key_b: str, word: s
     ta, tb = a.groupBy(key_a).agg(F.count("*").alias("ta")), b.groupBy(key_b).agg(F.count("*").alias("tb"))
     shared = ca.join(cb, word).groupBy(key_a, key_b).agg(F.sum(F.least("na", "nb")).alias("shared"))
     return shared.join(ta, key_a).join(tb, key_b).select(key_a, key_b, "shared", (F.col("shared") / (F.col("ta") + F.col("tb") - F.col("shared"))).alias("jaccard"))
+
+
+def _prefixes(counts: DataFrame, key: str, word: str, seldom: DataFrame, least: float) -> DataFrame:
+    """(key, word, before, total) of the words of each prefix: the rarest words, as many tokens as a similar multiset can't all lack."""
+    w = Window.partitionBy(key).orderBy("seldom", word)
+    upto = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = counts.join(seldom, word).withColumns({"before": upto - F.col("n"), "total": F.sum("n").over(Window.partitionBy(key))})
+    return rows.filter(F.col("before") < F.col("total") - F.ceil(F.col("total") * least - 1e-9) + 1).select(key, word, "before", "total")
+
+
+def similar(a: DataFrame, b: DataFrame, key_a: str, key_b: str, word: str, least: float) -> DataFrame:
+    """All pairs of multisets (key, word: a row a token) whose Jaccard similarity is `least` or more: shared, jaccard.
+
+    Words are ordered by how many multisets have them, rarest first. Similar multisets share a word among the first
+    size - ceil(least * size) + 1 tokens of each, so only these prefixes are joined, where frequent words seldom are. Sizes
+    and the tokens left after a shared word bound the similarity and drop most candidates; the rest are counted in full.
+    """
+    ca, cb = a.groupBy(key_a, word).agg(F.count("*").alias("n")), b.groupBy(key_b, word).agg(F.count("*").alias("n"))
+    seldom = ca.select(word).unionByName(cb.select(word)).groupBy(word).agg(F.count("*").alias("seldom"))
+    pa, pb = _prefixes(ca, key_a, word, seldom, least), _prefixes(cb, key_b, word, seldom, least)
+    pairs = pa.withColumnsRenamed({"before": "before_a", "total": "total_a"}).join(pb.withColumnsRenamed({"before": "before_b", "total": "total_b"}), word)
+    if key_a == key_b:
+        raise ValueError("the keys of both sides need different names")
+    low = least - 1e-9
+    sized = (F.col("total_b") >= F.col("total_a") * low) & (F.col("total_a") >= F.col("total_b") * low)
+    enough = F.least(F.col("total_a") - F.col("before_a"), F.col("total_b") - F.col("before_b")) >= (F.col("total_a") + F.col("total_b")) * (low / (1 + low))
+    pairs = pairs.filter(sized & enough).select(key_a, key_b, "total_a", "total_b").distinct()
+    shared = pairs.join(ca.withColumnRenamed("n", "na"), key_a).join(cb.withColumnRenamed("n", "nb"), [key_b, word])
+    shared = shared.groupBy(key_a, key_b, "total_a", "total_b").agg(F.sum(F.least("na", "nb")).alias("shared"))
+    jaccard = F.col("shared") / (F.col("total_a") + F.col("total_b") - F.col("shared"))
+    return shared.select(key_a, key_b, "shared", jaccard.alias("jaccard")).filter(F.col("jaccard") >= least)
+
+
+def multiset_classes(tokens: DataFrame, key: str, word: str) -> DataFrame:
+    """(key, class_id): the least key with the same multiset of words, told apart by four sums of hashes of (word, count)."""
+    counts = tokens.groupBy(key, word).agg(F.count("*").alias("n"))
+    hashes = [F.sum(part(F.xxhash64(word, "n", F.lit(seed)))).alias(f"h{k}") for k, (seed, part) in enumerate((s, p) for s in (1, 2) for p in (lambda h: F.shiftrightunsigned(h, 32), lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))))]
+    names = [f"h{k}" for k in range(4)]
+    sums = counts.groupBy(key).agg(*hashes)
+    classes = sums.groupBy(*names).agg(F.min(key).alias("class_id"))
+    return sums.join(classes.hint("shuffle_hash"), names).select(key, "class_id")
+
+
+def similar_classes(tokens: DataFrame, key: str, word: str, least: float) -> DataFrame:
+    """(key, class_id, n_links, best_id, jaccard): for every multiset its class of equal ones, how many other classes are
+    similar to it, and the most similar of them, the least id among equals. Copies are never paired with each other."""
+    classes = cut_lineage(multiset_classes(tokens, key, word))
+    one = cut_lineage(tokens.join(classes.filter(F.col(key) == F.col("class_id")).select(key), key, "left_semi"))
+    pairs = similar(one.withColumnRenamed(key, "a"), one.withColumnRenamed(key, "b"), "a", "b", word, least).filter("a <> b")
+    best = pairs.groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("n_links"), F.min(F.struct((-F.col("jaccard")).alias("less"), "b")).alias("m"))
+    out = classes.join(best.hint("shuffle_hash"), "class_id", "left")
+    return out.select(key, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("m.b").alias("best_id"), (-F.col("m.less")).alias("jaccard"))

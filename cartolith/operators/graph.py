@@ -51,6 +51,60 @@ def paths(spark, edges: DataFrame, start: DataFrame, max_depth: int) -> DataFram
     return walked
 
 
+def _spread(edges: DataFrame, colour: DataFrame) -> DataFrame:
+    """The greatest colour that reaches each node: (node, colour), a step a round over the nodes that changed."""
+    moved = colour
+    while True:
+        offered = edges.join(moved.select(F.col("node").alias("source"), "colour"), "source").groupBy(F.col("target").alias("node")).agg(F.max("colour").alias("offer"))
+        following = cut_lineage(colour.join(offered, "node", "left").select("node", F.greatest("colour", F.coalesce("offer", "colour")).alias("colour"), (F.col("offer") > F.col("colour")).alias("moved")))
+        moved, colour = following.filter("moved").select("node", "colour"), following.select("node", "colour")
+        if moved.isEmpty():
+            return colour
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node, the component named by its least node: nodes that reach each other.
+
+    Nodes without an edge in or out are components of their own and go first, again and again. Of what is left, the
+    greatest node that reaches a node colours it; walking back from each colour's own node within its colour gives that
+    node's component, whole. These go, and the rest is coloured anew. Rounds are as many as the paths are long.
+    """
+    left = cut_lineage(edges.select("source", "target").filter("source <> target").distinct())
+    nodes = cut_lineage(edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct())
+    done = None
+    while not left.isEmpty():
+        inner = left.select(F.col("source").alias("node")).intersect(left.select(F.col("target").alias("node")))
+        inner = cut_lineage(inner)
+        within = lambda e: e.join(inner.select(F.col("node").alias("source")), "source", "left_semi").join(inner.select(F.col("node").alias("target")), "target", "left_semi")  # noqa: B023, E731
+        trimmed = cut_lineage(within(left).select("source", "target"))
+        if trimmed.count() < left.count():
+            left = trimmed
+            continue
+        colour = cut_lineage(_spread(left, inner.select("node", F.col("node").alias("colour"))))
+        ends = left.join(colour.select(F.col("node").alias("source"), F.col("colour").alias("c1")), "source").join(colour.select(F.col("node").alias("target"), F.col("colour").alias("c2")), "target")
+        back = cut_lineage(ends.filter("c1 = c2").select(F.col("target").alias("source"), F.col("source").alias("target")))
+        found = frontier = cut_lineage(colour.filter("node = colour").select("node", "colour"))
+        while not frontier.isEmpty():
+            step = frontier.select(F.col("node").alias("source"), "colour").join(back, "source").select(F.col("target").alias("node"), "colour").distinct()
+            frontier = cut_lineage(step.join(found, "node", "left_anti"))
+            found = found.unionByName(frontier)
+        found = cut_lineage(found)
+        done = found if done is None else done.unionByName(found)
+        gone = found.select("node")
+        left = cut_lineage(left.join(gone.select(F.col("node").alias("source")), "source", "left_anti").join(gone.select(F.col("node").alias("target")), "target", "left_anti"))
+    if done is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    least = done.groupBy("colour").agg(F.min("node").alias("component"))
+    named = done.join(least, "colour").select("node", "component")
+    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def cyclic_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """Edges that lie on a cycle: those within a component, and those from a node to itself."""
+    c = components.select(F.col("node").alias("source"), F.col("component").alias("c1")), components.select(F.col("node").alias("target"), F.col("component").alias("c2"))
+    return edges.select("source", "target").distinct().join(c[0], "source").join(c[1], "target").filter("c1 = c2").select("source", "target", F.col("c1").alias("component"))
+
+
 def type_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.countDistinct("target").alias("targets"))
 

@@ -103,9 +103,8 @@ def clone_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.classify(region_table(spark, sf_dir), words)
 
 
-def _benchmark_jaccard(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
-    words = lambda df, key: df.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    return op.multiset_jaccard(words(documents, "doc_id"), words(table(spark, sf_dir, "benchmark"), "item_id"), "doc_id", "item_id", "w")
+def _words(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
 
 
 @query("""
@@ -113,9 +112,23 @@ def _benchmark_jaccard(spark: SparkSession, sf_dir: str, documents: DataFrame) -
     b AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) GROUP BY 1, 2),
     ta AS (SELECT doc_id, sum(n) AS n FROM a GROUP BY 1), tb AS (SELECT item_id, sum(n) AS n FROM b GROUP BY 1),
     s AS (SELECT doc_id, item_id, sum(least(a.n, b.n)) AS shared FROM a JOIN b USING (w) GROUP BY 1, 2)
-    SELECT doc_id, item_id, shared::BIGINT AS shared, shared / (ta.n + tb.n - shared) AS jaccard FROM s JOIN ta USING (doc_id) JOIN tb USING (item_id)""")
+    SELECT doc_id, item_id, shared::BIGINT AS shared, shared / (ta.n + tb.n - shared) AS jaccard FROM s JOIN ta USING (doc_id) JOIN tb USING (item_id) WHERE shared / (ta.n + tb.n - shared) >= 0.2""")
 def multiset_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _benchmark_jaccard(spark, sf_dir, table(spark, sf_dir, "documents"))
+    """Documents and benchmark texts whose multisets of words are similar to a fifth or more."""
+    return op.similar(_words(table(spark, sf_dir, "documents"), "doc_id"), _words(table(spark, sf_dir, "benchmark"), "item_id"), "doc_id", "item_id", "w", 0.2)
+
+
+@query("""
+    WITH a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY 1, 2),
+    t AS (SELECT doc_id, sum(n) AS n, list_sort(list(w || ' ' || n)) AS bag FROM a GROUP BY 1), c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY bag) AS class_id FROM t),
+    r AS (SELECT a.* FROM a JOIN c USING (doc_id) WHERE doc_id = class_id),
+    s AS (SELECT x.doc_id AS p, y.doc_id AS q, sum(least(x.n, y.n)) AS shared FROM r x JOIN r y ON x.w = y.w AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+    j AS (SELECT p, q, shared / (u.n + v.n - shared) AS jaccard FROM s JOIN t u ON u.doc_id = p JOIN t v ON v.doc_id = q WHERE shared / (u.n + v.n - shared) >= 0.7),
+    m AS (SELECT p, count(*) AS n_links, arg_min(q, (-jaccard, q)) AS best_id, max(jaccard) AS jaccard FROM j GROUP BY 1)
+    SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, best_id, jaccard FROM c LEFT JOIN m ON p = class_id""")
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by class of equal multisets of words, with how many classes are similar to 0.7 or more and the nearest."""
+    return op.similar_classes(_words(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "w", 0.7)
 
 
 @query("""

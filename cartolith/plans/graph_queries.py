@@ -84,3 +84,24 @@ def external_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(inside, "l_suppkey", "left_semi")
     return rows.groupBy(F.col("l_partkey").alias("target")).agg(F.min("l_suppkey").alias("caller"), F.count("*").alias("calls"), (F.min("l_linenumber") + 1).alias("depth"))
 
+
+
+_SPARSE = f"{_CALLS}, e AS (SELECT source, target FROM calls WHERE (source * 31 + target * 17) % 11 < 2), v AS (SELECT source AS node FROM e UNION SELECT target FROM e), reach AS (SELECT node AS a, node AS b FROM v UNION SELECT r.a, e.target FROM reach r JOIN e ON e.source = r.b), comp AS (SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY 1)"
+
+
+def sparse_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About a fifth of the edges of `calls`, so that components of many sizes are left."""
+    return calls(spark, sf_dir).filter((F.col("source") * 31 + F.col("target") * 17) % 11 < 2)
+
+
+@query(f"WITH RECURSIVE {_SPARSE} SELECT node, component FROM comp")
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that reach each other."""
+    return op.strong_components(sparse_calls(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_SPARSE} SELECT source, target, a.component FROM e JOIN comp a ON a.node = source JOIN comp b ON b.node = target WHERE a.component = b.component")
+def cyclic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that lie on a cycle, by components and without walking any path twice."""
+    edges = sparse_calls(spark, sf_dir)
+    return op.cyclic_edges(edges, op.strong_components(edges))
