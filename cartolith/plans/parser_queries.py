@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.functions.hashing import fnv1a_32
-from cartolith.operators import alignment, clones, contracts, other_calls, resolution
+from cartolith.operators import alignment, clones, contract_blocks, contracts, other_calls, resolution
 from cartolith.sources import files, other_code, python_code, transcripts
 
 from .registry import query, table
@@ -124,6 +124,65 @@ def program_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.discover(projects(spark, sf_dir), "path", "text")
 
 
+_BLOCK_CASES = """d AS (SELECT doc_id, coalesce(lang, 'x') AS lang, doc_id % 5 AS r FROM documents)"""
+
+
+def contract_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, path, text, line) of a function a document, in Python or C++: a fifth each with a whole block, one that
+    is not closed, documentation only, nothing, and a block of few keys."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("x")).alias("lang"), (F.col("doc_id") % 5).alias("r"), (F.col("doc_id") % 2 == 0).alias("python"))
+    ident = F.col("doc_id").cast("string")
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    whole = said("thread_safety: immutable\nlifecycle: '", F.col("lang"), ": first'\npreconditions:\n  - n < ", ident, "\n  - [1, ", F.col("lang"), "]\nerrors: [E", ident, ', "F, G"]\nevidence:\n  - test: t.py::t', ident, "\n    policy: required\n  - other: x\n  - lint: ruff")
+    block = F.when(F.col("r") == 0, whole).when(F.col("r") == 1, said("errors: [open, ", ident)).when(F.col("r") == 4, said("thread_safety: ", F.col("lang"), "\ninvariants: ~\ndependencies:\n- ", ident))
+    marked = said(f"{contract_blocks.BEGIN}\n", block, f"\n{contract_blocks.END}")
+    sections, tags = said("Head.\n\nArgs:\n  n: must be ", F.col("lang"), ". More.\nRaises:\n  E: ", ident), said("@pre n is ", F.col("lang"), "\n@throws E ", ident, "\nThis is not thread-safe.")
+    documented = F.when(F.col("r") == 2, F.when(F.col("python"), sections).otherwise(tags))
+    inner = F.coalesce(marked, documented)
+    docstring = F.when(inner.isNull(), "").otherwise(said('    """\n', F.regexp_replace(inner, "(?m)^", "    "), '\n    """\n'))
+    python = said("import x\n\ndef f", ident, "(n):\n", docstring, "    return n\n")
+    comment = F.coalesce(F.regexp_replace(marked, "(?m)^", "// "), said("/**\n", F.regexp_replace(documented, "(?m)^", " * "), "\n */"), F.lit(""))
+    native = said("#include <x>\n", comment, "\nint f", ident, "(int n) { return n; }\n")
+    line = F.when(F.col("python"), 3).otherwise(F.regexp_count(native, F.lit("\n")))
+    path = said("f", ident, F.when(F.col("python"), ".py").otherwise(".cpp"))
+    return d.select("doc_id", "lang", path.alias("path"), F.when(F.col("python"), python).otherwise(native).alias("text"), line.cast("int").alias("line"))
+
+
+@query(f"""
+    WITH {_BLOCK_CASES}
+    SELECT doc_id, CASE r WHEN 2 THEN 2 WHEN 3 THEN 5 ELSE 1 END AS level, CASE r WHEN 0 THEN 1.0 WHEN 2 THEN 0.8 WHEN 4 THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence, r = 1 AS invalid,
+        CASE WHEN r = 0 THEN 'immutable' WHEN r = 2 AND doc_id % 2 = 1 THEN 'not_safe' ELSE 'unknown' END AS thread_safety, CASE r WHEN 0 THEN lang || ': first' END AS lifecycle,
+        CASE WHEN r = 0 THEN 'n < ' || doc_id || '|[1, ' || chr(39) || lang || chr(39) || ']' WHEN r = 2 AND doc_id % 2 = 0 THEN 'input must be ' || lang WHEN r = 2 THEN 'n is ' || lang ELSE '' END AS preconditions,
+        CASE r WHEN 0 THEN 'E' || doc_id || '|F, G' WHEN 2 THEN CASE WHEN doc_id % 2 = 0 THEN 'E: ' || doc_id ELSE 'E: ' || doc_id || ' This is not thread-safe.' END ELSE '' END AS errors, CASE r WHEN 4 THEN doc_id::VARCHAR ELSE '' END AS dependencies,
+        CASE r WHEN 0 THEN 'test t.py::t' || doc_id || ' required|lint ruff optional' ELSE '' END AS evidence FROM d""")
+def contract_block_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts of functions by the strategy of their language: nested blocks, blocks that are not closed, documentation."""
+    c = contract_blocks.read(contract_sources(spark, sf_dir))
+    told = F.transform("evidence", lambda e: F.concat_ws(" ", e["type"], e["reference"], e["policy"]))
+    lists = [F.array_join(x, "|").alias(x) for x in ("preconditions", "errors", "dependencies")]
+    return c.select("doc_id", "level", "confidence", F.coalesce(F.col("note").startswith("invalid"), F.lit(False)).alias("invalid"), "thread_safety", "lifecycle", *lists, F.array_join(told, "|").alias("evidence"))
+
+
+@query(f"""
+    WITH {_BLOCK_CASES}
+    SELECT doc_id, CASE WHEN r IN (0, 1, 4) THEN 'replaced' ELSE 'added' END AS how, true AS reads_back, true AS taken_out FROM d""")
+def contract_block_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contract written into each function: it reads back as it was, and taking it out leaves all other lines as they were."""
+    rows = contract_sources(spark, sf_dir)
+    struct = F.struct(F.lit("safe").alias("thread_safety"), F.concat("lang", F.lit(": x")).alias("lifecycle"), F.array(F.concat(F.lit("n > "), "doc_id"), F.lit("- a: 'b'")).alias("preconditions"))
+    written = contract_blocks.rewrite(rows.withColumn("contract", struct), "contract").withColumnsRenamed({"rewritten": "after", "text": "before"})
+    # In native sources the block stands above the symbol, which moves down by the block's lines.
+    grown = F.regexp_count("after", F.lit("\n")) - F.regexp_count("before", F.lit("\n"))
+    placed = written.withColumns({"text": F.col("after"), "line": F.when(F.col("path").endswith(".py"), F.col("line")).otherwise(F.col("line") + grown)})
+    back = contract_blocks.read(placed)
+    same = (F.col("thread_safety") == "safe") & (F.col("lifecycle") == F.concat("lang", F.lit(": x"))) & (F.col("preconditions") == F.col("contract.preconditions")) & (F.col("confidence") == 1.0)
+    bare = contract_blocks.rewrite(back.select("doc_id", "path", "text", "line", "before", "after", same.alias("reads_back")), None)
+    begun = F.contains("before", F.lit(contract_blocks.BEGIN))
+    own = F.regexp_replace("before", f"(?s)[^\n]*{contract_blocks.BEGIN}.*{contract_blocks.END}[^\n]*", "")
+    lines = lambda c: F.filter(F.split(c, "\n"), lambda x: ~F.trim(x).isin("", '"""'))
+    return bare.select("doc_id", F.when(begun, "replaced").otherwise("added").alias("how"), "reads_back", (lines(F.col("rewritten")) == lines(own)).alias("taken_out"))
+
+
 _PAGES = """SELECT page_id, '<section id="page-' || page_id || '">' || chr(10) || html || '</section>' AS html FROM pages"""
 
 
