@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut_lineage
+
 GAP, LOOKAHEAD, THRESHOLD = 5, 10, 0.7
+#: Tokens of a block of a file, and of a slice that a walk sees at once.
+BLOCK, SLICE = 256, 256
 
 
 def similarity(a: Sequence[int], b: Sequence[int], gap: int = GAP) -> float:
@@ -31,44 +35,112 @@ def similarity(a: Sequence[int], b: Sequence[int], gap: int = GAP) -> float:
 
 def reach(a: Sequence[int], i: int, b: Sequence[int], j: int, step: int) -> tuple[int, int]:
     """How far both sequences go on together from (i, j) in steps of 1 or -1, small gaps bridged; tokens gained on each side."""
-    start_i, start_j, last = i, j, (i, j)
-    inside = lambda x, s: 0 <= x < len(s)
-    while inside(i, a) and inside(j, b):
+    x, y = (a[i:], b[j:]) if step == 1 else (a[i::-1] if i >= 0 else [], b[j::-1] if j >= 0 else [])
+    return walked(x, y, True, True)[:2]
+
+
+def walked(a: Sequence[int], b: Sequence[int], a_ends: bool, b_ends: bool) -> tuple[int, int, int, int, bool]:
+    """(tokens gained of a and b, place in a and b, whether more is needed) of a walk from the beginning of two slices.
+
+    A slice that does not end with its file stops the walk where the next step could depend on what comes after it.
+    """
+    i = j = 0
+    last = (0, 0)
+    while True:
+        if (i + GAP >= len(a) and not a_ends) or (j + GAP >= len(b) and not b_ends):
+            return *last, i, j, True
+        if i >= len(a) or j >= len(b):
+            return *last, i, j, False
         if a[i] == b[j]:
-            i, j = i + step, j + step
+            i, j = i + 1, j + 1
             last = (i, j)
             continue
-        best = None
-        for total in range(1, LOOKAHEAD + 1):
-            for da in range(max(0, total - GAP), min(GAP, total) + 1):
-                x, y = i + da * step, j + (total - da) * step
-                if inside(x, a) and inside(y, b) and a[x] == b[y]:
-                    best = (x, y)
-                    break
-            if best:
-                break
+        steps = ((i + da, j + total - da) for total in range(1, LOOKAHEAD + 1) for da in range(max(0, total - GAP), min(GAP, total) + 1))
+        best = next(((x, y) for x, y in steps if x < len(a) and y < len(b) and a[x] == b[y]), None)
         if best is None:
-            break
+            return *last, i, j, False
         i, j = best
-    return abs(last[0] - start_i), abs(last[1] - start_j)
+
+
+_KEY = ["file_a", "file_b", "start_a", "start_b", "token_count"]
+
+
+def _blocks(tokens: DataFrame) -> DataFrame:
+    """(file, k, part): tokens in blocks of BLOCK."""
+    last = F.floor((F.size("tokens") - 1) / BLOCK).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("k"), F.slice("tokens", k * BLOCK + 1, F.lit(BLOCK)).alias("part")))
+    return tokens.filter(F.size("tokens") > 0).select("file", F.explode(parts).alias("p")).select("file", "p.*")
+
+
+def _sliced(rows: DataFrame, key: list[str], blocks: DataFrame, file: str, low: Column, high: Column, name: str) -> DataFrame:
+    """rows with the tokens of a file from `low` up to `high`, as far as the file goes; only the blocks needed travel."""
+    bounds = rows.select(*key, F.greatest(F.lit(0), low).alias("__low"), F.greatest(F.lit(0), high).alias("__high"))
+    wanted = bounds.filter("__high > __low").withColumn("k", F.explode(F.sequence(F.floor(F.col("__low") / BLOCK).cast("int"), F.floor((F.col("__high") - 1) / BLOCK).cast("int"))))
+    parts = wanted.join(blocks, [file, "k"])
+    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"]))
+    got = parts.groupBy(*key, "__low", "__high").agg(flat.alias("flat"), F.min("k").alias("k0"))
+    got = got.select(*key, F.slice("flat", (F.col("__low") - F.col("k0") * BLOCK + 1).cast("int"), (F.col("__high") - F.col("__low")).cast("int")).alias(name))
+    return rows.join(got, key, "left")
+
+
+_END = "gain_a int, gain_b int, at_a int, at_b int, open boolean"
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open ends (key, step, offsets, gains, slices) to the same after the walk over their slices."""
+    for batch in batches:
+        out = []
+        for step, ga, gb, oa, ob, a, b in zip(*(batch.column(c).to_pylist() for c in range(5, 12)), strict=True):
+            a, b = a or [], b or []
+            found = walked(a[::step], b[::step], len(a) < SLICE, len(b) < SLICE)
+            more = found[0] or found[1]
+            out.append((oa + found[0] if more else ga, ob + found[1] if more else gb, oa + found[2], ob + found[3], found[4]))
+        columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:6], *columns], names=[*_KEY, "step", "gain_a", "gain_b", "at_a", "at_b", "open"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = [similarity(a or [], b or []) for a, b in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(values, pa.float64())], names=[*_KEY, "alike"])
 
 
 def extend(regions: DataFrame, tokens: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Regions grown on both ends as far as they agree but for gaps, if what comes out is similar enough; else as they were."""
-    a, b = tokens.select(F.col("file").alias("file_a"), F.col("tokens").alias("tokens_a")), tokens.select(F.col("file").alias("file_b"), F.col("tokens").alias("tokens_b"))
-    both = regions.join(a, "file_a").join(b, "file_b").select("file_a", "file_b", "start_a", "start_b", "token_count", "tokens_a", "tokens_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for fa, fb, sa, sb, n, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                back, ahead = reach(ta, sa - 1, tb, sb - 1, -1), reach(ta, sa + n, tb, sb + n, 1)
-                x, y, na, nb = sa - back[0], sb - back[1], n + back[0] + ahead[0], n + back[1] + ahead[1]
-                alike = similarity(ta[x : x + na], tb[y : y + nb])
-                grown = (na > n or nb > n) and alike >= threshold
-                out.append((fa, fb, x, y, na, nb, alike, "gapped") if grown else (fa, fb, sa, sb, n, n, 1.0, "exact"))
-            names = ["file_a", "file_b", "start_a", "start_b", "count_a", "count_b", "similarity", "clone_type"]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
-
-    return both.mapInArrow(run, "file_a long, file_b long, start_a int, start_b int, count_a int, count_b int, similarity double, clone_type string")
+    """Regions grown on both ends as far as they agree but for gaps, if what comes out is similar enough; else as they were.
+
+    Files are cut into blocks of tokens, and a region's end is joined with the blocks that the next SLICE tokens lie in. A
+    walk that comes to the end of its slices goes on in another round; most end in the first. The similarity of what has
+    grown is counted over those stretches alone, so a region moves as many tokens as it compares, however long the files.
+    """
+    blocks = cut_lineage(_blocks(tokens))
+    key, types = [*_KEY, "step"], ", ".join(f"{c} {regions.schema[c].dataType.simpleString()}" for c in _KEY)
+    start = F.when(F.col("step") == 1, F.col("token_count")).otherwise(-1)
+    zero = [F.lit(0).alias(c) for c in ("gain_a", "gain_b", "at_a", "at_b")]
+    active = regions.select(*_KEY, F.explode(F.array(F.lit(1), F.lit(-1))).alias("step")).select(*key, *zero)
+    done = None
+    while True:
+        for side in ("a", "b"):
+            at = F.col(f"start_{side}") + start + F.col("step") * F.col(f"at_{side}")
+            low = F.when(F.col("step") == 1, at).otherwise(at - SLICE + 1)
+            active = _sliced(active, key, blocks.withColumnRenamed("file", f"file_{side}"), f"file_{side}", low, low + SLICE, f"slice_{side}")
+        columns = [*key, "gain_a", "gain_b", "at_a", "at_b", "slice_a", "slice_b"]
+        active = cut_lineage(active.select(*columns).mapInArrow(_ends, f"{types}, step int, {_END}"))
+        ended = active.filter("not open")
+        done = ended if done is None else done.unionByName(ended)
+        active = active.filter("open").drop("open")
+        if active.isEmpty():
+            break
+    gain = lambda side, step: F.max(F.when(F.col("step") == step, F.col(f"gain_{side}")))
+    grown = done.groupBy(*_KEY).agg(gain("a", -1).alias("back_a"), gain("b", -1).alias("back_b"), gain("a", 1).alias("ahead_a"), gain("b", 1).alias("ahead_b"))
+    grown = cut_lineage(grown.select(*_KEY, *((F.col(f"start_{s}") - F.col(f"back_{s}")).alias(f"from_{s}") for s in "ab"), *((F.col("token_count") + F.col(f"back_{s}") + F.col(f"ahead_{s}")).alias(f"count_{s}") for s in "ab")))
+    longer = (F.col("count_a") > F.col("token_count")) | (F.col("count_b") > F.col("token_count"))
+    compared = grown.filter(longer)
+    for side in ("a", "b"):
+        compared = _sliced(compared, _KEY, blocks.withColumnRenamed("file", f"file_{side}"), f"file_{side}", F.col(f"from_{side}"), F.col(f"from_{side}") + F.col(f"count_{side}"), f"part_{side}")
+    alike = compared.select(*_KEY, "part_a", "part_b").mapInArrow(_alike, f"{types}, alike double")
+    out = grown.join(alike, _KEY, "left").withColumn("gapped", F.coalesce(F.col("alike") >= threshold, F.lit(False)))
+    pick = lambda new, old: F.when(F.col("gapped"), F.col(new)).otherwise(F.col(old)).cast("int")
+    return out.select(
+        "file_a", "file_b", pick("from_a", "start_a").alias("start_a"), pick("from_b", "start_b").alias("start_b"), pick("count_a", "token_count").alias("count_a"), pick("count_b", "token_count").alias("count_b"),
+        F.when(F.col("gapped"), F.col("alike")).otherwise(1.0).alias("similarity"), F.when(F.col("gapped"), "gapped").otherwise("exact").alias("clone_type"),
+    )
