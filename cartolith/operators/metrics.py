@@ -61,6 +61,30 @@ def stage_confidence(files: Column, loc: Column, patterns: Column, layers: Colum
     return out
 
 
+#: Markers of architectural folders, in the order they are tried, and limits of hints and warnings.
+ARCHITECTURE_FOLDERS = ("models", "views", "controllers", "services", "repositories", "middleware", "adapters", "interfaces", "handlers", "routers", "api", "core", "domain", "infrastructure", "application", "presentation")
+EARLY_FILES, EARLY_LINES, MIDDLE_FILES, MIDDLE_LINES = 8, 1000, 15, 2000
+FEW_FILES, MANY_LINES, MANY_FILES = 5, 1500, 30
+
+
+def substage(files: Column, loc: Column, stage: Column) -> Column:
+    """early, mid or late within the second stage; null elsewhere."""
+    hint = F.when((files <= EARLY_FILES) & (loc < EARLY_LINES), "early").when((files <= MIDDLE_FILES) & (loc < MIDDLE_LINES), "mid").otherwise("late")
+    return F.when(stage == 2, hint)
+
+
+def warned_confidence(files: Column, loc: Column, patterns: Column, many: int = MANY_FILES) -> Column:
+    """medium if a few files hold many lines, or more than `many` files show no pattern; else high."""
+    return F.when((files <= FEW_FILES) & (loc > MANY_LINES), "medium").when((files > many) & (patterns == 0), "medium").otherwise("high")
+
+
+def architecture_folders(folders: DataFrame, path: str) -> DataFrame:
+    """(marker, folders): for each folder the first marker that its own name contains."""
+    name = F.lower(F.substring_index(path, "/", -1))
+    first = F.coalesce(*(F.when(F.contains(name, F.lit(m)), m) for m in ARCHITECTURE_FOLDERS))
+    return folders.select(first.alias("marker"), path).filter("marker is not null").groupBy("marker").agg(F.countDistinct(path).alias("folders"))
+
+
 def keyword_patterns(paths: DataFrame, path: str, keywords: dict[str, list[str]]) -> DataFrame:
     """Patterns any of whose keywords is in a path segment, with the number of such paths."""
     lowered = F.lower(F.col(path))

@@ -44,16 +44,25 @@ def listing(paths: DataFrame, path: str, suffixes: tuple[str, ...] = ()) -> Data
     return rows.filter(~F.col("name").startswith(".") & (F.col("name") != "") & kept).select("directory", "name", "is_dir").distinct()
 
 
-def drift_text(items: DataFrame, duration_ms: float = 0.0) -> DataFrame:
-    """One row: a report of drift items (type, severity, category, title, file_path, line, suggestion) as text, after its date."""
+#: Blocking items that a drift report shows in full.
+MOST_BLOCKING = 200
+
+
+def drift_text(items: DataFrame, duration_ms: float = 0.0, most: int = MOST_BLOCKING) -> DataFrame:
+    """One row: a report of drift items (type, severity, category, title, file_path, line, suggestion) as text, after its date.
+
+    Of the blocking ones the first `most` in order stand in full, and the rest are counted.
+    """
     by = lambda c, icon: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == c, F.struct("value", "n")))), lambda x: F.concat(icon(x["value"]), x["value"], F.lit(": "), x["n"].cast("string")))
     flat = items.select(F.explode(F.array(F.struct(F.lit("severity").alias("kind"), F.col("severity").alias("value")), F.struct(F.lit("type").alias("kind"), F.col("type").alias("value")))).alias("e"))
     flat = flat.groupBy("e.kind", "e.value").agg(F.count("*").alias("n"))
     icon = lambda v: F.concat(F.lit("  "), F.when(v == "critical", "\U0001f534").when(v == "warning", "\U0001f7e1").when(v == "info", "\U0001f535").otherwise("⚪"), F.lit(" "))
     counted = {"severities": flat.agg(by("severity", icon)).scalar(), "types": flat.agg(by("type", lambda v: F.lit("  - "))).scalar()}
     line = F.concat(F.lit("  ["), "category", F.lit("] "), "title", F.lit("\n    File: "), "file_path", F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("?")), F.coalesce(F.concat(F.lit("\n    Fix: "), "suggestion"), F.lit("")))
-    blocking = F.array_sort(F.collect_list(F.when(F.col("severity") == "critical", line)))
-    total = items.agg(F.count("*").alias("total"), F.countDistinct("file_path").alias("files"), blocking.alias("blocking"))
+    total = items.agg(F.count("*").alias("total"), F.countDistinct("file_path").alias("files"), F.count_if(F.col("severity") == "critical").alias("n_blocking"))
+    shown = items.filter("severity = 'critical'").select(line.alias("line")).orderBy("line").limit(most).agg(F.array_sort(F.collect_list("line")).alias("blocking")).scalar()
+    rest = F.format_string("  ... and %d more", F.col("n_blocking") - most)
+    total = total.withColumn("blocking", F.concat(shown, F.when(F.col("n_blocking") > most, F.array(rest)).otherwise(F.array().cast("array<string>"))))
     section = lambda head, rows: F.when(F.size(rows) > 0, F.concat(F.lit(f"\n{head}\n"), F.array_join(rows, "\n"), F.lit("\n"))).otherwise("")
     both = total.withColumns(counted)
     head = F.format_string(f"Drift Analysis Report\n=====================\nDuration: {duration_ms:.1f}ms\nFiles analyzed: %d\n\nSummary:\n  Total items: %d\n  Blocking: %s\n", "files", "total", F.when(F.size("blocking") > 0, "YES").otherwise("No"))

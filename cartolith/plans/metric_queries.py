@@ -171,3 +171,23 @@ def issue_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def env_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("c_mktsegment") == "FURNITURE", " Yes ").otherwise(F.col("c_mktsegment"))
     return table(spark, sf_dir, "customer").select("c_custkey", tx.parse_flag(raw).alias("flag"), tx.parse_limit(F.floor("c_acctbal").cast("string")).alias("cap"))
+
+
+@query("""
+    WITH m AS (SELECT p_name, p_size % 3 + 1 AS stage, count(*) AS files, sum(p_size)::BIGINT AS loc, count(DISTINCT p_type) FILTER (p_type = 'SMALL') AS patterns FROM part GROUP BY 1, 2)
+    SELECT p_name, stage, CASE WHEN stage = 2 THEN CASE WHEN files <= 8 AND loc < 1000 THEN 'early' WHEN files <= 15 AND loc < 2000 THEN 'mid' ELSE 'late' END END AS hint,
+        CASE WHEN (files <= 5 AND loc > 1500) OR (files > 30 AND patterns = 0) THEN 'medium' ELSE 'high' END AS confidence FROM m""")
+def stage_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where projects stand within the second stage, and how sure that is."""
+    groups = table(spark, sf_dir, "part").withColumn("stage", F.col("p_size") % 3 + 1).groupBy("p_name", "stage")
+    m = groups.agg(F.count("*").alias("files"), F.sum("p_size").alias("loc"), F.countDistinct(F.when(F.col("p_type") == "SMALL", F.col("p_type"))).alias("patterns"))
+    return m.select("p_name", "stage", op.substage(F.col("files"), F.col("loc"), F.col("stage")).alias("hint"), op.warned_confidence(F.col("files"), F.col("loc"), F.col("patterns")).alias("confidence"))
+
+
+@query("""
+    SELECT marker, count(*) AS folders FROM (SELECT CASE s_suppkey % 6 WHEN 0 THEN 'models' WHEN 1 THEN 'api' WHEN 2 THEN 'handlers' WHEN 4 THEN 'api' WHEN 5 THEN 'services' END AS marker FROM supplier) WHERE marker IS NOT NULL GROUP BY 1""")
+def architecture_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Architectural folders: a folder counts for the first marker in its own name, not for those of its parents."""
+    names = F.array(*(F.lit(n) for n in ("UserModels", "core_api", "handlers", "misc", "DomainApi", "domain_services_core")))
+    folder = F.concat(F.lit("views/n"), F.col("s_nationkey"), F.lit("/"), F.element_at(names, (F.col("s_suppkey") % 6 + 1).cast("int")), F.lit("_"), F.col("s_suppkey"))
+    return op.architecture_folders(table(spark, sf_dir, "supplier").select(folder.alias("path")), "path")

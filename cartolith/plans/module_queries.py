@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.operators import modules, other_calls
+from cartolith.operators import modules, other_calls, resolution
 from cartolith.operators.graph import cut_lineage
 from cartolith.sources import python_code, syntax
 
@@ -210,3 +210,74 @@ def import_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = F.concat(F.lit("pkg"), (F.col("k") + 1) % 7, F.lit("."), name(1))
     refs = files.select("path", F.explode(F.array(ref(name(7), none, 0), ref(root, x, 0), ref(name(14), x, 1), ref(none, name(7), 1), ref(name(7), x, 2), ref(F.lit("os.path"), none, 0))).alias("r")).select("path", "r.*")
     return modules.existing(refs, files, modules.python_candidates(F.col("path"), F.col("module"), F.col("name"), F.col("level")))
+
+
+PYTHON_HEAD = "from pkg.m{{j}} import helper{{j}} as go\nimport pkg.m{{j}} as near\n"
+PYTHON = '''class {{c}}(Base):
+    """Part {{k}}."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self.check(n)
+
+    def check(self, n):
+        if n > {{s}} and n:
+            return n
+        for i in range(n):
+            while i:
+                i -= 1
+        return helper{{k}}(n)
+
+
+def helper{{k}}(n):
+    {{calls}}{{c}}(n)
+    missing{{k}}(n)
+    print(n)
+    return n
+'''
+PYTHON_CALLS = "go(n); near.helper{{j}}(n); "
+
+
+def pythons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text) of a Python module a part, which imports a function and the module of the part before."""
+    v = {n: F.col(n) for n in ("k", "j", "s", "c")}
+    there = F.col("j").isNotNull()
+    return _parts(spark, sf_dir).select(_filled("pkg/m{{k}}.py", **v).alias("path"), F.concat(F.when(there, _filled(PYTHON_HEAD, **v)).otherwise(""), _filled(PYTHON, **v, calls=F.when(there, _filled(PYTHON_CALLS, **v)).otherwise(""))).alias("text"))
+
+
+@query(f"""
+    WITH {_PARTS}
+    SELECT 'pkg/m' || k || '.py' AS path, f.kind, f.name, f.parent, (f.lineno + CASE WHEN j IS NULL THEN 0 ELSE 2 END)::INT AS lineno, f.loc::INT AS loc, f.complexity::INT AS complexity, CASE WHEN f.kind = 'class' THEN 'Part ' || k || '.' END AS docstring
+    FROM p, LATERAL (VALUES ('class', c, NULL, 1, NULL, NULL), ('method', '__init__', c, 4, 3, 1), ('method', 'check', c, 8, 7, 5), ('function', 'helper' || k, NULL, 17, 5, 1)) f (kind, name, parent, lineno, loc, complexity)""")
+def python_module_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of Python modules with their lines, complexity and docstring."""
+    return python_code.rows(pythons(spark, sf_dir), python_code.symbols)
+
+
+@query(f"""
+    WITH {_PARTS}, r AS (
+        SELECT k, c || '.__init__' AS caller, 'check' AS callee, 'self' AS receiver, 'pkg/m' || k || '.py:' || c || '.check' AS target, 'resolved_project' AS status FROM p
+        UNION ALL SELECT k, c || '.check', 'range', NULL, NULL, 'ignored_builtin' FROM p
+        UNION ALL SELECT k, c || '.check', 'helper' || k, NULL, 'pkg/m' || k || '.py:helper' || k, 'resolved_project' FROM p
+        UNION ALL SELECT k, 'helper' || k, 'go', NULL, 'pkg/m' || j || '.py:helper' || j, 'resolved_project' FROM p WHERE j IS NOT NULL
+        UNION ALL SELECT k, 'helper' || k, 'helper' || j, 'near', 'pkg/m' || j || '.py:helper' || j, 'resolved_project' FROM p WHERE j IS NOT NULL
+        UNION ALL SELECT k, 'helper' || k, c, NULL, 'pkg/m' || k || '.py:' || c, 'resolved_project' FROM p
+        UNION ALL SELECT k, 'helper' || k, 'missing' || k, NULL, NULL, 'unresolved' FROM p
+        UNION ALL SELECT k, 'helper' || k, 'print', NULL, NULL, 'ignored_builtin' FROM p)
+    SELECT 'pkg/m' || k || '.py' AS path, caller, callee, receiver, target, status FROM r""")
+def python_module_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls across Python modules, by imported names and through imported modules."""
+    code = cut_lineage(pythons(spark, sf_dir))
+    get = lambda g: python_code.rows(code, g)
+    found = resolution.resolve_calls(get(python_code.calls), get(python_code.symbols), get(python_code.imports), get(python_code.variable_types))
+    return found.select("path", "caller", "callee", "receiver", "target", "status")
+
+
+@query(f"""
+    WITH {_PARTS}
+    SELECT 'pkg.m' || k || '.' || c AS source, 'Base' AS target, 'inherits' AS type, false AS internal FROM p""")
+def python_module_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between the classes of Python modules."""
+    code = pythons(spark, sf_dir)
+    get = lambda g: python_code.rows(code, g)
+    return resolution.class_graph(get(python_code.class_references), get(python_code.symbols), get(python_code.imports))

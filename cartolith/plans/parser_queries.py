@@ -217,19 +217,16 @@ def transcript_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.events(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
 
 
-_LOG = "SELECT o_orderkey % 7 AS log_id, string_agg('h' || o_orderkey || '|a' || o_custkey || '|1997-01-01 00:00:00 +0200|m', chr(10)) AS text FROM orders GROUP BY 1"
-
-
 @query("""
-    SELECT o_orderkey % 7 AS log_id, 'h' || o_orderkey AS hash, 'a' || o_custkey AS author, strftime(o_orderdate, '%Y-%m-%d') AS day, count(l_partkey)::INT AS n_files
+    SELECT o_custkey AS log_id, 'h' || o_orderkey AS hash, 'a' || o_custkey AS author, strftime(o_orderdate, '%Y-%m-%d') AS day, count(l_partkey)::INT AS n_files
     FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate""")
 def commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commits written as log text and parsed again."""
+    """Commits written as log text, one log a customer, and parsed again."""
     header = F.concat_ws("|", F.concat(F.lit("h"), F.col("o_orderkey").cast("string")), F.concat(F.lit("a"), F.col("o_custkey").cast("string")), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0200")), F.lit("a|b"))
     names = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.collect_list(F.concat(F.lit("f"), F.col("l_partkey").cast("string"))), "\n").alias("names"))
     entry = F.concat_ws("\n", header, "names")
     orders = table(spark, sf_dir, "orders").join(names, "o_orderkey", "left")
-    log = orders.groupBy((F.col("o_orderkey") % 7).alias("log_id")).agg(F.array_join(F.collect_list(entry), "\n").alias("text"))
+    log = orders.groupBy(F.col("o_custkey").alias("log_id")).agg(F.array_join(F.collect_list(entry), "\n").alias("text"))
     out = files.commits_of_log(log)
     return out.select("log_id", "hash", "author", F.date_format("date", "yyyy-MM-dd").alias("day"), "n_files")
 
