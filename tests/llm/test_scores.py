@@ -85,6 +85,24 @@ def test_network_finds_a_format_it_has_not_seen():
         assert least <= (secrets_scan.probabilities(net, *views_of(60, formats)) >= net.threshold).mean() <= most
 
 
+def test_forward_pass_equals_plain_loops():
+    """Embedding, convolution, maximum over all positions of all rows of a candidate, logistic output, one number at a time."""
+    rng = np.random.default_rng(4)
+    embed, channels, width = secrets_scan.EMBED, secrets_scan.CHANNELS, secrets_scan.WIDTH
+    net = secrets_scan.Network(rng.normal(size=(128, embed)), rng.normal(size=(width * embed, channels)), rng.normal(size=channels), rng.normal(size=channels), 0.3, shift=0.2, slope=0.7)
+    x = rng.integers(0, 128, (7, secrets_scan.SPAN)).astype(np.uint8)
+    first = np.array([0, 1, 4])  # the second candidate has three rows, the third four
+    got = secrets_scan.probabilities(net, x, first)
+    for k, rows in enumerate((x[:1], x[1:4], x[4:])):
+        z = net.intercept
+        for c in range(channels):
+            best = max(
+                net.bias[c] + sum(net.embed[row[p + w]][e] * net.kernel[w * embed + e, c] for w in range(width) for e in range(embed)) for row in rows for p in range(secrets_scan.SPAN - width + 1)
+            )
+            z += max(best, 0) * net.out[c]
+        assert abs(got[k] - 1 / (1 + np.exp(-(net.slope * z + net.shift)))) < 1e-6
+
+
 def network_of(letter):
     """A network that takes a candidate if `letter` is anywhere in what it sees."""
     embed = np.zeros((128, secrets_scan.EMBED), np.float32)
