@@ -31,6 +31,21 @@ def windows(token_table: DataFrame, width: int = WINDOW) -> DataFrame:
     return token_table.select("file", F.posexplode(window_hashes(F.col("tokens"), width)).alias("pos", "hash"))
 
 
+#: Kinds of tokens that take no part in similarity.
+STRUCTURAL = ("newline", "indent", "dedent")
+
+
+def code_windows(code: DataFrame, width: int = WINDOW) -> DataFrame:
+    """(file, pos, hash, start_line, end_line) of every window over tokens (file, place, kind, hash, line).
+
+    Structural tokens go first, so `pos` counts the others, and a window's lines are those of its first and last token.
+    """
+    kept = code.filter(~F.col("kind").isin(*STRUCTURAL))
+    files = kept.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("place", "hash", "line"))).alias("t"))
+    found = files.select("file", F.col("t.line").alias("lines"), F.posexplode(window_hashes(F.col("t.hash"), width)).alias("pos", "hash"))
+    return found.select("file", "pos", "hash", F.get("lines", F.col("pos")).alias("start_line"), F.get("lines", F.col("pos") + (width - 1)).alias("end_line"))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """FNV-1a of byte slices, all slices a byte further at each step."""
     out = np.full(len(starts), FNV_OFFSET, dtype=np.uint64)
@@ -144,6 +159,18 @@ def classify(regions: DataFrame, words: DataFrame) -> DataFrame:
     return digests.groupBy(*key).agg(F.when(F.min("digest") == F.max("digest"), "exact").otherwise("renamed").alias("clone_type"))
 
 
+def classify_grown(regions: DataFrame, words: DataFrame) -> DataFrame:
+    """As `classify`, for regions (file_a, file_b, start_a, start_b, count_a, count_b) whose ends may differ in length; those are renamed."""
+    key = regions.columns
+    end = lambda side: F.struct(F.col(f"file_{side}").alias("file"), F.col(f"start_{side}").alias("start"), F.col(f"count_{side}").alias("size"))
+    same = regions.filter("count_a = count_b")
+    ends = same.select(*key, F.explode(F.array(end("a"), end("b"))).alias("e"))
+    cut = F.array_join(F.slice("words", F.col("start") + 1, F.col("size")), " ")
+    digests = ends.select(*key, "e.*").join(words, "file").select(*key, F.sha2(cut, 256).alias("digest"))
+    told = digests.groupBy(*key).agg(F.when(F.min("digest") == F.max("digest"), "exact").otherwise("renamed").alias("clone_type"))
+    return told.unionByName(regions.filter("count_a <> count_b").withColumn("clone_type", F.lit("renamed")))
+
+
 def hotspots(regions: DataFrame, sizes: DataFrame) -> DataFrame:
     """Per file: regions (a region within one file counts twice), distinct duplicated tokens and their share."""
     ends = regions.select(F.explode(F.array(F.struct(F.col("file_a").alias("file"), F.col("start_a").alias("start"), "token_count"), F.struct(F.col("file_b").alias("file"), F.col("start_b").alias("start"), "token_count"))).alias("e")).select("e.*")

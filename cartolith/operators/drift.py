@@ -13,6 +13,22 @@ def counts(items: DataFrame, kind: str) -> DataFrame:
     return items.groupBy(kind, "severity").agg(F.count("*").alias("n"), F.bool_or(F.col("severity") == "critical").alias("blocking"))
 
 
+def selected(items: DataFrame, types: list[str] | None = None, severities: list[str] | None = None, file_path: str | None = None, blocking: bool = False) -> DataFrame:
+    """Items of some types and severities, of one file, or only those that block; what is not given does not restrict."""
+    out = items if types is None else items.filter(F.col("type").isin(types))
+    out = out if severities is None else out.filter(F.col("severity").isin(severities))
+    out = out if file_path is None else out.filter(F.col("file_path") == file_path)
+    return out.filter(F.col("severity") == "critical") if blocking else out
+
+
+def report(detectors: list[DataFrame]) -> DataFrame:
+    """One row for all detectors' items (file_path, type, severity) together: items, distinct files, and whether any blocks."""
+    out = detectors[0].select("file_path", "type", "severity")
+    for d in detectors[1:]:
+        out = out.unionByName(d.select("file_path", "type", "severity"))
+    return out.agg(F.count("*").alias("items"), F.countDistinct("file_path").alias("analyzed_files"), F.coalesce(F.bool_or(F.col("severity") == "critical"), F.lit(False)).alias("has_blocking"))
+
+
 def can_proceed(items: DataFrame) -> DataFrame:
     """One row: whether nothing is critical, and the counts by severity in one line."""
     by = [F.sum((F.col("severity") == s).cast("long")).alias(s) for s in ("critical", "warning", "info")]

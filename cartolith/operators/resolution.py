@@ -76,6 +76,12 @@ def class_graph(references: DataFrame, symbols: DataFrame, imports: DataFrame) -
     return out.select(F.concat_ws(".", "module", "owner").alias("source"), F.coalesce("target", "raw").alias("target"), "type", F.col("target").isNotNull().alias("internal")).distinct()
 
 
+def edges_of(edges: DataFrame, types: list[str] | None = None, internal_only: bool = False) -> DataFrame:
+    """Edges of some types, and only those between classes of the program."""
+    out = edges if types is None else edges.filter(F.col("type").isin(types))
+    return out.filter("internal") if internal_only else out
+
+
 def uml_model(members: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """(class, attributes, methods, edges, n_edges of each kind): one row a class, its edges as kind>target, resolved.
 

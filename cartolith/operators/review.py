@@ -120,6 +120,17 @@ def insight_context(summary: DataFrame, recent: DataFrame, order: list, line: Co
     return head.select(F.array_join(F.concat("head", "items"), "\n").alias("context"))
 
 
+def notified(items: DataFrame, path: str, kind: str, extensions: list[str]) -> DataFrame:
+    """items with `status` and `reason`: an error for a path that leaves the root, skipped for an extension or a kind of change
+    that is not followed, else processed; the first reason counts."""
+    outside = ~tx.within_root(F.col(path))
+    followed = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(extensions)
+    known = F.col(kind).isin("created", "modified", "deleted")
+    reason = F.when(outside, "path_outside_root").when(~followed, "extension_not_followed").when(~known, "unknown_change")
+    status = F.when(outside, "error").when(reason.isNotNull(), "skipped").otherwise("processed")
+    return items.withColumns({"status": status, "reason": reason})
+
+
 def project_record(functions: DataFrame, file: str, name: str, complexity: str, lines: str) -> DataFrame:
     """One JSON record for each file: totals, and its functions by name with lines and complexity."""
     item = F.struct(F.col(name).alias("name"), F.col(lines).cast("long").alias("lines"), F.col(complexity).cast("long").alias("complexity"))

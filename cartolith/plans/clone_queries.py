@@ -135,3 +135,31 @@ def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT count(*) AS files, sum(len(regexp_extract_all(lower(text), '[a-z]+')))::BIGINT AS tokens, count(*) FILTER (lang = 'en') AS english FROM documents""")
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("files"), F.sum(F.regexp_count(F.lower("text"), F.lit("[a-z]+")).cast("long")).alias("tokens"), F.count_if(F.col("lang") == "en").alias("english"))
+
+
+@query(rf"""
+    WITH {_WINDOWS}, w AS (SELECT file, t, i FROM (SELECT doc_id AS file, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+|\n') AS ts FROM documents))),
+    n AS (SELECT file, t, i, 1 + sum((t = chr(10))::INT) OVER (PARTITION BY file ORDER BY i) AS line FROM w),
+    p AS (SELECT file, line, row_number() OVER (PARTITION BY file ORDER BY i) - 1 AS pos FROM n WHERE t <> chr(10))
+    SELECT win.file, win.pos, win.hash, a.line::INT AS start_line, b.line::INT AS end_line FROM win JOIN p a ON a.file = win.file AND a.pos = win.pos JOIN p b ON b.file = win.file AND b.pos = win.pos + 9""")
+def code_window_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of words with the lines that they span, ends of lines being tokens that are left out."""
+    from pyspark.sql import Window
+
+    parts = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+|\n"), F.lit(0))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.posexplode(parts).alias("place", "t"))
+    kind = F.when(F.col("t") == "\n", "newline").otherwise("identifier")
+    line = 1 + F.sum((F.col("t") == "\n").cast("int")).over(Window.partitionBy("file").orderBy("place"))
+    return op.code_windows(rows.select("file", "place", kind.alias("kind"), fnv1a_32(F.col("t")).alias("hash"), line.cast("int").alias("line")))
+
+
+@query(f"""WITH {_ISLANDS}, word AS (SELECT doc_id AS file, regexp_extract_all(text, '[A-Za-z]+') AS ws, regexp_extract_all(lower(text), '[a-z]+') AS lw FROM documents),
+    g AS (SELECT file_a, file_b, start_a, start_b, token_count AS count_a, CASE WHEN start_a % 3 = 0 THEN token_count - 1 ELSE token_count END AS count_b FROM region WHERE token_count >= 30)
+    SELECT g.*, CASE WHEN count_a = count_b AND a.ws[start_a + 1 : start_a + count_a] = b.ws[start_b + 1 : start_b + count_b] THEN 'exact' ELSE 'renamed' END AS clone_type
+    FROM g JOIN word a ON a.file = file_a JOIN word b ON b.file = file_b""")
+def clone_classify_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of regions, a third of which are cut shorter on one side and so differ in length."""
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("words"))
+    shorter = F.when(F.col("start_a") % 3 == 0, F.col("token_count") - 1).otherwise(F.col("token_count"))
+    grown = region_table(spark, sf_dir).select("file_a", "file_b", "start_a", "start_b", F.col("token_count").alias("count_a"), shorter.alias("count_b"))
+    return op.classify_grown(grown, words)

@@ -9,13 +9,13 @@ from cartolith.operators import history
 
 from .registry import query, table
 
-_LINES = """l AS (SELECT l_orderkey AS k, 'part ' || l_partkey || ' line ' || l_linenumber || ' of ' || l_suppkey || ' order ' || l_orderkey AS line, l_linenumber AS n, l_returnflag = 'R' AS goes, l_linestatus = 'O' AND l_linenumber % 2 = 0 AS comes FROM lineitem),
+_LINES = """l AS (SELECT l_orderkey AS k, 'part ' || l_partkey || ' line ' || l_linenumber || ' of ' || l_suppkey || ' times ' || l_quantity::INT || ' order ' || l_orderkey AS line, l_linenumber AS n, l_returnflag = 'R' AS goes, l_linestatus = 'O' AND l_linenumber % 2 = 0 AS comes FROM lineitem),
     o AS (SELECT *, row_number() OVER w AS old_line, count(*) FILTER (NOT goes) OVER w + count(*) FILTER (comes) OVER w - comes::INT AS kept, count(*) FILTER (NOT goes) OVER w + count(*) FILTER (comes) OVER w AS new_line FROM l WINDOW w AS (PARTITION BY k ORDER BY line ROWS UNBOUNDED PRECEDING))"""
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(order, before, after): an order's items as lines; afterwards returned ones are gone and some have a line after them."""
-    line = F.concat(F.lit("part "), "l_partkey", F.lit(" line "), "l_linenumber", F.lit(" of "), "l_suppkey", F.lit(" order "), "l_orderkey")
+    line = F.concat(F.lit("part "), "l_partkey", F.lit(" line "), "l_linenumber", F.lit(" of "), "l_suppkey", F.lit(" times "), F.col("l_quantity").cast("int"), F.lit(" order "), "l_orderkey")
     goes, comes = F.col("l_returnflag") == "R", (F.col("l_linestatus") == "O") & (F.col("l_linenumber") % 2 == 0)
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.struct(line.alias("line"), goes.alias("goes"), comes.alias("comes")).alias("x"))
     items = rows.groupBy("k").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # a few lines an order

@@ -281,3 +281,19 @@ def python_module_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = pythons(spark, sf_dir)
     get = lambda g: python_code.rows(code, g)
     return resolution.class_graph(get(python_code.class_references), get(python_code.symbols), get(python_code.imports))
+
+
+@query(f"""
+    WITH {_PARTS}
+    SELECT 'app.m' || k || '.' || c AS source, 'app.m' || j || '.Part' || j AS target FROM p WHERE j IS NOT NULL
+    UNION ALL SELECT 'app.m' || k || '.Part' || k, 'app.m' || k || '.' || c FROM p""")
+def internal_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inheritance between classes of the program: a class of another module under its imported name, and one of the own."""
+    v = {n: F.col(n) for n in ("k", "j", "c")}
+    head = F.when(F.col("j").isNotNull(), _filled("from app.m{{j}} import Part{{j}} as Before\n", **v)).otherwise("")
+    base = F.when(F.col("j").isNotNull(), "Before").otherwise("Base")
+    body = _filled("class {{c}}({{base}}):\n    other: Other\n\n\nclass Part{{k}}({{c}}):\n    def make(self):\n        return Thing()\n", **v, base=base)
+    code = _parts(spark, sf_dir).select(_filled("app/m{{k}}.py", **v).alias("path"), F.concat(head, body).alias("text"))
+    get = lambda g: python_code.rows(code, g)
+    edges = resolution.class_graph(get(python_code.class_references), get(python_code.symbols), get(python_code.imports))
+    return resolution.edges_of(edges, ["inherits"], internal_only=True).select("source", "target")
