@@ -42,8 +42,10 @@ def code_windows(code: DataFrame, width: int = WINDOW) -> DataFrame:
     """
     kept = code.filter(~F.col("kind").isin(*STRUCTURAL))
     files = kept.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("place", "hash", "line"))).alias("t"))
-    found = files.select("file", F.col("t.line").alias("lines"), F.posexplode(window_hashes(F.col("t.hash"), width)).alias("pos", "hash"))
-    return found.select("file", "pos", "hash", F.get("lines", F.col("pos")).alias("start_line"), F.get("lines", F.col("pos") + (width - 1)).alias("end_line"))
+    # Lines are put to the windows before these are rows: a row that carried its file's lines would cost the file's length.
+    line = lambda i: F.get(F.col("t.line"), i)
+    found = F.transform(window_hashes(F.col("t.hash"), width), lambda h, i: F.struct(i.alias("pos"), h.alias("hash"), line(i).alias("start_line"), line(i + (width - 1)).alias("end_line")))
+    return files.select("file", F.explode(found).alias("w")).select("file", "w.*")
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

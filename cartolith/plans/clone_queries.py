@@ -138,10 +138,12 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-    WITH {_WINDOWS}, w AS (SELECT file, t, i FROM (SELECT doc_id AS file, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+|\n') AS ts FROM documents))),
-    n AS (SELECT file, t, i, 1 + sum((t = chr(10))::INT) OVER (PARTITION BY file ORDER BY i) AS line FROM w),
-    p AS (SELECT file, line, row_number() OVER (PARTITION BY file ORDER BY i) - 1 AS pos FROM n WHERE t <> chr(10))
-    SELECT win.file, win.pos, win.hash, a.line::INT AS start_line, b.line::INT AS end_line FROM win JOIN p a ON a.file = win.file AND a.pos = win.pos JOIN p b ON b.file = win.file AND b.pos = win.pos + 9""")
+    WITH {_WINDOWS}, ts AS (SELECT doc_id AS file, regexp_extract_all(lower(text), '[a-z]+|\n') AS ts FROM documents),
+    w AS MATERIALIZED (SELECT file, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM ts),
+    n AS MATERIALIZED (SELECT file, t, i, sum((t = chr(10))::INT) OVER (PARTITION BY file ORDER BY i) AS line FROM w),
+    p AS MATERIALIZED (SELECT file, (line + 1)::INT AS line, row_number() OVER (PARTITION BY file ORDER BY i) - 1 AS pos FROM n WHERE t <> chr(10)),
+    s AS MATERIALIZED (SELECT file, pos, line AS start_line, lead(line, 9) OVER (PARTITION BY file ORDER BY pos) AS end_line FROM p)
+    SELECT file, pos, hash, start_line, end_line FROM win JOIN s USING (file, pos)""")
 def code_window_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of words with the lines that they span, ends of lines being tokens that are left out."""
     from pyspark.sql import Window
