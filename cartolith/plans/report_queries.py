@@ -15,7 +15,6 @@ from .clone_queries import clone_classify as classified
 from .clone_queries import region_table
 from .parser_queries import projects
 from .registry import ORACLE_SQL, query, table
-from .search_queries import micros
 
 _CLASSIFIED, _SPOTS = ORACLE_SQL["clone_classify"], ORACLE_SQL["clone_hotspots"]
 
