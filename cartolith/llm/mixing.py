@@ -64,7 +64,7 @@ def _targets(totals: DataFrame) -> DataFrame:
     return t.withColumn("target", F.least("cap", F.col("level") * F.col("weight")))
 
 
-def mix(df: DataFrame, block: int = BLOCK, seed: int = 0, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", carry: bool = False) -> dict[str, DataFrame]:
+def mix(df: DataFrame, block: int = BLOCK, finest: int = FINEST, seed: int = 0, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", carry: bool = False) -> dict[str, DataFrame]:
     """`documents`: a row per input row with what the mix takes of it; `slots`: shard, source, slot and block of all output blocks.
 
     With carry, `documents` also has row_key, and `rows` has the input rows with the same row_key.
@@ -83,7 +83,7 @@ def mix(df: DataFrame, block: int = BLOCK, seed: int = 0, text_col: str = "text"
     per_part = parts.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     per_part = per_part.withColumn("part_start", F.coalesce(F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sources = scratch.write(_targets(parts.groupBy("source").agg(F.sum("size").alias("source_size"))).select("source", "src", "source_size", "target"), "sources")
-    sources = sources.withColumn("grain", F.greatest(F.lit(1), F.least(F.lit(block), F.ceil(F.col("source_size") / FINEST)))).withColumn("blocks", F.ceil(F.col("source_size") / F.col("grain"))).withColumn("slots", F.coalesce(F.round(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size"))), F.lit(0)).cast("long"))
+    sources = sources.withColumn("grain", F.greatest(F.lit(1), F.least(F.lit(block), F.ceil(F.col("source_size") / finest)))).withColumn("blocks", F.ceil(F.col("source_size") / F.col("grain"))).withColumn("slots", F.coalesce(F.round(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size"))), F.lit(0)).cast("long"))
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy(F.lit(1))) / SHARD_SLOTS)))
     within = Window.partitionBy("source", "part").orderBy(F.asc_nulls_first("doc_id"), "size", "row_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = _placed(parts, per_part, within)
@@ -116,12 +116,13 @@ def _placed(parts: DataFrame, per_part: DataFrame, within) -> DataFrame:
     return rows.withColumn("start", F.col("part_start") + F.col("upto") - F.col("size")).drop("ps", "pp", "part_start", "upto")
 
 
-def remix(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+def remix(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", finest: int = 1, **options) -> DataFrame:
     """The rows of the mix: a row appears taken / size times, rounded up or down by a draw from a hash of its id and text.
 
-    A row without words appears once. Any id will do: none, a negative one or one that other rows have too.
+    Blocks are not made finer for small sources unless `finest` says so, since whole rows are taken: a source of a few
+    short rows is then taken whole, and not lost by a draw. A row without words appears once. Any id will do: none, a negative one or one that other rows have too.
     """
-    parts = mix(df, carry=True, text_col=text_col, id_col=id_col, **options)
+    parts = mix(df, carry=True, text_col=text_col, id_col=id_col, finest=finest, **options)
     share = parts["documents"].select("row_key", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1.0)).alias("__share"))
     rows = parts["rows"].join(share.filter("__share > 0"), parts["rows"]["__row"] == share["row_key"])
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("long"), text_or_empty(text_col)), F.lit(1 << 20)) / float(1 << 20)

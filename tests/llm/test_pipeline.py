@@ -17,7 +17,7 @@ SMALL = "/root/testdata/sf0.001"
 def test_all_operators_are_registered():
     names = set(__spark_entry__.queries())
     assert {n for n in names if n.startswith("op")} == {n for n in names if n.startswith("op") and n.split("_")[0][2:].isdigit()}
-    assert {int(n.split("_")[0][2:]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n.split("_")[0][2:]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
 
 
 def test_stages_work_on_what_came_before(spark, tmp_path):
@@ -58,7 +58,7 @@ def test_run_matches_a_plain_chain(spark, tmp_path):
     near = brute_components([(d, t) for t, d in last.items()])
     kept = {d for d, (_, least) in near.items() if least == d}
     rows = table.filter(table["doc_id"].isin(sorted(kept)))
-    taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(rows)["documents"].collect()}
+    taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(rows, finest=1)["documents"].collect()}
     assert set(taken) == kept and all(n == len(re.findall(r"[^\x20\x09-\x0D]+", text[d])) for d, (_, n) in taken.items())
 
     out = corpus_pipeline.run(spark, SMALL).collect()
