@@ -152,8 +152,8 @@ def json_payload_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN regexp_matches(text, '(?i)^(the|in|on|to)\\b') THEN 'reasoning' ELSE 'output' END AS family
     FROM conversations""")
 def transcript_line_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    family = F.when(t.rlike(r"(?i)\b(error|failed|exception)\b"), "error").when(t.rlike(r"\?"), "prompt").when(t.rlike(r"(?i)^(the|in|on|to)\b"), "reasoning").otherwise("output")
+    t, edge = F.col("text"), "[0-9A-Za-z_]"  # a word ends before any other character, an accented letter too, where Java and RE2 differ
+    family = F.when(t.rlike(rf"(?i)(?<!{edge})(error|failed|exception)(?!{edge})"), "error").when(t.rlike(r"\?"), "prompt").when(t.rlike(rf"(?i)^(the|in|on|to)(?!{edge})"), "reasoning").otherwise("output")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", family.alias("family"))
 
 
