@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import cut_lineage
@@ -126,15 +126,16 @@ def visible(wanted: DataFrame, includes: DataFrame, have: DataFrame) -> DataFram
     Only keys that are asked for move along the includes, a step a round, and each file is visited once a key.
     """
     includes = cut_lineage(includes.select(F.col("path").alias("at"), F.col("target").alias("next")).distinct())
+    have = cut_lineage(have.select(F.col("path").alias("at"), "key").distinct().withColumn("hit", F.lit(True)))  # once, not a round
     frontier = seen = cut_lineage(wanted.select("path", "key", F.col("path").alias("at")).distinct())
     found = None
     while not frontier.isEmpty():
-        step = frontier.join(includes, "at").select("path", "key", F.col("next").alias("at")).distinct()
-        step = cut_lineage(step.join(seen, ["path", "key", "at"], "left_anti"))
-        hit = step.join(have.select(F.col("path").alias("at"), "key").distinct(), ["at", "key"]).select("path", "key", "at")
-        hit = cut_lineage(hit)
+        step = frontier.join(includes, "at").select("path", "key", F.col("next").alias("at")).distinct().join(seen, ["path", "key", "at"], "left_anti")
+        told = step.join(have, ["at", "key"], "left").withColumn("done", F.max("hit").over(Window.partitionBy("path", "key")))
+        told = cut_lineage(told.select("path", "key", "at", "hit", "done"))
+        hit, step = told.filter("hit").select("path", "key", "at"), told.select("path", "key", "at")
         found = hit if found is None else found.unionByName(hit)
-        frontier, seen = step.join(hit.select("path", "key").distinct(), ["path", "key"], "left_anti"), seen.unionByName(step)
+        frontier, seen = told.filter("done is null").select("path", "key", "at"), seen.unionByName(step)
     return found if found is not None else wanted.select("path", "key", F.col("path").alias("at")).limit(0)
 
 

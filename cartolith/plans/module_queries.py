@@ -13,7 +13,7 @@ from cartolith.operators import modules, other_calls, resolution
 from cartolith.operators.graph import cut_lineage
 from cartolith.sources import python_code, syntax
 
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def _filled(template: str, **values: Column) -> Column:
@@ -64,7 +64,7 @@ _PARTS = """p AS (SELECT a.p_partkey AS k, b.p_partkey AS j, a.p_size AS s, repl
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("c"))
-    return part.join(part.select((F.col("k") + 1).alias("k"), F.col("k").alias("j")), "k", "left")
+    return spread(part.join(part.select((F.col("k") + 1).alias("k"), F.col("k").alias("j")), "k", "left"), "k")
 
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +201,7 @@ _PACKAGE = "'pkg' || k % 7 || '/m' || k || CASE WHEN s % 2 = 0 THEN '.py' ELSE '
     SELECT f.path, r.module, r.name, r.level, t.path AS target FROM r JOIN f USING (k) LEFT JOIN f t ON t.k = r.wanted""")
 def import_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports of Python files with the file that each means: beside the file, at the root, or where its dots lead."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    part = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s")), "k")
     path = F.concat(F.lit("pkg"), F.col("k") % 7, F.lit("/m"), F.col("k"), F.when(F.col("s") % 2 == 0, ".py").otherwise("/__init__.py"))
     files = part.select(path.alias("path"), "k")
     name = lambda by: F.concat(F.lit("m"), F.col("k") + by)

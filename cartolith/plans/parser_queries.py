@@ -11,7 +11,7 @@ from cartolith.functions.hashing import fnv1a_32
 from cartolith.operators import alignment, clones, contract_blocks, contracts, other_calls, resolution
 from cartolith.sources import files, other_code, python_code, transcripts
 
-from .registry import query, table
+from .registry import query, spread, table
 
 #: Small programs that parse the same everywhere.
 PROGRAMS = [
@@ -34,7 +34,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The programs once for each supplier, in a folder of its own: sources in proportion to the tables."""
     files_ = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in PROGRAMS))
     root = F.concat(F.lit("p"), F.col("s_suppkey").cast("string"))
-    each = table(spark, sf_dir, "supplier").select(root.alias("root"), F.explode(files_).alias("f"))
+    each = spread(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey").select(root.alias("root"), F.explode(files_).alias("f"))
     return each.select(F.concat_ws("/", "root", "f.path").alias("path"), F.replace("f.text", F.lit("from app."), F.concat(F.lit("from "), "root", F.lit(".app."))).alias("text"))
 
 
