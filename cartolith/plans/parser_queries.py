@@ -234,6 +234,6 @@ def commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def alignment_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gap-tolerant similarity of each clone region's surroundings."""
-    tokens = clones.tokens(table(spark, sf_dir, "documents"), "text", "doc_id")
+    tokens = clones.text_tokens(table(spark, sf_dir, "documents"), "text", "doc_id")
     regions = clones.islands(clones.run_ends(clones.window_blocks(table(spark, sf_dir, "documents"), "text", "doc_id")), least=clones.MIN_TOKENS)
     return alignment.extend(regions, tokens)
