@@ -95,13 +95,15 @@ def commits_of_log(log: DataFrame, key: str = "log_id", text: str = "text") -> D
 
     A line of four parts is a header; of a log, which is one row, each line belongs to the last header before it.
     """
-    lines = log.select(key, F.posexplode(F.split(text, "\n")).alias("no", "line")).filter("trim(line) <> ''")
-    parts = F.split("line", r"\|", 4)
-    is_header = F.size(parts) == 4
-    w = Window.partitionBy(key).orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = lines.withColumns({"header": is_header, "parts": parts}).withColumn("commit_no", F.sum(F.col("header").cast("int")).over(w)).filter("commit_no > 0")
-    files = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("header"), F.struct("no", "line")))), lambda x: F.trim(x["line"])), ",")
-    out = marked.groupBy(key, "commit_no").agg(F.max(F.when(F.col("header"), F.col("parts"))).alias("p"), files.alias("files"), F.sum((~F.col("header")).cast("int")).alias("n_files"))
+    lines = log.select(key, F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    # Places of headers, and that after the last line; each commit's lines are cut out before there are rows, so none are sorted.
+    places = F.filter(F.transform("lines", lambda x, i: F.when(F.size(F.split(x, r"\|", 4)) == 4, i)), lambda i: i.isNotNull())
+    marked = lines.withColumn("at", F.concat(places, F.array(F.size("lines"))))
+    ends = F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0)))
+    begun = F.zip_with(F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))), ends, lambda i, j: F.struct(F.get("lines", i).alias("header"), F.slice("lines", i + 2, j - i - 1).alias("names")))
+    out = marked.select(key, F.posexplode(begun).alias("no", "c")).select(
+        key, (F.col("no") + 1).cast("long").alias("commit_no"), F.split("c.header", r"\|", 4).alias("p"), F.array_join(F.transform("c.names", lambda x: F.trim(x)), ",").alias("files"), F.size("c.names").cast("long").alias("n_files")
+    )
     when = F.to_timestamp_ntz(F.substring(F.col("p")[2], 1, 19), F.lit("yyyy-MM-dd HH:mm:ss"))
     return out.select(key, "commit_no", F.col("p")[0].alias("hash"), F.col("p")[1].alias("author"), when.alias("date"), F.col("p")[3].alias("message"), "files", "n_files")
 
