@@ -103,5 +103,5 @@ def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_SPARSE} SELECT source, target, a.component FROM e JOIN comp a ON a.node = source JOIN comp b ON b.node = target WHERE a.component = b.component")
 def cyclic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that lie on a cycle, by components and without walking any path twice."""
-    edges = sparse_calls(spark, sf_dir)
+    edges = op.cut_lineage(sparse_calls(spark, sf_dir))
     return op.cyclic_edges(edges, op.strong_components(edges))

@@ -103,3 +103,19 @@ def test_strong_components_equal_brute_force(spark, case):
     found = graph.strong_components(frame)
     assert dict(map(tuple, found.collect())) == comp
     assert {tuple(r)[:2] for r in graph.cyclic_edges(frame, found).collect()} == {(a, b) for a, b in edges if comp[a] == comp[b]}
+
+
+def test_jobs_of_strong_components_do_not_grow_with_the_length_of_rings(spark):
+    """Four times as long a ring with as long a path in and out: each node a round would take about four times the jobs."""
+    jobs = []
+    for n in (16, 64):
+        name = random.Random(n).sample(range(1000), 3 * n)
+        steps = [(k, k + 1) for k in range(3 * n - 1)] + [(2 * n - 1, n)]
+        frame = spark.createDataFrame([(name[a], name[b]) for a, b in steps], "source long, target long")
+        spark.sparkContext.setJobGroup(f"ring {n}", "")
+        found = dict(map(tuple, graph.strong_components(frame).collect()))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"ring {n}")))
+        ring = min(name[n : 2 * n])
+        assert found == {v: ring if n <= k < 2 * n else v for k, v in enumerate(name)}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] < 2.5 * jobs[0], jobs
