@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cartolith.functions.text import module_name, resolve_relative
 
+from .graph import cut_lineage
+
 BUILTINS, STDLIB = sorted(dir(builtins)), sorted(sys.stdlib_module_names)
 
 
@@ -67,13 +69,16 @@ def class_graph(references: DataFrame, symbols: DataFrame, imports: DataFrame) -
     own = module_name(F.col("path"))
     classes = symbols.filter("kind = 'class'").select(F.concat_ws(".", own, F.col("name")).alias("full"))
     meaning = import_targets(imports).select(F.col("path").alias("ip"), F.col("alias").alias("ia"), F.concat_ws(".", "module", "name").alias("meant"))
+    references = cut_lineage(references)  # read twice, and each file is parsed once
     head, tail = F.substring_index("raw", ".", 1), F.regexp_replace("raw", r"^[^.]*\.?", "")
-    r = references.withColumns({"ref_id": F.monotonically_increasing_id(), "head": head, "tail": tail, "module": own})
+    # What a name means hangs on its file alone. A running number would not do as a key: rows that came by a shuffle may lie
+    # in another order when they are made again.
+    r = references.select("path", "raw").distinct().withColumns({"head": head, "tail": tail, "module": own})
     r = r.join(meaning, (F.col("path") == F.col("ip")) & (F.col("head") == F.col("ia")), "left")
     names = F.array(F.concat_ws(".", "module", "raw"), F.when(F.col("meant").isNotNull(), F.concat_ws(".", "meant", F.nullif("tail", F.lit("")))), F.col("raw"))
-    hit = r.select("ref_id", F.posexplode(names).alias("rank", "full")).join(classes, "full").groupBy("ref_id").agg(F.min(F.struct("rank", "full"))["full"].alias("target"))
-    out = r.join(hit, "ref_id", "left")
-    return out.select(F.concat_ws(".", "module", "owner").alias("source"), F.coalesce("target", "raw").alias("target"), "type", F.col("target").isNotNull().alias("internal")).distinct()
+    hit = r.select("path", "raw", F.posexplode(names).alias("rank", "full")).join(classes, "full").groupBy("path", "raw").agg(F.min(F.struct("rank", "full"))["full"].alias("target"))
+    out = references.join(hit, ["path", "raw"], "left")
+    return out.select(F.concat_ws(".", own, "owner").alias("source"), F.coalesce("target", "raw").alias("target"), "type", F.col("target").isNotNull().alias("internal")).distinct()
 
 
 def edges_of(edges: DataFrame, types: list[str] | None = None, internal_only: bool = False) -> DataFrame:
