@@ -1,7 +1,8 @@
 """Names across files: import paths that exist, what modules export through re-exports, and what includes make visible.
 
 Closures are semi-naive: a frontier of what the last round found is joined with the edges, what is known is taken away, and
-the rest is the next frontier, written to the shared folder. Rounds are as many as the longest chain.
+the rest is the next frontier, written to the shared folder. Rounds are as many as the longest chain. A frontier of few rows
+is sent to what it is joined with, so late rounds move no large table.
 """
 
 from __future__ import annotations
@@ -11,8 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartolith.llm.common import Scratch
+
 from .graph import cut_lineage
 
+#: A frontier of at most so many rows is broadcast. Larger tables are joined by merging: written tables are smaller than their rows in memory.
+FEW = 50_000
+
 #: Endings that a script's import may leave out, in the order they are tried.
 SCRIPT_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 
@@ -31,10 +37,10 @@ def folder(path: Column) -> Column:
 
 def script_candidates(path: Column, source: Column) -> Column:
     """Files that a relative import may mean; other imports are libraries'. `x.js` may be written for `x.ts`."""
-    base = normalised(F.concat_ws("/", folder(path), source))
-    bare = F.when(base.rlike(r"\.[jt]sx?$"), F.regexp_replace(base, r"\.[jt]sx?$", ""))
-    endings = [F.concat(base, F.lit(e)) for e in SCRIPT_ENDINGS] + [F.concat(bare, F.lit(e)) for e in (".ts", ".tsx")]
-    return F.when(source.startswith("./") | source.startswith("../") | source.isin(".", ".."), F.array(*endings))
+    bare = lambda base: F.when(base.rlike(r"\.[jt]sx?$"), F.regexp_replace(base, r"\.[jt]sx?$", ""))
+    endings = lambda base: F.array(*(F.concat(base, F.lit(e)) for e in SCRIPT_ENDINGS), *(F.concat(bare(base), F.lit(e)) for e in (".ts", ".tsx")))
+    once = F.transform(F.array(normalised(F.concat_ws("/", folder(path), source))), endings)[0]  # the path is made once, not an ending
+    return F.when(source.startswith("./") | source.startswith("../") | source.isin(".", ".."), once)
 
 
 def native_candidates(path: Column, source: Column) -> Column:
@@ -52,21 +58,26 @@ def python_candidates(path: Column, module: Column, name: Column, level: Column)
     return F.when(F.coalesce(level, F.lit(0)) > 0, F.array(*at(up))).otherwise(F.array(*at(own), *at(F.lit(""))))
 
 
-def existing(references: DataFrame, files: DataFrame, candidates: Column) -> DataFrame:
-    """references with `target`, the first of their candidates that is a file, by one equi-join; null if none is."""
+def _found(references: DataFrame, files: DataFrame, candidates: Column) -> DataFrame:
+    """Distinct references that mean a file, with `target`: the first of their candidates that is one, by one equi-join."""
     key = references.columns
     ranked = references.distinct().select(*key, F.posexplode(candidates).alias("rank", "file")).filter("file is not null")
-    hit = ranked.join(files.select(F.col("path").alias("file")).distinct(), "file").groupBy(*key).agg(F.min(F.struct("rank", "file"))["file"].alias("target"))
-    hit = hit.withColumnsRenamed({c: f"__{c}" for c in key})
+    return ranked.join(files.select(F.col("path").alias("file")).distinct(), "file").groupBy(*key).agg(F.min(F.struct("rank", "file"))["file"].alias("target"))
+
+
+def existing(references: DataFrame, files: DataFrame, candidates: Column) -> DataFrame:
+    """references with `target`, the first of their candidates that is a file; null if none is."""
+    key = references.columns
+    hit = _found(references, files, candidates).withColumnsRenamed({c: f"__{c}" for c in key})
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
     return references.join(hit, same, "left").select(*key, "target")
 
 
-def _links(nodes: DataFrame, files: DataFrame, kind: str, candidates: Callable[[Column, Column], Column]) -> DataFrame:
-    """Nodes of a kind with the file that their source is, where it is one."""
-    some = nodes.filter((F.col("kind") == kind) & F.col("source").isNotNull()).select("path", "name", "alias", "source")
-    found = existing(some.select("path", "source").distinct(), files, candidates(F.col("path"), F.col("source"))).filter("target is not null")
-    return some.join(found, ["path", "source"]).select("path", "name", "alias", "target").distinct()
+def _links(nodes: DataFrame, files: DataFrame, kinds: list[str], candidates: Callable[[Column, Column], Column]) -> DataFrame:
+    """Nodes of some kinds with the file that their source is, where it is one."""
+    some = nodes.filter(F.col("kind").isin(kinds) & F.col("source").isNotNull()).select("kind", "path", "name", "alias", "source")
+    found = _found(some.select("path", "source"), files, candidates(F.col("path"), F.col("source")))
+    return some.join(found, ["path", "source"]).select("kind", "path", "name", "alias", "target").distinct()
 
 
 def exported(definitions: DataFrame, aliases: DataFrame, stars: DataFrame) -> DataFrame:
@@ -76,23 +87,39 @@ def exported(definitions: DataFrame, aliases: DataFrame, stars: DataFrame) -> Da
     names passed on, perhaps under another name. stars: (path, target) for modules that pass on all but the default. A
     name stated in a module hides those that come with a star; of several stars the least defining path counts.
     """
-    stated = cut_lineage(definitions.select("path", "name").unionByName(aliases.select("path", "name")).distinct())
-    known = frontier = cut_lineage(definitions.groupBy("path", "name").agg(F.min(F.struct("def_path", "def_name")).alias("d")).select("path", "name", "d.*"))
-    aliases, stars = cut_lineage(aliases.distinct()), cut_lineage(stars.distinct())
-    while not frontier.isEmpty():
+    scratch = Scratch(definitions.sparkSession, "exports")
+    best = lambda rows, *what: rows.groupBy("path", "name").agg(F.min(F.struct(*what)).alias("d")).select("path", "name", "d.*")
+    frontier = scratch.write(best(definitions, "def_path", "def_name"))
+    aliases, stars = scratch.write(aliases.distinct()), scratch.write(stars.distinct())
+    stated = aliases.select("path", "name", F.lit(1).alias("by_star"))
+    known, n = [frontier], frontier.count()
+    while n:
         reached = frontier.withColumnsRenamed({"path": "target", "name": "target_name"})
-        by_alias = aliases.join(reached, ["target", "target_name"]).select("path", "name", "def_path", "def_name")
-        by_star = stars.join(reached.filter("target_name <> 'default'"), "target").select("path", F.col("target_name").alias("name"), "def_path", "def_name")
-        new = by_alias.unionByName(by_star.join(stated, ["path", "name"], "left_anti")).groupBy("path", "name").agg(F.min(F.struct("def_path", "def_name")).alias("d")).select("path", "name", "d.*")
-        frontier = cut_lineage(new.join(known, ["path", "name"], "left_anti"))
-        known = known.unionByName(frontier)
-    return known
-
-
-def script_exports(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """`exported` of a table of syntax nodes."""
+        reached = F.broadcast(reached) if n <= FEW else reached.hint("merge")
+        by_alias = aliases.join(reached, ["target", "target_name"]).select("path", "name", F.lit(0).alias("by_star"), "def_path", "def_name")
+        by_star = stars.join(reached.filter("target_name <> 'default'"), "target").select("path", F.col("target_name").alias("name"), F.lit(1).alias("by_star"), "def_path", "def_name")
+        new = scratch.write(best(by_alias.unionByName(by_star), "by_star", "def_path", "def_name"))
+        m = new.count()
+        if not m:
+            break
+        had = lambda t: t.join(F.broadcast(new.select("path", "name")), ["path", "name"], "left_semi") if m <= FEW else t.hint("merge")  # noqa: E731,B023
+        fresh = new.join(had(scratch.all_of(known).select("path", "name")), ["path", "name"], "left_anti").join(had(stated), ["path", "name", "by_star"], "left_anti")
+        frontier = scratch.write(fresh.drop("by_star"))
+        scratch.drop(new)
+        known.append(frontier)
+        n = frontier.count()
+    return scratch.all_of(known).hint("merge")
+
+
+def script_links(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """(kind, path, name, alias, target): imports and exports of a table of syntax nodes that lead to a file, written once."""
+    return Scratch(nodes.sparkSession, "links").write(_links(nodes.filter("parent is null"), files, ["import", "export"], script_candidates)).hint("merge")
+
+
+def script_exports(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """`exported` of a table of syntax nodes. links: of `script_links`."""
     top = nodes.filter("parent is null")
-    imports, passed = _links(top, files, "import", script_candidates), _links(top, files, "export", script_candidates)
+    imports, passed = links.filter("kind = 'import'"), links.filter("kind = 'export'")
     own = top.filter("exported and kind in ('function', 'class', 'variable') and name is not null").select("path", "name", F.col("name").alias("local"))
     listed = top.filter("kind = 'export' and source is null and alias is not null").select("path", F.col("alias").alias("name"), F.col("name").alias("local"))
     # A listed name that is imported is passed on; the others are the module's own.
@@ -105,8 +132,9 @@ def script_exports(nodes: DataFrame, files: DataFrame) -> DataFrame:
 
 def imported_functions(nodes: DataFrame, files: DataFrame, defined: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """For `resolve_script`: keys (x, x.y) whose head a file imports, with the function they mean in another file."""
-    brought = _links(nodes.filter("parent is null"), files, "import", script_candidates).select("path", F.col("alias").alias("head"), "target", F.col("name").alias("bound"))
-    exports = script_exports(nodes, files).withColumnsRenamed({"path": "target", "name": "wanted"})
+    links = script_links(nodes, files)
+    brought = links.filter("kind = 'import'").select("path", F.col("alias").alias("head"), "target", F.col("name").alias("bound"))
+    exports = script_exports(nodes, links).withColumnsRenamed({"path": "target", "name": "wanted"})
 
     def elsewhere(keys: DataFrame) -> DataFrame:
         after = lambda c: F.nullif(F.regexp_replace(c, r"^[^.]*\.?", ""), F.lit(""))
@@ -143,7 +171,7 @@ def included_functions(nodes: DataFrame, files: DataFrame, defined: DataFrame) -
     """For `resolve_native`: keys that an included file defines, or declares and a file that includes it defines."""
     key = F.when(F.col("owner").isNull(), F.col("name")).otherwise(F.concat_ws("::", "owner", "name"))
     declared = nodes.filter("kind = 'prototype'").select("path", key.alias("key")).distinct()
-    includes = cut_lineage(_links(nodes, files, "import", native_candidates).select("path", "target").distinct())
+    includes = cut_lineage(_links(nodes, files, ["import"], native_candidates).select("path", "target").distinct())
 
     def elsewhere(keys: DataFrame) -> DataFrame:
         seen = visible(keys, includes, defined.unionByName(declared))

@@ -76,11 +76,29 @@ def symbols_of(nodes: DataFrame) -> DataFrame:
 
 def calls_of(nodes: DataFrame) -> DataFrame:
     """Call sites from a table of syntax nodes, each with the function it stands in."""
+    if "caller" in nodes.columns:
+        return nodes.filter("kind = 'call' and function is not null").select("path", "caller", "owner", F.col("name").alias("callee"), "receiver", F.col("how").alias("call_type"), "line")
     callers = nodes.filter("kind in ('function', 'method')").select("path", F.col("id").alias("function"), F.col("name").alias("caller"))
     sites = nodes.filter("kind = 'call'").select("path", "function", "owner", F.col("name").alias("callee"), "receiver", F.col("how").alias("call_type"), "line")
     return sites.join(callers, ["path", "function"]).select("path", "caller", "owner", "callee", "receiver", "call_type", "line")
 
 
+#: Of syntax nodes what names across files need.
+LINKED_SCHEMA = "path string, parent int, function int, kind string, name string, owner string, receiver string, how string, source string, alias string, exported boolean, line int, complexity int, caller string"
+
+
+def linked_nodes(nodes: Callable[[str, str], Iterator[dict]]) -> Callable[[str, str], Iterator[dict]]:
+    """Syntax nodes without decisions, calls with the name of the function they stand in (`caller`)."""
+
+    def run(path: str, text: str) -> Iterator[dict]:
+        rows = list(nodes(path, text))
+        for row in rows:
+            if row["kind"] != "decision":
+                yield row | {"caller": rows[row["function"]]["name"] if row["kind"] == "call" and row["function"] is not None else None}
+
+    return run
+
+
 def definitions(symbols: DataFrame, joint: str) -> DataFrame:
     """(path, key) of functions and methods, a method under its class."""
     key = F.when(F.col("parent").isNull(), F.col("name")).otherwise(F.concat_ws(joint, "parent", "name"))

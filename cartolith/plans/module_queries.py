@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartolith.llm.common import Scratch
 from cartolith.operators import modules, other_calls, resolution
 from cartolith.operators.graph import cut_lineage
 from cartolith.sources import python_code, syntax
@@ -87,9 +88,22 @@ def _nodes(code: DataFrame, generator) -> DataFrame:
     return python_code.rows(code, generator, syntax.NODE_SCHEMA)
 
 
+def _linked(code: DataFrame, generator) -> DataFrame:
+    """The nodes that names across files need, written once; a written table is smaller than its rows, so it is never broadcast."""
+    return Scratch(code.sparkSession, "nodes").write(python_code.rows(code, other_calls.linked_nodes(generator), other_calls.LINKED_SCHEMA)).hint("merge")
+
+
+#: Of syntax nodes what exports of modules need.
+_TOP_SCHEMA = "path string, parent int, kind string, name string, source string, alias string, exported boolean"
+
+
+def _top_nodes(path: str, text: str) -> list[dict]:
+    return [r for r in syntax.script_nodes(path, text) if r["parent"] is None]
+
+
 def script_calls_across(code: DataFrame) -> DataFrame:
     """Calls of TypeScript sources, resolved in their file or through imports and re-exports; each file is parsed once."""
-    nodes = cut_lineage(_nodes(code, syntax.script_nodes))
+    nodes = _linked(code, syntax.script_nodes)
     symbols = other_calls.symbols_of(nodes)
     found = modules.imported_functions(nodes, code.select("path"), other_calls.definitions(symbols, "."))
     return other_calls.resolve_script(other_calls.calls_of(nodes), symbols, found)
@@ -97,7 +111,7 @@ def script_calls_across(code: DataFrame) -> DataFrame:
 
 def native_calls_across(code: DataFrame) -> DataFrame:
     """Calls of C++ sources, resolved in their file or through what its includes declare; each file is parsed once."""
-    nodes = cut_lineage(_nodes(code, syntax.native_nodes))
+    nodes = _linked(code, syntax.native_nodes)
     symbols = other_calls.symbols_of(nodes)
     found = modules.included_functions(nodes, code.select("path"), other_calls.definitions(symbols, "::"))
     return other_calls.resolve_native(other_calls.calls_of(nodes), symbols, found)
@@ -184,7 +198,8 @@ def module_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     A class of the same brand nearer in the chain hides one further off.
     """
     code = scripts(spark, sf_dir)
-    return modules.script_exports(_nodes(code, syntax.script_nodes), code.select("path")).select("path", "name", "def_path")
+    nodes = Scratch(spark, "top").write(python_code.rows(code, _top_nodes, _TOP_SCHEMA)).hint("merge")
+    return modules.script_exports(nodes, modules.script_links(nodes, code)).select("path", "name", "def_path")
 
 
 _PACKAGE = "'pkg' || k % 7 || '/m' || k || CASE WHEN s % 2 = 0 THEN '.py' ELSE '/__init__.py' END"
