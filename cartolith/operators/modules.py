@@ -198,6 +198,7 @@ def graph_totals(calls: DataFrame, max_files: int | None = None) -> DataFrame:
 
     With `max_files`, more files than that are an error, as in an interactive request.
     """
+    calls = Scratch(calls.sparkSession, "calls").write(calls.select("path", "owner", "caller", "target_path", "target", "status"))  # read more than once
     edges = call_graph(calls)
     ends = edges.select(F.col("source").alias("node"), F.lit(1).alias("calls"), F.lit(0).alias("called")).unionByName(edges.select(F.col("target").alias("node"), F.lit(0).alias("calls"), F.lit(1).alias("called")))
     nodes = ends.groupBy("node").agg(F.sum("calls").alias("calls"), F.sum("called").alias("called"))
