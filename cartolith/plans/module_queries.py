@@ -65,7 +65,8 @@ _PARTS = """p AS (SELECT a.p_partkey AS k, b.p_partkey AS j, a.p_size AS s, repl
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("c"))
-    return spread(part.join(part.select((F.col("k") + 1).alias("k"), F.col("k").alias("j")), "k", "left"), "k")
+    before = part.select((F.col("k") + 1).alias("k"), F.col("k").alias("j")).hint("merge")  # as many rows as `part`, though its file is small
+    return spread(part.join(before, "k", "left"), "k")
 
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
